@@ -23,7 +23,7 @@ def map_lists(
     Nothing is shuffled and no more than one batch of input and output is held.
     """
     struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    out_schema = to_arrow_schema(struct, timezone="UTC")
+    out_schema = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = once() if once is not None else None
