@@ -235,7 +235,7 @@ def _task_state() -> StatementMemo:
     return StatementMemo(200_000)
 
 
-_VERDICT = "script_id long, repo string, language string, error string, chunks int"
+_VERDICT = "script_id long, repo string, language string, error string"
 
 
 def _check_rows(chunk_chars: int):
@@ -243,17 +243,15 @@ def _check_rows(chunk_chars: int):
         for i, repo, path, text in zip(ids, repos, paths, texts):
             lang = language_of(path)
             if text is None:
-                yield i, repo, lang, None, 0
+                yield i, repo, lang, None
                 continue
-            body = text[1:] if text[:1] == "﻿" else text
+            body = text[1:] if text[:1] == "\ufeff" else text
             if lang == "json":
-                yield i, repo, lang, json_error(body), 1
+                yield i, repo, lang, json_error(body)
             elif lang == "xml":
-                yield i, repo, lang, xml_error(body), 1
-            elif len(text) > chunk_chars and len(cuts := cut_points(text, chunk_chars)) > 1:
-                yield i, repo, lang, None, len(cuts)
-            else:
-                yield i, repo, lang, parse_error(text, memo), 1
+                yield i, repo, lang, xml_error(body)
+            elif len(text) <= chunk_chars:
+                yield i, repo, lang, parse_error(text, memo)
 
     return run
 
@@ -336,18 +334,22 @@ def check_syntax(scripts: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFram
     """One row per script: ``script_id, repo, language, error`` (null: valid)."""
     need = scripts.select("script_id", "repo", "file_path", "text")
     judged = map_lists(need, ["script_id", "repo", "file_path", "text"], _check_rows(chunk_chars), _VERDICT, once=_task_state)
-    # files longer than a chunk; a digest of the row tells equal ids apart
-    long_ = need.where(F.length("text") > chunk_chars).where(~F.lower("file_path").rlike(r"\.(json|xml)\s*$") | F.col("file_path").isNull())
-    keyed = long_.select(F.concat_ws(":", F.col("script_id").cast("string"), F.xxhash64("repo", "file_path", "text").cast("string")).alias("r"), "text")
-    chunks = map_lists(keyed, ["r", "text"], _chunk_rows(chunk_chars), "r string, k int, piece string, summary string")
+    # T-SQL files longer than a chunk; equal rows are judged once and counted
+    long_ = (
+        scripts.where(F.length("text") > chunk_chars)
+        .where(~F.coalesce(F.lower("file_path").rlike(r"\.(json|xml)\s*$"), F.lit(False)))
+        .groupBy("script_id", "repo", "text").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.to_json(F.struct("script_id", "repo", F.xxhash64("text").alias("h"), "n")).alias("r"), "text")
+    )
+    chunks = map_lists(long_, ["r", "text"], _chunk_rows(chunk_chars), "r string, k int, piece string, summary string")
     folded = map_lists(
-        chunks.select("r", "k", "summary").distinct().groupBy("r").agg(F.sort_array(F.collect_list(F.struct("k", "summary"))).alias("parts")),
+        chunks.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("k", "summary"))).alias("parts")),
         ["r", "parts"],
         _fold,
         "r string, k int, state int, batch int, why string",
     )
     pieces = map_lists(
-        chunks.select("r", "k", "piece").distinct().join(folded.where("why is null"), ["r", "k"]),
+        chunks.select("r", "k", "piece").join(folded.where("why is null"), ["r", "k"]),
         ["r", "k", "piece", "state", "batch"],
         _pieces,
         "r string, batch int, k int, piece string",
@@ -359,17 +361,13 @@ def check_syntax(scripts: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFram
         "r string, error string",
         once=_task_state,
     )
-    long_errors = (
-        folded.select("r", F.col("why").alias("error")).unionByName(parsed).groupBy("r").agg(F.min("error").alias("error"))
-        .select(F.split("r", ":")[0].cast("long").alias("script_id"), "error")
-        .groupBy("script_id").agg(F.min("error").alias("long_error"))
-    )
-    short = judged.where("chunks <= 1").select("script_id", "repo", "language", "error")
     long_rows = (
-        judged.where("chunks > 1").join(long_errors, "script_id", "left")
-        .select("script_id", "repo", "language", F.col("long_error").alias("error"))
+        folded.select("r", F.col("why").alias("error")).unionByName(parsed).groupBy("r").agg(F.min("error").alias("error"))
+        .select(F.from_json("r", "script_id long, repo string, n int").alias("r"), "error")
+        .select("r.*", "error", F.explode(F.sequence(F.lit(1), F.col("r.n"))))
+        .select("script_id", "repo", F.lit("tsql").alias("language"), "error")
     )
-    return short.unionByName(long_rows)
+    return judged.unionByName(long_rows)
 
 
 def invalid_scripts(scripts: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
