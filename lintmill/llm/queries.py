@@ -19,6 +19,30 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return invalid_rates(table(spark, d, "scripts"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.secrets import credential_lines
+
+    return credential_lines(table(spark, d, "scripts"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.secrets import redact_credentials
+
+    return redact_credentials(table(spark, d, "scripts"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.layout_copies import layout_copies
+
+    return layout_copies(table(spark, d, "scripts"))
+
+
+def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.layout_copies import distinct_scripts
+
+    return distinct_scripts(table(spark, d, "scripts"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
