@@ -43,6 +43,18 @@ def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
     return distinct_scripts(table(spark, d, "scripts"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.code_language import languages_found
+
+    return languages_found(table(spark, d, "scripts"), table(spark, d, "documents"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.code_language import language_shares
+
+    return language_shares(table(spark, d, "scripts"), table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
