@@ -55,6 +55,36 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return language_shares(table(spark, d, "scripts"), table(spark, d, "documents"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.containers import fill
+
+    return fill(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p7_utilisation(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.containers import utilisation
+
+    return utilisation(p7_containers(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.eval_leaks import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.eval_leaks import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.stuffed_pages import stuffed_pages
+
+    return stuffed_pages(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
