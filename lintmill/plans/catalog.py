@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lintmill.plans import data_problems
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    return data_problems.p4_codes(spark, d)
 
 
 def queries() -> dict:
-    return {}
+    return dict(data_problems.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(data_problems.ORACLES)
