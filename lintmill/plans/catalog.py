@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintmill.plans import data_problems
+from lintmill.plans import data_problems, generated, tables
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return data_problems.p4_codes(spark, d)
+    return tables.flagship(spark, d)
 
 
 def queries() -> dict:
-    return dict(data_problems.QUERIES)
+    return {**tables.QUERIES, **generated.QUERIES, **data_problems.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(data_problems.ORACLES)
+    return {**tables.ORACLES, **generated.ORACLES, **data_problems.ORACLES}
