@@ -10,6 +10,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+SMALL_BYTES = 64 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input over all cores.
+
+    A small table often lies in one file of one row group, which one task would read and analyse
+    alone.  Only inputs estimated below SMALL_BYTES are shuffled; larger ones have enough splits.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if size < SMALL_BYTES and n > 1 else df
+
+
 def map_lists(
     df: DataFrame,
     columns: list[str],
@@ -20,7 +37,7 @@ def map_lists(
     """``function(*lists)`` gets the given columns of one Arrow batch and yields output rows.
 
     ``once()`` runs once per task; its result, if there is such a function, is passed first.
-    Nothing is shuffled and no more than one batch of input and output is held.
+    Nothing but a small input is shuffled and no more than one batch of input and output is held.
     """
     struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     out_schema = to_arrow_schema(struct)
@@ -42,4 +59,4 @@ def map_lists(
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
 
-    return df.select(*columns).mapInArrow(run, struct)
+    return spread(df.select(*columns)).mapInArrow(run, struct)

@@ -397,7 +397,7 @@ ORACLES: dict[str, str] = {
     ),
     "fn_dates": (
         "SELECT o_orderkey, date_diff('year', o_orderdate, e) AS d_year, date_diff('quarter', o_orderdate, e) AS d_quarter, date_diff('month', o_orderdate, e) AS d_month, "
-        "date_diff('week', o_orderdate + INTERVAL 1 DAY, e + INTERVAL 1 DAY) AS d_week, date_diff('day', o_orderdate, e) AS d_day, date_diff('hour', o_orderdate, e) AS d_hour, "
+        "CAST(date_diff('day', date_trunc('week', o_orderdate + INTERVAL 1 DAY), date_trunc('week', e + INTERVAL 1 DAY)) / 7 AS BIGINT) AS d_week, date_diff('day', o_orderdate, e) AS d_day, date_diff('hour', o_orderdate, e) AS d_hour, "
         "o_orderdate + INTERVAL 10 DAY AS plus_days, o_orderdate + INTERVAL 1 MONTH AS plus_month, last_day(o_orderdate) AS eom, year(o_orderdate) AS y, month(o_orderdate) AS m, "
         "day(o_orderdate) AS dd, quarter(o_orderdate) AS q FROM (SELECT *, TIMESTAMP '1996-07-15 10:20:30' AS e FROM orders)"
     ),

@@ -2140,6 +2140,8 @@ class Parser:
             self.i += 2
             or_alter = True
         kind = k[self.i]
+        if kind in ("PROC", "PROCEDURE", "FUNCTION", "VIEW", "TRIGGER") and not self.first_of_batch(a):
+            self.fail(f"'{k[a]} {kind}' must be the first statement in a query batch.")
         if kind in ("PROC", "PROCEDURE"):
             return self.procedure(a, or_alter)
         if kind == "FUNCTION":
@@ -2354,6 +2356,12 @@ class Parser:
         if k[self.i] == "WITH" and k[self.i + 1] == "CHECK":
             self.i += 2
             self.want("OPTION")
+        rest = self.i
+        while k[rest] == ";":
+            rest += 1
+        if k[rest] != "EOF":
+            self.i = rest
+            self.fail("A view must be the only statement in the batch.")
         return self.node("create_view", a, name=name, columns=cols, query=q, ctes=ctes, verb=k[a])
 
     def trigger(self, a: int, or_alter: bool) -> Node:
