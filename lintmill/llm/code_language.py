@@ -223,29 +223,28 @@ def markup_spans(text: str, language: str) -> Iterator[str]:
 def sentences(span: str) -> Iterator[str]:
     """Sentences of a span: lines without their margin, joined where a line goes on."""
     parts: list[str] = []
+    words = cjk = 0  # of the parts
     for line in re.split(r"\r\n|\r|\n", span):
         line = _MARGIN.sub("", line, count=1).strip()
         if not line or _RULER.fullmatch(line) or not any(c.isalpha() for c in line):
             if parts:
                 yield from _split(" ".join(parts))
-                parts = []
+                parts, words, cjk = [], 0, 0
             continue
-        if parts and (parts[-1][-1] in ".!?。！？:" or _starts_anew(line, parts)):
-            yield from _split(" ".join(parts))
-            parts = []
+        if parts:
+            # a line of capital start after lines that are a sentence already is another one
+            enough = words >= LEAST_WORDS or cjk >= LEAST_CJK
+            anew = enough and (line[0].isupper() or line[0] in "¿¡" or _CJK.match(line)) and is_long_enough(line)
+            if anew or parts[-1][-1] in ".!?。！？:":
+                yield from _split(" ".join(parts))
+                parts, words, cjk = [], 0, 0
         parts.append(line)
+        words += len(_WORDS.findall(line))
+        cjk += len(_CJK.findall(line))
     if parts:
         yield from _split(" ".join(parts))
 
 
-def _starts_anew(line: str, parts: list[str]) -> bool:
-    """A line of capital start after lines that are a sentence already is another one."""
-    if not (line[0].isupper() or line[0] in "¿¡" or _CJK.match(line)):
-        return False
-    so_far = " ".join(parts)
-    return is_long_enough(so_far) and is_long_enough(line)
-
-
 def _split(text: str) -> Iterator[str]:
     if "." in text or "!" in text or "?" in text or "。" in text or "！" in text:
         for s in _SENTENCE_END.split(text):

@@ -29,8 +29,8 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)", re.DOTALL)
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-f]+|[a-z]+);", re.IGNORECASE)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.IGNORECASE)
-_LINK_MARKUP = re.compile(r"\[([^\]\n]*)\]\(([^)\n]*)\)")
-_ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.IGNORECASE | re.DOTALL)
+_LINK_MARKUP = re.compile(r"\[([^\[\]\n]*)\]\(([^()\n]*)\)")
+_ANCHOR = re.compile(r"<a\b([^<>]*)>|</a\s*>", re.IGNORECASE)
 _HASHTAG = re.compile(r"#[^\W\d_]\w*")
 _WORD = re.compile(r"[^\W_]+")
 _UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\d+")
@@ -133,7 +133,7 @@ def measure(text: str) -> tuple[float, float, float]:
     plain.append(text[at:])
     body = "\n".join(plain)
     if "<" in body:
-        body = _ANCHOR.sub(lambda m: " " + m.group(0).split(">", 1)[0].replace("<a", "") + " | " + m.group(1) + " | ", body)
+        body = _ANCHOR.sub(lambda m: f" {m.group(1) or ''} | ", body)
         body = re.sub(r"\bhref\s*=\s*", " ", body)
         body = re.sub(r"<(?:li|p|br|div|tr|td|h\d)\b[^<>]*>", "\n", body, flags=re.IGNORECASE)
         body = _TAG.sub(" ", body)
