@@ -166,7 +166,7 @@ def _sorted_fields(items, i: int, end: int, out: list[str]) -> None:
 
 def _canonical_value(v) -> str:
     if isinstance(v, _Object):
-        return "{" + _FIELD.join(sorted(json.dumps(k, ensure_ascii=False) + ":" + _canonical_value(x) for k, x in v.pairs)) + "}"
+        return "{" + _FIELD.join(sorted((json.dumps(k, ensure_ascii=False) + ":" + _canonical_value(x)).casefold() for k, x in v.pairs)) + "}"
     if isinstance(v, list):
         return "[" + _FIELD.join(map(_canonical_value, v)) + "]"
     if isinstance(v, str):
@@ -200,13 +200,13 @@ def canonical_xml(text: str) -> str:
             out.extend(_WORD.findall(m.group("note")))
         elif m.group("name") is not None:
             attrs = sorted(
-                (a.group(1) or a.group(5) or "") + "=" + _SPACE.sub(" ", next((x for x in a.group(2, 3, 4) if x is not None), ""))
+                ((a.group(1) or a.group(5) or "") + "=" + _SPACE.sub(" ", next((x for x in a.group(2, 3, 4) if x is not None), ""))).casefold()
                 for a in _ATTRIBUTE.finditer(m.group("attrs"))
             )
             name = m.group("name")
-            out.append("<" + name + _FIELD + _FIELD.join(attrs).casefold())
+            out.append("<" + name + _FIELD + _FIELD.join(attrs))
             if name[0] not in "/?!" and m.group("attrs").rstrip().endswith("/"):
-                out.append("</" + name)
+                out.append("</" + name + _FIELD)
         else:
             out.extend(re.findall(r"\w+|[<>&]", m.group("text")))
     return _SEP.join(out).casefold()

@@ -34,14 +34,16 @@ from lintmill.syntax import lexer as L
 from lintmill.syntax.parser import ParseError, Parser, StatementMemo, batches
 
 CHUNK_CHARS = 8192
-_DELIMITERS = frozenset("'\"[]-/*!<>=+%&^|:$@#.\r\n")
 _OPEN_STATE = {"string": L.STRING, "bracket": L.BRACKET, "quoted": L.QUOTED}
 _CLOSER = {L.STRING: "'", L.BRACKET: "]", L.QUOTED: '"'}
 _LINE_END = re.compile(r"[\r\n]")
 
 
+_SEPARATOR_LINE = re.compile(r"\s*(?:GO[\s\d;]*)?", re.IGNORECASE)
+
+
 def cut_points(text: str, size: int) -> list[int]:
-    """Offsets at which chunks start; each cut has a line break before it or plain characters on both sides."""
+    """Offsets at which chunks start: after a line break, or between plain characters of a line that can't hold a separator."""
     points, n = [0], len(text)
     while n - points[-1] > size:
         at = points[-1] + size
@@ -49,10 +51,10 @@ def cut_points(text: str, size: int) -> list[int]:
             before, after = text[at - 1], text[at]
             if before == "\n" or (before == "\r" and after != "\n"):
                 break
-            if before.isspace() and after not in _DELIMITERS and not after.isspace() and not after.isalnum():
-                break
-            if before == " " and after.isalpha() and text[max(0, at - 8) : at].strip().upper() != "GO":
-                break
+            if before == " " and after.isalpha() and after not in "nN":
+                start = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
+                if not _SEPARATOR_LINE.fullmatch(text, start, at):
+                    break
             at += 1
         if at >= n:
             break
