@@ -104,8 +104,8 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     One pass over the rows; the total is the sum of the mergeable counts, not a second scan.
     """
     counts = cut(key_counts(df, key))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).where(F.col("key").isNotNull() & (F.col("n") >= F.col("total") * share))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.withColumn("total", F.lit(total)).where(F.col("key").isNotNull() & (F.col("n") >= total * share))
 
 
 def code_report(diagnostics: DataFrame, quantiles: list[float] | None = None) -> DataFrame:
