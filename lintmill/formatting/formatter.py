@@ -82,7 +82,7 @@ def keyword_spacing(toks: list[str]) -> list[str]:
     """One blank inside keyword pairs whose gap is blanks and tabs."""
     out = list(toks)
     for i in range(1, len(toks) - 1):
-        if _INLINE.match(toks[i]) and (toks[i - 1].upper(), toks[i + 1].upper()) in PAIRS:
+        if toks[i][0] in " \t" and _INLINE.match(toks[i]) and (toks[i - 1].upper(), toks[i + 1].upper()) in PAIRS:
             out[i] = " "
     return out
 
@@ -175,7 +175,7 @@ def inline_spacing(toks: list[str]) -> list[str]:
     out: list[str] = []
     n = len(toks)
     for i, t in enumerate(toks):
-        if _INLINE.match(t):
+        if t[0] in " \t" and _INLINE.match(t):
             line_start = not out or out[-1].endswith(("\n", "\r"))
             nxt = toks[i + 1] if i + 1 < n else ""
             if not line_start and nxt == ",":
@@ -194,7 +194,7 @@ def function_spacing(toks: list[str]) -> list[str]:
     out: list[str] = []
     n = len(toks)
     for i, t in enumerate(toks):
-        if _INLINE.match(t) and 0 < i < n - 1 and toks[i + 1] == "(":
+        if t[0] in " \t" and _INLINE.match(t) and 0 < i < n - 1 and toks[i + 1] == "(":
             p = toks[i - 1]
             u = p.upper()
             known = u in FUNCTIONS and u not in ("LEFT", "RIGHT", "CASE") or u in TYPES and u not in ("CURSOR", "TIMESTAMP")
@@ -259,27 +259,32 @@ def operator_spacing(toks: list[str]) -> list[str]:
 
 def _lines(text: str) -> list[tuple[str, bool]]:
     """(line, whether its start lies inside a lexeme that spans lines)."""
-    lexemes, _ = L.split(text)
-    out: list[list] = [["", False]]
-    for tok in lexemes:
+    out: list[tuple[str, bool]] = []
+    buffer: list[str] = []
+    inside = False
+    for tok in L.split(text)[0]:
+        if "\n" not in tok and "\r" not in tok:
+            buffer.append(tok)
+            continue
         parts = _BREAK.split(tok)
         protected = kind(tok) != "space"
-        out[-1][0] += parts[0]
-        for p in parts[1:]:
-            out.append([p, protected])
-    return [(a, b) for a, b in out]
+        buffer.append(parts[0])
+        out.append(("".join(buffer), inside))
+        out.extend((p, protected) for p in parts[1:-1])
+        buffer, inside = [parts[-1]], protected
+    out.append(("".join(buffer), inside))
+    return out
 
 
-def _open_ends(text: str) -> list[bool]:
+def _open_ends(rows: list[tuple[str, bool]]) -> list[bool]:
     """For each line, whether its end lies inside a lexeme that spans lines."""
-    rows = _lines(text)
-    return [rows[i + 1][1] if i + 1 < len(rows) else False for i in range(len(rows))]
+    return [r[1] for r in rows[1:]] + [False]
 
 
 def whitespace(text: str, o: FormatOptions, eol: str) -> str:
     """Indentation, trailing blanks, line ends; lines that start inside a literal or comment keep their start."""
     rows = _lines(text)
-    ends = _open_ends(text)
+    ends = _open_ends(rows)
     out = []
     for (line, inside), open_end in zip(rows, ends):
         if not inside:
@@ -315,8 +320,9 @@ def blank_lines(text: str, o: FormatOptions, eol: str) -> str:
 
 def comma_style(text: str, style: str, eol: str) -> str:
     """Move commas at line ends to the next line's start, or back."""
-    rows = [r[0] for r in _lines(text)]
-    inside = [r[1] for r in _lines(text)]
+    parts = _lines(text)
+    rows = [r[0] for r in parts]
+    inside = [r[1] for r in parts]
 
     def code_end(line: str) -> int:
         """Offset after the last code character of a line."""

@@ -1204,7 +1204,9 @@ def _(b: Batch, n: Node):
 
 
 def _module_groups(b: Batch) -> Iterator[list[Node]]:
-    """Nodes by procedure or function, and those of the batch outside of them."""
+    """Nodes by procedure or function, and those of the batch outside of them; nothing without a transaction."""
+    if not any(n.type == "begin_tran" for n in b.nodes):
+        return
     outside: list[Node] = []
     groups: dict[int, list[Node]] = {}
     for n in b.nodes:

@@ -26,6 +26,12 @@ class Options:
     prefix: str = PREFIX
     plugins: tuple = ()  # (Rule, function of Script -> findings)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_plan"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+
 
 @dataclass
 class Diagnostic:
@@ -79,19 +85,21 @@ def suppressed(code: str, line: int, ranges: Iterable[tuple[str | None, int, int
     return any((r is None or r == code.lower()) and a <= line and (z is None or line < z) for r, a, z in ranges)
 
 
+def _plan(options: Options) -> tuple[set[str], dict[str, list[tuple[str, Callable]]]]:
+    """(rules that run, their checks by node type); made once per options object."""
+    plan = options.__dict__.get("_plan")
+    if plan is None:
+        active = {r.id for r in RULES.values() if options.ruleset.enabled(r.id) and options.compat >= r.min_compat}
+        by_type = {t: [(r, f) for r, f in fs if r in active] for t, fs in checks.NODE_CHECKS.items()}
+        plan = (active, {t: fs for t, fs in by_type.items() if fs})
+        object.__setattr__(options, "_plan", plan)
+    return plan
+
+
 def raw_findings(s: Script, options: Options) -> Iterable[Finding]:
     """Findings of all enabled rules; a rule that raises yields an error at the start of the script."""
 
-    def runs(rule: str) -> bool:
-        r = RULES[rule]
-        return options.ruleset.enabled(rule) and options.compat >= r.min_compat
-
-    active = {rule for rule in RULES if runs(rule)}
-    by_type: dict[str, list[tuple[str, Callable]]] = {}
-    for type_, fs in checks.NODE_CHECKS.items():
-        chosen = [(r, f) for r, f in fs if r in active]
-        if chosen:
-            by_type[type_] = chosen
+    active, by_type = _plan(options)
     out: list[Finding] = []
     for b in s.batches:
         for n in b.nodes:
