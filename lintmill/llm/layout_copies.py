@@ -33,6 +33,7 @@ from lintmill.syntax.parser import KINDS
 
 BUCKET_ROWS = 100_000
 HOT_ROWS = 50_000
+LIST_GROUPS = 100_000
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 _SEP, _FIELD = "\x1f", "\x1e"
@@ -307,10 +308,12 @@ def copy_members(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, hot_rows: i
     """(groups ``key, first_id, n`` with more than one member, members ``first_id, copy_id``)."""
     keyed = cut(map_lists(scripts, ["script_id", "file_path", "text"], _key_rows, "script_id long, key binary"))
     groups = cut(count_keys(keyed, bucket_rows).where("n > 1"))
-    # groups of more than hot_rows members are few (rows / hot_rows at most): their members find them without a shuffle
+    # groups of more than hot_rows members are few (rows / hot_rows at most): their members find them without a shuffle;
+    # beyond LIST_GROUPS of them, and for all others, rows meet by the key's hash
     hot = groups.where(F.col("n") > hot_rows).select("key", "first_id")
     rows = keyed.select("key", F.col("script_id").alias("copy_id"))
-    if hot.limit(1).count():
+    hot_groups = hot.limit(LIST_GROUPS + 1).count()
+    if 0 < hot_groups <= LIST_GROUPS:
         members = rows.join(F.broadcast(hot), "key").unionByName(
             rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(groups.where(F.col("n") <= hot_rows).select("key", "first_id"), "key")
         )

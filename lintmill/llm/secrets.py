@@ -410,12 +410,17 @@ def line_numbers(text: str, offsets: list[int]) -> list[int]:
     return out
 
 
+_CONTINUED = re.compile(r"'\s*\+\s*[nN]?'")  # between two parts of a joined value
+
+
 def _find_rows(ids, paths, texts):
     for i, path, text in zip(ids, paths, texts):
         found = spans(text, path)
         if found:
+            before = 0
             for (a, b), n in zip(found, line_numbers(text, [a for a, _ in found])):
-                yield i, n, a, b - a
+                yield i, n, a, b - a, _CONTINUED.fullmatch(text, before, a) is not None
+                before = b
 
 
 def _redact_rows(ids, paths, texts):
@@ -426,16 +431,16 @@ def _redact_rows(ids, paths, texts):
 
 
 def find_credentials(scripts: DataFrame) -> DataFrame:
-    """Each place: ``script_id, line_no, start, length`` (zero-based); one pass, no shuffle.
+    """Each place: ``script_id, line_no, start, length, continued`` (zero-based); one pass, no shuffle.
 
-    A value joined from several literals gives a place for each of them.
+    A value joined from several literals gives a place for each of them, continued from the second on.
     """
-    return map_lists(scripts, ["script_id", "file_path", "text"], _find_rows, "script_id long, line_no long, start long, length long")
+    return map_lists(scripts, ["script_id", "file_path", "text"], _find_rows, "script_id long, line_no long, start long, length long, continued boolean")
 
 
 def credential_lines(scripts: DataFrame) -> DataFrame:
     """One row per line on which a value starts."""
-    return find_credentials(scripts).select("script_id", "line_no").distinct()
+    return find_credentials(scripts).where("not continued").select("script_id", "line_no").distinct()
 
 
 def redact_credentials(scripts: DataFrame) -> DataFrame:
