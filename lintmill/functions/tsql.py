@@ -82,6 +82,72 @@ def try_cast(x: Column, type_: str) -> Column:
     return x.try_cast(type_)
 
 
+def patindex(pattern: str, x: Column) -> Column:
+    """Position of a LIKE pattern (%, _, [classes]) in a string, 0 if there is none."""
+    body, head, tail = pattern, "^", "$"
+    if body.startswith("%"):
+        body, head = body[1:], ""
+    if body.endswith("%"):
+        body, tail = body[:-1], ""
+    return F.regexp_instr(x, F.lit(head + like_regex(body) + tail))
+
+
+def like_regex(pattern: str) -> str:
+    """Regular expression of a T-SQL LIKE pattern without its ends."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        j = pattern.find("]", i + 1) if c == "[" else -1
+        if j > 0:
+            out += "[" + pattern[i + 1 : j].replace("\\", "\\\\") + "]"
+            i = j
+        elif c == "%":
+            out += ".*"
+        elif c == "_":
+            out += "."
+        else:
+            out += "\\" + c if c in ".^$*+?{}|()[]\\" else c
+        i += 1
+    return out
+
+
+def like(x: Column, pattern: str) -> Column:
+    """LIKE with character classes, which Spark's LIKE lacks."""
+    return x.rlike("(?s)^" + like_regex(pattern) + "$")
+
+
+def str_(x: Column, width: int = 10, decimals: int = 0) -> Column:
+    """STR: right-aligned number, stars if it doesn't fit."""
+    s = F.format_string(f"%.{decimals}f", F.round(x.cast("double"), decimals))
+    return F.when(F.length(s) > width, F.lit("*" * width)).otherwise(F.lpad(s, width, " "))
+
+
+def datename(part: str, x: Column) -> Column:
+    if part == "month":
+        return F.date_format(x, "MMMM")
+    if part == "weekday":
+        return F.date_format(x, "EEEE")
+    return F.date_part(F.lit(part), x).cast("int").cast("string")
+
+
+def timestamp_from_parts(y, mo, d, h=0, mi=0, s=0) -> Column:
+    col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.make_timestamp_ntz(*map(col, (y, mo, d, h, mi, s)))
+
+
+def json_modify(x: Column, member: str, value: str) -> Column:
+    """JSON_MODIFY of a top-level member: members in order, the named one replaced or added."""
+    m = F.from_json(x, "map<string,string>")
+    rest = F.map_filter(m, lambda k, v: k != F.lit(member))
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit(member), F.lit(value))))
+
+
+#: Functions of the registry that ask the server about itself or its objects: Spark has no such state.
+WITHOUT_EQUIVALENT = (
+    "SCOPE_IDENTITY IDENT_CURRENT IDENT_INCR IDENT_SEED NEWSEQUENTIALID SERVERPROPERTY CONNECTIONPROPERTY DB_ID TYPE_ID TYPE_NAME SCHEMA_ID "
+    "COL_LENGTH COL_NAME COLUMNPROPERTY OBJECT_ID OBJECT_NAME @@IDENTITY @@ROWCOUNT @@ERROR @@TRANCOUNT"
+).split()
+
 #: T-SQL name -> function of Columns.
 FUNCTIONS = {
     "LEN": length, "SUBSTRING": lambda x, a, n: F.substring(x, a, n), "LEFT": lambda x, n: F.left(x, F.lit(n)), "RIGHT": lambda x, n: F.right(x, F.lit(n)),
@@ -104,5 +170,10 @@ FUNCTIONS = {
     "ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank, "NTILE": F.ntile, "PERCENT_RANK": F.percent_rank, "CUME_DIST": F.cume_dist,
     "COUNT": F.count, "COUNT_BIG": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "STDEV": F.stddev_samp, "STDEVP": F.stddev_pop,
     "VAR": F.var_samp, "VARP": F.var_pop, "STRING_AGG": F.listagg, "APPROX_COUNT_DISTINCT": F.approx_count_distinct, "CHECKSUM_AGG": F.bit_xor,
+    "FORMAT": F.date_format, "STR": str_, "PATINDEX": patindex, "DATEDIFF_BIG": datediff, "DATENAME": datename, "DATETRUNC": F.date_trunc,
+    "DATETIME2FROMPARTS": timestamp_from_parts, "DATETIMEFROMPARTS": timestamp_from_parts, "SMALLDATETIMEFROMPARTS": timestamp_from_parts,
+    "DATETIMEOFFSETFROMPARTS": timestamp_from_parts, "PARSE": lambda x, t: x.cast(t), "TRY_PARSE": try_cast, "JSON_MODIFY": json_modify,
+    "OPENJSON": F.from_json, "FOR JSON": F.to_json, "OPENXML": F.xpath, "FOR XML": F.to_xml, "USER_NAME": F.current_user, "SUSER_NAME": F.current_user,
+    "@@VERSION": F.version, "CASE": F.when,
     "GROUPING": F.grouping, "GROUPING_ID": F.grouping_id,
 }

@@ -246,6 +246,70 @@ def pair_merge(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def pair_openjson(spark: SparkSession, d: str) -> DataFrame:
+    """OPENJSON over a column: member names and values as rows."""
+    e = table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
+    return e.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("last"))
+
+
+def pair_for_json(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("js"))
+
+
+def pair_offset_fetch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").offset(20).limit(15).select("c_custkey")
+
+
+def pair_top_percent(spark: SparkSession, d: str) -> DataFrame:
+    """TOP 10 PERCENT: the number of rows is rounded up."""
+    c = table(spark, d, "supplier")
+    n = -(-c.count() // 10)
+    return c.orderBy(F.desc("s_acctbal"), "s_suppkey").limit(n).select("s_suppkey")
+
+
+def pair_like_class(spark: SparkSession, d: str) -> DataFrame:
+    """LIKE with a character class."""
+    return table(spark, d, "part").where(T.like(F.col("p_brand"), "Brand#[1-3]_%")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_all_any(spark: SparkSession, d: str) -> DataFrame:
+    """> ALL (subquery) as a comparison with the maximum."""
+    most = table(spark, d, "supplier").agg(F.max("s_acctbal")).first()[0]
+    return table(spark, d, "customer").where(F.col("c_acctbal") > F.lit(most)).select("c_custkey")
+
+
+def pair_values(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.createDataFrame([("F", 1), ("O", 2), ("P", 3)], "s string, rank int")
+    return table(spark, d, "orders").join(F.broadcast(v), F.col("o_orderstatus") == F.col("s")).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_case_having(spark: SparkSession, d: str) -> DataFrame:
+    size = F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "middle").otherwise("large")
+    return table(spark, d, "part").groupBy("p_type", size.alias("size")).agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+
+
+def pair_lag_lead(spark: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("after"))
+
+
+def pair_null_safe(spark: SparkSession, d: str) -> DataFrame:
+    """= NULL against IS NULL and IS NOT DISTINCT FROM."""
+    g = table(spark, d, "diagnostics")
+    return g.agg(
+        F.count_if(F.col("code") == F.lit(None).cast("string")).alias("equals"), F.count_if(F.col("code").isNull()).alias("is_null"),
+        F.count_if(F.col("code").eqNullSafe(F.lit(None).cast("string"))).alias("same"),
+    )
+
+
+def fn_more(spark: SparkSession, d: str) -> DataFrame:
+    f = T.FUNCTIONS
+    return table(spark, d, "part").select(
+        "p_partkey", f["PATINDEX"]("%[aeiou]_%", F.col("p_name")).cast("long").alias("pat"), f["STR"](F.col("p_retailprice"), 10, 1).alias("str"),
+        f["DATENAME"]("month", F.make_date(F.lit(2024), F.pmod(F.col("p_partkey"), F.lit(12)).cast("int") + 1, F.lit(1))).alias("mon"),
+    )
+
+
 # -- T-SQL functions ----------------------------------------------------------
 
 
@@ -390,6 +454,22 @@ ORACLES: dict[str, str] = {
         "FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) s ON c.k = s.k"
     ),
     "pair_merge": "SELECT n_nationkey AS k, -1::BIGINT AS v FROM nation UNION ALL SELECT s_nationkey, max(s_suppkey) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY 1",
+    "pair_openjson": "SELECT name, count(*) AS n, max(value) AS last FROM (SELECT unnest(json_keys(props)) AS name, props FROM events) x, LATERAL (SELECT json_extract_string(x.props, '$.\"' || x.name || '\"') AS value) GROUP BY name",
+    "pair_for_json": "SELECT n_nationkey, CAST(to_json({n_nationkey: n_nationkey, n_name: n_name}) AS VARCHAR) AS js FROM nation",
+    "pair_offset_fetch": "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15 OFFSET 20",
+    "pair_top_percent": "SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rn, count(*) OVER () AS n FROM supplier) WHERE rn <= ceil(n / 10.0)",
+    "pair_like_class": "SELECT p_brand, count(*) AS n FROM part WHERE regexp_matches(p_brand, '^Brand#[1-3].') GROUP BY 1",
+    "pair_all_any": "SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier)",
+    "pair_values": "SELECT rank, count(*) AS n FROM orders JOIN (VALUES ('F', 1), ('O', 2), ('P', 3)) AS v(s, rank) ON o_orderstatus = s GROUP BY rank",
+    "pair_case_having": (
+        "SELECT p_type, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 3"
+    ),
+    "pair_lag_lead": "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+    "pair_null_safe": "SELECT 0 AS equals, count(*) FILTER (code IS NULL) AS is_null, count(*) FILTER (code IS NOT DISTINCT FROM NULL) AS same FROM diagnostics",
+    "fn_more": (
+        "SELECT p_partkey, coalesce(length(regexp_extract(p_name, '^(.*?)[aeiou].', 1)) + 1, 0) * regexp_matches(p_name, '[aeiou].')::BIGINT AS pat, "
+        "lpad(printf('%.1f', round(p_retailprice, 1)), 10, ' ') AS str, monthname(make_date(2024, (p_partkey % 12)::INTEGER + 1, 1)) AS mon FROM part"
+    ),
     "fn_strings": (
         "SELECT p_partkey, length(rtrim(p_name || '  ')) AS len, left(p_name, 4) AS l4, right(p_name, 4) AS r4, substring(p_name, 2, 5) AS sub, upper(p_name) AS up, lower(p_name) AS low, "
         "trim(' ' || p_name || ' ') AS trim, replace(p_name, 'e', '#') AS rep, repeat(p_brand, 2) AS repl, reverse(p_name) AS rev, left(p_name, 1) || 'zz' || substring(p_name, 5) AS stuff, "

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from lintmill.rules import checks
 from lintmill.rules.catalog import RULES, Rule
-from lintmill.rules.model import Finding, Script
+from lintmill.rules.model import TOO_DEEP, Finding, Script
 from lintmill.rules.rulesets import Ruleset
 from lintmill.syntax import lexer as L
 
@@ -146,7 +146,9 @@ def parse_errors(s: Script) -> list[Finding]:
         at = len(s.text) - len(s.lexemes[-1])
         return [Finding("parse-error", at, len(s.text), f"The {s.open} is not closed.", None, 1)]
     return [
-        Finding("parse-error", b.start(b.error[0]), b.end(b.error[0]), b.error[1], None, 1) for b in s.batches if b.error is not None
+        Finding("parser-exception" if b.error[1] == TOO_DEEP else "parse-error", b.start(b.error[0]), b.end(b.error[0]), b.error[1], None, 1)
+        for b in s.batches
+        if b.error is not None
     ]
 
 

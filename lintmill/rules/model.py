@@ -11,6 +11,9 @@ from lintmill.syntax import lexer as L
 from lintmill.syntax.parser import Node, ParseError, Parser, batches
 
 
+TOO_DEEP = "nested too deeply"
+
+
 @dataclass
 class Finding:
     rule: str
@@ -35,7 +38,7 @@ class Batch:
             i = min(e.at, len(toks) - 1)
             self.error = (i, e.message)
         except RecursionError:
-            self.error = (0, "nested too deeply")
+            self.error = (0, TOO_DEEP)
         if self.root is not None:
             order = []
             stack = [self.root]

@@ -87,3 +87,23 @@ def layered_options(config: dict, editor: dict, command: dict) -> tuple[FormatOp
                 o = replace(o, **{k: v})
                 source[k] = name
     return o, source
+
+
+def starter_config() -> str:
+    """The file that a new project starts with."""
+    return json.dumps({"compatLevel": 150, "preset": "recommended", "rules": {}, "plugins": [], "formatting": {}}, indent=2)
+
+
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(x.capitalize() for x in rest)
+
+
+def print_config(config: Config) -> str:
+    """The configuration in force, as JSON."""
+    return json.dumps({_camel(f.name): getattr(config, f.name) for f in fields(Config)}, indent=2, default=list)
+
+
+def print_format_config(options: FormatOptions, source: dict[str, str]) -> str:
+    """The formatting options in force and where each came from, as JSON."""
+    return json.dumps({_camel(f.name): {"value": getattr(options, f.name), "source": source[f.name]} for f in fields(FormatOptions)}, indent=2)

@@ -4,7 +4,7 @@ from lintmill.formatting.formatter import FormatOptions, format_sql
 from lintmill.operators.format import PASSES as FUNCTIONS
 from lintmill.plans.generated import DEFAULT_FORMAT, PASSES
 from lintmill.sources.scripts import decode, glob_regex, ignore_patterns, matches
-from lintmill.sources.settings import editor_settings, layered_options, parse_config
+from lintmill.sources.settings import editor_settings, layered_options, parse_config, print_config, print_format_config, starter_config
 
 
 @pytest.mark.parametrize("name", sorted(PASSES))
@@ -54,5 +54,6 @@ def test_layers():
     o, source = layered_options({"indentSize": 8, "commaStyle": "leading"}, e, {"indent_style": "spaces"})
     assert (o.indent_size, o.indent_style, o.comma_style, o.line_ending) == (2, "spaces", "leading", "lf")
     assert (source["indent_size"], source["indent_style"], source["comma_style"], source["keyword_casing"]) == ("editor", "command", "config", "default")
+    assert "commaStyle" in print_format_config(o, source) and parse_config(starter_config()).preset == "recommended" and "compatLevel" in print_config(parse_config("{}"))
     with pytest.raises(ValueError):
         parse_config('{"compatLevel": 90}')
