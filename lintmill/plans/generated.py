@@ -258,7 +258,7 @@ ORACLES: dict[str, str] = {
     **{f"fix_{r.replace('-', '_')}": case_sql("fixed_text", [a for _, a in FIXES[r]]) for r in FIXES},
     **{f"format_{p}": case_sql("formatted", [a for _, a in PASSES[p]]) for p in PASSES},
     "format_default": case_sql("formatted", [a for _, a in DEFAULT_FORMAT]),
-    "format_twice": "SELECT 0 AS unstable",
+    "format_twice": "SELECT 0::BIGINT AS unstable",
     "directive_ranges": _modulus(_DIRECTIVE_RANGES, 4, "v.a AS rule_id, v.b AS start_line, v.c AS end_line"),
     "lint_suppressed": _modulus([(0, "avoid-select-star", 3, 0), (2, "avoid-select-star", 1, 0)], 4, "v.a AS code, v.b AS start_line"),
     "lint_severity_threshold": _modulus([r for r in _FOUND if r[2] <= 2], 4, "v.a AS code, v.b AS severity"),
@@ -279,6 +279,6 @@ ORACLES: dict[str, str] = {
     "rule_catalog": "SELECT * FROM (VALUES "
     + ", ".join(f"('{r.id}', '{r.category}', '{_LABEL[r.severity]}', {str(r.fixable).lower()}, '{_PRESET[r.tier]}')" for r in RULES.values())
     + ") AS v(rule_id, category, severity, fixable, preset)",
-    "preset_matrix": "SELECT * FROM (VALUES ('security-only', 14), ('pragmatic', 43), ('recommended', 87), ('strict-logic', 107), ('strict', 130)) AS v(preset, rules)",
+    "preset_matrix": "SELECT preset, rules::BIGINT AS rules FROM (VALUES ('security-only', 14), ('pragmatic', 43), ('recommended', 87), ('strict-logic', 107), ('strict', 130)) AS v(preset, rules)",
 }
 

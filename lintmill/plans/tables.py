@@ -465,7 +465,7 @@ ORACLES: dict[str, str] = {
         "SELECT p_type, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 3"
     ),
     "pair_lag_lead": "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
-    "pair_null_safe": "SELECT 0 AS equals, count(*) FILTER (code IS NULL) AS is_null, count(*) FILTER (code IS NOT DISTINCT FROM NULL) AS same FROM diagnostics",
+    "pair_null_safe": "SELECT 0::BIGINT AS equals, count(*) FILTER (code IS NULL) AS is_null, count(*) FILTER (code IS NOT DISTINCT FROM NULL) AS same FROM diagnostics",
     "fn_more": (
         "SELECT p_partkey, coalesce(length(regexp_extract(p_name, '^(.*?)[aeiou].', 1)) + 1, 0) * regexp_matches(p_name, '[aeiou].')::BIGINT AS pat, "
         "lpad(printf('%.1f', round(p_retailprice, 1)), 10, ' ') AS str, monthname(make_date(2024, (p_partkey % 12)::INTEGER + 1, 1)) AS mon FROM part"
