@@ -32,6 +32,15 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def key_histograms(df: DataFrame, key: str, value: str | Column, shift: int = 42) -> DataFrame:
+    """``key, bin, m``: one mergeable histogram per key over the high bits of a 64-bit value (null values: bin null).
+
+    This is the coarsest round of the selection below, the same for all keys; its totals are the keys' row counts.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    return df.groupBy(F.col(key).alias("key"), F.shiftright(v.cast("long"), shift).alias("bin")).agg(F.count(F.lit(1)).alias("m"))
+
+
 def distinct_per_key(df: DataFrame, key: str, value: str, salts: int = SALTS) -> DataFrame:
     """``key, distinct``: exact distinct values per key, a key's values spread over ``salts`` tasks.
 
@@ -98,12 +107,14 @@ def _bin(v: str, lo: str, width: str) -> Column:
     return F.floor((F.col(v).cast("decimal(20,0)") - F.col(lo).cast("decimal(20,0)")) / F.col(width)).cast("long")
 
 
-def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float, value: str | Column | None = None) -> DataFrame:
     """``key, n, total`` of the non-null keys that hold at least ``share`` of all rows (rows of a null key count in the total).
 
-    One pass over the rows; the total is the sum of the mergeable counts, not a second scan.
+    Counts are the totals of the keys' histograms over ``value`` (one bin without a value), so a hot key's rows reach
+    no task but the one that read them, and the total is the sum of the counts, not a second scan.
     """
-    counts = cut(key_counts(df, key))
+    merged = key_counts(df, key) if value is None else key_histograms(df, key, value).groupBy("key").agg(F.sum("m").alias("n"))
+    counts = cut(merged)
     total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.withColumn("total", F.lit(total)).where(F.col("key").isNotNull() & (F.col("n") >= total * share))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lintmill.operators import hot_keys, nested_reports
 from lintmill.session import table
@@ -12,7 +13,8 @@ QUANTILES = [0.5, 0.9]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return hot_keys.heavy_keys(table(spark, d, "diagnostics"), "code", SHARE).select(hot_keys.F.col("key").alias("code"))
+    at = F.unix_micros("reported_at")
+    return hot_keys.heavy_keys(table(spark, d, "diagnostics"), "code", SHARE, at).select(F.col("key").alias("code"))
 
 
 def p4_codes(spark: SparkSession, d: str) -> DataFrame:

@@ -44,6 +44,8 @@ def test_heavy_keys(spark):
     c = Counter(k for k, _ in rows)
     got = {r["key"]: r["n"] for r in H.heavy_keys(df, "k", 0.05).collect()}
     assert got == {k: n for k, n in c.items() if k is not None and n >= 0.05 * len(rows)}
+    assert {r["key"]: r["n"] for r in H.heavy_keys(df, "k", 0.05, "v").collect()} == got
+    assert sum(r["m"] for r in H.key_histograms(df, "k", "v").collect()) == len(rows)
     assert H.heavy_keys(df.limit(0), "k", 0.05).count() == 0
 
 
