@@ -292,15 +292,15 @@ def count_keys(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``key, first_id, n`` of rows ``script_id, key`` by recursive radix partitioning."""
     schema = "key binary, first_id long, n long"
     local = cut(keyed.select("key", F.col("script_id").alias("first_id"), F.lit(1).cast("long").alias("n")).mapInArrow(_count, schema))
-    # split oversized buckets by further bytes; per level only the counts of prefixes that are still too large are looked at
-    depth, total = 0, local.count()
-    while total > bucket_rows and depth < 32:
+    # split oversized buckets by further bytes; per level only the counts of prefixes are looked at
+    rows = most = local.count()
+    depth = 0
+    while most > bucket_rows and depth < 32:
         depth += 1
-        total = local.groupBy(F.substring("key", 1, depth)).count().agg(F.max("count")).first()[0] or 0
+        most = local.groupBy(F.substring("key", 1, depth)).count().agg(F.max("count")).first()[0] or 0
     if depth == 0:
         return local.coalesce(1).mapInArrow(_count, schema)
-    buckets = 256 ** min(depth, 3)
-    parts = min(buckets, max(1, int(local.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 8)
+    parts = min(256 ** min(depth, 3), 2 * -(-rows // bucket_rows))  # a task holds about bucket_rows keys
     return local.repartition(parts, F.substring("key", 1, depth)).mapInArrow(_count, schema)
 
 
