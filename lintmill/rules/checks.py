@@ -938,23 +938,25 @@ def _(b: Batch, n: Node):
 @on_script("cross-database-transaction")
 def _(s: Script):
     depth = 0
-    databases: list[str] = []
+    databases: set[str] = set()
+    found: list[tuple[Batch, Node]] = []
     for b in s.batches:
         for n in b.nodes:
             if n.type == "begin_tran":
-                if depth == 0:
-                    databases = []
                 depth += 1
-            elif n.type in ("commit", "rollback"):
-                depth = max(0, depth - 1)
-            elif depth and n.type in ("insert", "update", "delete") and n.target is not None and n.target.type == "table":
-                parts = b.parts(n.target.d["name"])
-                if len(parts) >= 3 and parts[-3]:
-                    db = parts[-3].lower()
-                    if db not in databases:
-                        databases.append(db)
-                    if len(databases) > 1 and db != databases[0]:
-                        yield Finding("", b.start(n.target.a), b.end(n.target.b), "The transaction writes to another database.")
+            elif n.type in ("commit", "rollback") and depth:
+                depth -= 1
+                if not depth:
+                    for fb, f in found:
+                        yield Finding("", fb.start(f.a), fb.end(f.b), "The transaction writes to more than one database.")
+                    databases, found = set(), []
+            elif depth and n.type in ("insert", "update", "delete"):
+                here = {p[-3].lower() for t in n.walk() if t.type == "table" and len(p := b.parts(t.d["name"])) >= 3 and p[-3]}
+                databases |= here
+                if here and len(databases) > 1:
+                    found.append((b, n))
+    for fb, f in found:
+        yield Finding("", fb.start(f.a), fb.end(f.b), "The transaction writes to more than one database.")
 
 
 _DROPS = ("DATABASE", "TABLE", "PROCEDURE", "VIEW", "FUNCTION")
@@ -1408,63 +1410,83 @@ def _(b: Batch, n: Node):
 
 
 def _chain(n: Node) -> list[Node]:
-    """Operands of a + chain."""
+    """Operands of a + chain; a parenthesis is one operand."""
     if n.type == "binary" and n.op == "+":
         return _chain(n.left) + _chain(n.right)
-    if n.type == "paren":
-        return _chain(n.operand) if n.operand.type == "binary" and n.operand.op == "+" else [n]
     return [n]
 
 
+def _operands(n: Node) -> Iterator[Node]:
+    """Operands of nested binary operators of any kind."""
+    if n.type == "binary":
+        yield from _operands(n.left)
+        yield from _operands(n.right)
+    else:
+        yield n
+
+
 def _outermost(n: Node) -> bool:
-    p = n.up
-    while p is not None and p.type == "paren":
-        p = p.up
-    return not (p is not None and p.type == "binary" and p.op == "+")
+    return not (n.up is not None and n.up.type == "binary" and n.up.op == "+")
 
 
 @on("prefer-concat-over-plus", "binary")
 def _(b: Batch, n: Node):
-    if n.op == "+" and _outermost(n) and any(call_name(x) in ("ISNULL", "COALESCE") for x in _chain(n)):
+    if n.op == "+" and _outermost(n) and any(call_name(x) in ("ISNULL", "COALESCE") for x in _operands(n)):
         yield node_at(n, "Use CONCAT.")
 
 
 @on("prefer-concat-with-nullable", "binary")
 def _(b: Batch, n: Node):
-    if n.op == "+" and _outermost(n):
-        xs = _chain(n)
-        if any(call_name(x) in ("ISNULL", "COALESCE", "CAST", "CONVERT") for x in xs) and any(is_string(b, x) for x in xs):
-            yield node_at(n, "Use CONCAT.")
+    if n.op == "+" and any(call_name(x) in ("ISNULL", "COALESCE", "CAST", "CONVERT") for x in _operands(n)):
+        yield node_at(n, "Use CONCAT.")
 
 
 @on("prefer-concat-ws", "binary")
 def _(b: Batch, n: Node):
-    if n.op != "+" or not _outermost(n):
+    if n.op != "+":
         return
     literals = [string_value(b.t[x.a]) for x in _chain(n) if is_string(b, x)]
-    if len(literals) >= 2 and any(len(x) <= 3 and literals.count(x) > 1 for x in literals) and len(_chain(n)) >= 5:
+    short = [x for x in literals if len(x) <= 3]
+    if len(literals) >= 3 and len(set(short)) < len(short):
         yield node_at(n, "Use CONCAT_WS.")
 
 
-_JSON_LIKE = re.compile(r"[{}\[\]]|\"\s*:|\":")
+#: Character sequences that only JSON texts have (fixed values).
+_JSON_MARKS = ('":', "':", '{"', '"}', "[{", "}]", "},{", ',"')
+_BRACKETS = re.compile(r"\[([^\]]*)\]")
+
+
+def _character_class(v: str) -> bool:
+    """Brackets as in a LIKE pattern: pairs without any structural character of JSON."""
+    inner = _BRACKETS.findall(v)
+    return bool(inner) and not any(c in x for x in inner for c in '":{},')
+
+
+def _looks_like_json(v: str) -> bool:
+    return any(m in v for m in _JSON_MARKS) or ("{" in v and "}" in v) or ("[" in v and "]" in v and not _character_class(v))
+
+
+def _literals(b: Batch, n: Node) -> Iterator[str]:
+    if is_string(b, n):
+        yield string_value(b.t[n.a])
+    elif n.type == "binary":
+        yield from _literals(b, n.left)
+        yield from _literals(b, n.right)
+    elif n.type == "call":
+        for x in n.args or []:
+            yield from _literals(b, x)
 
 
 @on("prefer-json-functions", "call")
 def _(b: Batch, n: Node):
     if call_name(n) not in ("CHARINDEX", "SUBSTRING", "PATINDEX", "STUFF", "REPLACE"):
         return
-    for x in n.args or []:
-        if is_string(b, x):
-            v = string_value(b.t[x.a])
-            if ('"' in v and _JSON_LIKE.search(v)) or v.strip() in ("{", "}"):
-                yield node_at(n, "Use the JSON functions.")
-                return
-
-
-@on("prefer-string-agg-over-stuff", "call")
-def _(b: Batch, n: Node):
-    if call_name(n) == "STUFF" and _for_clause(n) is not None:
-        yield node_at(n, "Use STRING_AGG.")
+    texts = [v for x in n.args or [] for v in _literals(b, x)]
+    joined = "".join(texts)
+    braces = "{" in joined and "}" in joined
+    brackets = "[" in joined and "]" in joined and any(("[" in v or "]" in v) and not _character_class(v) for v in texts)
+    if any(_looks_like_json(v) for v in texts) or braces or brackets:
+        yield node_at(n, "Use the JSON functions.")
 
 
 @on("prefer-trim-over-ltrim-rtrim", "call")
@@ -1474,6 +1496,12 @@ def _(b: Batch, n: Node):
         yield node_at(n, "Use TRIM.")
 
 
+@on("prefer-string-agg-over-stuff", "call")
+def _(b: Batch, n: Node):
+    if call_name(n) == "STUFF" and _for_clause(n) is not None:
+        yield node_at(n, "Use STRING_AGG.")
+
+
 @on("prefer-try-convert-patterns", "case")
 def _(b: Batch, n: Node):
     if n.operand is not None:
