@@ -765,11 +765,15 @@ def _(b: Batch, n: Node):
         yield node_at(n, "A four-part name reaches a linked server.")
 
 
+#: Calls that the language has as expressions of their own, no functions (fixed values).
+_OWN_EXPRESSIONS = frozenset("COALESCE NULLIF IIF LEFT RIGHT PARSE TRY_PARSE".split())
+
+
 @on("avoid-non-sargable-predicate", "comparison")
 def _(b: Batch, n: Node):
     if in_predicate(n):
         for x in (n.left, n.right):
-            if x.type == "call" and x.data_type is None and contains_column(x) and call_name(x) not in ("UPPER", "LOWER"):
+            if x.type == "call" and x.data_type is None and contains_column(x) and call_name(x) not in _OWN_EXPRESSIONS:
                 yield node_at(x, "A function over a column can't use an index.")
 
 
@@ -816,8 +820,9 @@ def _bases(b: Batch, n: Node) -> set[str]:
 
 @on("avoid-or-on-different-columns", "bool_binary")
 def _(b: Batch, n: Node):
-    if n.op == "OR" and n.left.type == "comparison" and n.right.type == "comparison":
-        x, y = _bases(b, n.left), _bases(b, n.right)
+    left, right = _unwrap(n.left), _unwrap(n.right)
+    if n.op == "OR" and left.type == "comparison" and right.type == "comparison" and in_predicate(n):
+        x, y = _bases(b, left), _bases(b, right)
         if x and y and not x & y:
             yield node_at(n, "OR over different columns can't use one index.")
 
@@ -1240,8 +1245,6 @@ def _(b: Batch):
                 saved = True
             elif n.type in ("commit", "rollback"):
                 depth = max(0, depth - 1)
-                if not depth:
-                    saved = False
 
 
 @on("require-try-catch-for-transaction", "begin_tran")
@@ -1334,7 +1337,7 @@ def _(s: Script):
     lines = re.split(r"\r\n|\r|\n", s.text)
     start = None
     for i, line in enumerate([*lines, "x"]):
-        if not line.strip() and i < len(lines) and not (i == len(lines) - 1 and line == ""):
+        if not line.strip():
             if start is None:
                 start = i
             continue
@@ -1352,10 +1355,9 @@ def _(s: Script):
         line = s.text[start:end].strip()
         if not line or line.startswith("--"):
             continue
-        go = line.rstrip(";").strip().upper() == "GO"
+        go = line.upper() == "GO"
         if go and before:
-            at = start + len(s.text[start:end]) - len(s.text[start:end].lstrip())
-            yield Finding("", at, at + 2, "GO follows GO.")
+            yield Finding("", start, start + 2, "GO follows GO.")
         before = go
 
 
@@ -1507,7 +1509,8 @@ def _(b: Batch, n: Node):
     if n.operand is not None:
         return
     for w, t in zip(n.whens, n.thens):
-        if any(call_name(x) in ("ISNUMERIC", "ISDATE") for x in w.walk()) and any(call_name(x) in ("CAST", "CONVERT") for x in t.walk()):
+        tested = (x for c in _comparisons(w) for x in (c.left, c.right))
+        if any(call_name(x) in ("ISNUMERIC", "ISDATE") for x in tested) and any(call_name(x) in ("CAST", "CONVERT") for x in t.walk()):
             yield At(n.a, n.a, "Use TRY_CONVERT or TRY_CAST.")
             return
 
@@ -1695,10 +1698,6 @@ def _(b: Batch, n: Node):
 def _(b: Batch, n: Node):
     parts = b.parts(n.d["name"])
     if len(parts) == 1 and not is_temp(parts[0]) and not parts[0].startswith("@"):
-        up = n.up
-        if up is not None and up.type in ("update", "delete") and up.target is n:
-            if any(r.alias is not None and b.name(r.alias).lower() == parts[0].lower() for r in flatten(up.from_)):
-                return
         yield node_at(n.d["name"], "Qualify the table with its schema.")
 
 
