@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-SMALL_BYTES = 64 * 1024 * 1024
+SMALL_BYTES = 16 * 1024 * 1024
 
 
 def spread(df: DataFrame) -> DataFrame:
