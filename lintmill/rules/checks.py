@@ -278,7 +278,7 @@ def _soft(b: Batch, i: int) -> bool:
 @on("escape-keyword-identifier", "table", "column", "column_definition")
 def _(b: Batch, n: Node):
     if n.type == "table":
-        ids = [p for p in n.d["name"].parts if p is not None]
+        ids = [n.d["name"].parts[-1]]
     elif n.type == "column":
         if n.up is not None and n.up.type == "call" and call_name(n.up) in DATEPART_FIRST and n.up.args and n.up.args[0] is n:
             return
