@@ -75,12 +75,12 @@ FIXES: dict[str, list[tuple[str, str]]] = {
         ("CREATE TABLE dbo.t{k} (a VARBINARY NOT NULL);", "CREATE TABLE dbo.t{k} (a VARBINARY(50) NOT NULL);"),
     ],
     "semantic-unicode-string": [("DECLARE @x VARCHAR(10); SET @x = 'Grün {k}';", "DECLARE @x NVARCHAR(10); SET @x = 'Grün {k}';")],
-    "normalize-execute-keyword": [("EXEC dbo.p {k};\nexec dbo.q;", "EXECUTE dbo.p {k};\nexecute dbo.q;")],
+    "normalize-execute-keyword": [("EXEC dbo.p {k};\nexec dbo.q;", "EXECUTE dbo.p {k};\nEXECUTE dbo.q;")],
     "normalize-inequality-operator": [("SELECT a FROM dbo.t WHERE a != {k} AND b<>1;", "SELECT a FROM dbo.t WHERE a <> {k} AND b<>1;")],
-    "normalize-procedure-keyword": [("CREATE PROC dbo.p{k} AS SELECT 1;", "CREATE PROCEDURE dbo.p{k} AS SELECT 1;"), ("drop proc dbo.p;", "drop procedure dbo.p;")],
+    "normalize-procedure-keyword": [("CREATE PROC dbo.p{k} AS SELECT 1;", "CREATE PROCEDURE dbo.p{k} AS SELECT 1;"), ("drop proc dbo.p;", "drop PROCEDURE dbo.p;")],
     "normalize-transaction-keyword": [
         ("BEGIN TRAN;\nSELECT {k};\nCOMMIT;", "BEGIN TRANSACTION;\nSELECT {k};\nCOMMIT TRANSACTION;"),
-        ("begin tran;\nrollback tran;", "begin transaction;\nrollback transaction;"),
+        ("begin tran;\nrollback tran;", "begin TRANSACTION;\nrollback TRANSACTION;"),
     ],
     "prefer-unicode-string-literals": [("SELECT 'a{k}', N'b';", "SELECT N'a{k}', N'b';"), ("SELECT a FROM dbo.t WHERE a = 'x';", "SELECT a FROM dbo.t WHERE a = 'x';")],
     "require-as-for-column-alias": [("SELECT a x, {k} y FROM dbo.t;", "SELECT a AS x, {k} AS y FROM dbo.t;")],
@@ -89,7 +89,7 @@ FIXES: dict[str, list[tuple[str, str]]] = {
         ("IF @a = {k}\n    SELECT 1;\nELSE\n    SELECT 2;", "IF @a = {k}\nBEGIN\n    SELECT 1;\nEND\nELSE\nBEGIN\n    SELECT 2;\nEND"),
     ],
     "require-explicit-join-type": [
-        ("SELECT t.a FROM dbo.t JOIN dbo.u ON t.a = u.a left join dbo.v ON v.a = {k};", "SELECT t.a FROM dbo.t INNER JOIN dbo.u ON t.a = u.a left outer join dbo.v ON v.a = {k};"),
+        ("SELECT t.a FROM dbo.t JOIN dbo.u ON t.a = u.a left join dbo.v ON v.a = {k};", "SELECT t.a FROM dbo.t INNER JOIN dbo.u ON t.a = u.a left OUTER join dbo.v ON v.a = {k};"),
     ],
     "semicolon-termination": [("SELECT 1\nSELECT {k}", "SELECT 1;\nSELECT {k};"), ("SELECT {k};\nGO\nSELECT 2 -- x", "SELECT {k};\nGO\nSELECT 2; -- x")],
 }

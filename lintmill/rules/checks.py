@@ -468,7 +468,7 @@ def _scope_refs(n: Node) -> list[Node]:
 @on("semantic-duplicate-alias", "select", "update", "delete", "merge")
 def _(b: Batch, n: Node):
     for r in duplicates(_scope_refs(n), lambda r: ref_name(b, r)):
-        yield node_at(r.alias if r.alias is not None else r, "The alias or table name occurs twice in the same scope.")
+        yield node_at(r, "The alias or table name occurs twice in the same scope.")
 
 
 def _branches(q: Node) -> Iterator[Node]:
@@ -1368,15 +1368,11 @@ def _(s: Script):
             yield Finding("", at, at + len(tok), "A block comment within a block comment.")
 
 
-def _like(pattern: str, word: str) -> str:
-    return word.lower() if pattern.islower() else word.capitalize() if pattern[:1].isupper() and pattern[1:].islower() else word.upper()
-
-
 @on_batch("normalize-execute-keyword")
 def _(b: Batch):
     for i, k in enumerate(b.k):
         if k == "EXEC" and not (i and b.t[i - 1] == "."):
-            yield At(i, i, "Write EXECUTE.", edits=[(b.start(i), b.end(i), _like(b.t[i], "EXECUTE"))])
+            yield At(i, i, "Write EXECUTE.", edits=[(b.start(i), b.end(i), "EXECUTE")])
 
 
 @on("normalize-inequality-operator", "comparison")
@@ -1390,19 +1386,19 @@ def _(b: Batch, n: Node):
 def _(b: Batch):
     for i, k in enumerate(b.k):
         if k == "PROC" and i and b.k[i - 1] in ("CREATE", "ALTER", "DROP"):
-            yield At(i, i, "Write PROCEDURE.", edits=[(b.start(i), b.end(i), _like(b.t[i], "PROCEDURE"))])
+            yield At(i, i, "Write PROCEDURE.", edits=[(b.start(i), b.end(i), "PROCEDURE")])
 
 
 @on("normalize-transaction-keyword", "begin_tran", "save_tran", "commit", "rollback")
 def _(b: Batch, n: Node):
     for i in range(n.a, n.b + 1):
         if b.k[i] == "TRAN":
-            yield At(i, i, "Write TRANSACTION.", edits=[(b.start(i), b.end(i), _like(b.t[i], "TRANSACTION"))])
+            yield At(i, i, "Write TRANSACTION.", edits=[(b.start(i), b.end(i), "TRANSACTION")])
             return
         if b.k[i] in ("TRANSACTION", "WORK"):
             return
     if n.type in ("commit", "rollback"):
-        yield At(n.a, n.a, "Write TRANSACTION.", edits=[(b.end(n.a), b.end(n.a), " " + _like(b.t[n.a], "TRANSACTION"))])
+        yield At(n.a, n.a, "Write TRANSACTION.", edits=[(b.end(n.a), b.end(n.a), " TRANSACTION")])
 
 
 @on("prefer-coalesce-over-nested-isnull", "call")
@@ -1633,11 +1629,11 @@ def _(b: Batch, n: Node):
     if n.kind == "INNER" and not n.explicit:
         i = n.join_at - 1 if hinted else n.join_at
         at = b.start(i)
-        yield At(n.join_at, n.join_at, "Write INNER JOIN.", edits=[(at, at, _like(b.t[n.join_at], "INNER") + " ")])
+        yield At(n.join_at, n.join_at, "Write INNER JOIN.", edits=[(at, at, "INNER ")])
     elif n.kind in ("LEFT", "RIGHT", "FULL") and not n.outer:
         i = n.join_at - 1 if hinted else n.join_at
         at = b.start(i)
-        yield At(n.at, n.join_at, f"Write {n.kind} OUTER JOIN.", edits=[(at, at, _like(b.t[n.join_at], "OUTER") + " ")])
+        yield At(n.at, n.join_at, f"Write {n.kind} OUTER JOIN.", edits=[(at, at, "OUTER ")])
 
 
 @on("require-qualified-columns-everywhere", "select")
