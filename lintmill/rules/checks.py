@@ -403,8 +403,9 @@ def _(b: Batch, n: Node):
 
 @on("require-parentheses-for-mixed-and-or", "bool_binary")
 def _(b: Batch, n: Node):
-    if any(c.type == "bool_binary" and c.op != n.op for c in (n.left, n.right)):
-        yield node_at(n, "AND and OR are mixed without parentheses.")
+    for c in (n.left, n.right):
+        if c.type == "bool_binary" and c.op != n.op:
+            yield node_at(n, "AND and OR are mixed without parentheses.")
 
 
 @on("semantic-alias-scope-violation", "select")
@@ -1633,7 +1634,7 @@ def _(b: Batch, n: Node):
     elif n.kind in ("LEFT", "RIGHT", "FULL") and not n.outer:
         i = n.join_at - 1 if hinted else n.join_at
         at = b.start(i)
-        yield At(n.at, n.join_at, f"Write {n.kind} OUTER JOIN.", edits=[(at, at, "OUTER ")])
+        yield At(n.join_at, n.join_at, f"Write {n.kind} OUTER JOIN.", edits=[(at, at, "OUTER ")])
 
 
 @on("require-qualified-columns-everywhere", "select")
