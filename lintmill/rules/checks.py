@@ -566,10 +566,8 @@ def _(b: Batch, n: Node):
 def _(b: Batch, n: Node):
     seen = False
     for s in n.body or []:
-        if seen and s.type != "label":
+        if seen:
             yield node_at(s, "The statement after RETURN is never reached.")
-        if s.type == "label":
-            seen = False
         if s.type == "return":
             seen = True
 
@@ -1588,9 +1586,9 @@ _FLOW = ("return", "break", "continue", "throw")
 
 @on("require-begin-end-lenient", "if")
 def _(b: Batch, n: Node):
-    if n.then.type not in ("block", "try_catch", *_FLOW):
+    if n.then.type not in ("block", *_FLOW):
         yield first(n, "The body of IF needs BEGIN ... END.")
-    if n.else_ is not None and n.else_.type not in ("block", "if", "try_catch", *_FLOW):
+    if n.else_ is not None and n.else_.type not in ("block", "if", *_FLOW):
         yield At(n.else_at, n.else_at, "The body of ELSE needs BEGIN ... END.")
 
 
@@ -1610,9 +1608,9 @@ def _wrap(b: Batch, body: Node) -> list[tuple[int, int, str]]:
 
 @on("require-begin-end-strict", "if")
 def _(b: Batch, n: Node):
-    if n.then.type not in ("block", "try_catch"):
+    if n.then.type != "block":
         yield first(n, "The body of IF needs BEGIN ... END.", edits=_wrap(b, n.then))
-    if n.else_ is not None and n.else_.type not in ("block", "if", "try_catch"):
+    if n.else_ is not None and n.else_.type not in ("block", "if"):
         yield At(n.else_at, n.else_at, "The body of ELSE needs BEGIN ... END.", edits=_wrap(b, n.else_))
 
 
