@@ -654,9 +654,11 @@ def _for_clause(n: Node) -> Node | None:
 @on("stuff-without-order-by", "call")
 def _(b: Batch, n: Node):
     if call_name(n) == "STUFF":
-        q = _for_clause(n)
-        if q is not None and q.d["for"] == "XML" and q.d.get("for_mode") == "PATH" and q.order is None:
-            yield node_at(n.parts[0], "The concatenation has no ORDER BY.")
+        for x in n.args:
+            q = x.query if x.type == "subquery" else None
+            if q is not None and q.type == "select" and q.d.get("for") == "XML" and q.d.get("for_mode") == "PATH" and q.order is None:
+                yield node_at(n.parts[0], "The concatenation has no ORDER BY.")
+                return
 
 
 def _category(b: Batch, e: Node) -> str | None:
@@ -1280,12 +1282,17 @@ _preamble("set-transaction-isolation-level", lambda n: n.type == "set_isolation"
 
 @on_script("set-xact-abort")
 def _(s: Script):
-    on_ = False
+    def switches_on(n: Node) -> bool:
+        return n.type == "set_option" and bool(n.on) and "XACT_ABORT" in (n.names or [])
+
+    # inside modules and blocks a setting anywhere at batch level counts, at batch level one before
+    anywhere = any(switches_on(n) for _, n in s.statements())
+    seen = False
     for b in s.batches:
         for n in b.nodes:
-            if n.type == "set_option" and n.names and "XACT_ABORT" in n.names and n.on is not None:
-                on_ = bool(n.on)
-            elif n.type == "begin_tran" and not on_:
+            if switches_on(n):
+                seen = True
+            elif n.type == "begin_tran" and not seen and not (anywhere and n.up is not None and n.up.type != "batch"):
                 yield Finding("", b.start(n.a), b.end(n.a), "SET XACT_ABORT ON is missing before the transaction.")
 
 
