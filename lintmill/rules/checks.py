@@ -1517,7 +1517,35 @@ def _(b: Batch, n: Node):
             return
 
 
-_SAFE_PARENT = ("comparison", "like", "in", "exec_arg", "call", "insert", "update", "merge", "set_option", "raiserror", "execute_as")
+_NARROW = ("CHAR", "VARCHAR", "TEXT")
+_BYTES = ("BINARY", "VARBINARY", "IMAGE")
+
+
+def _needs_no_unicode(b: Batch, n: Node, types: dict[str, str]) -> bool:
+    """Whether a literal stands where its encoding matters, so that it must stay as it is."""
+    p = n.up
+    if p.type == "comparison":
+        other = p.right if p.left is n else p.left
+        if not is_string(b, other):
+            return True
+    if p.type == "like" and p.right is n:
+        return True
+    if p.type in ("declaration", "parameter") and p.value is n and type_name(b, p.type_) in _NARROW:
+        return True
+    if p.type == "set_variable" and p.expr is n and p.var is not None and types.get(b.t[p.var].lower()) in _NARROW:
+        return True
+    if p.type == "select_set" and p.expr is n and types.get(b.t[p.a].lower()) in _NARROW:
+        return True
+    for p, c in ancestors(n):
+        if p.type in ("insert", "update", "merge", "execute") or (p.type == "in" and c is not p.left):
+            return True
+        if p.type == "call":
+            if p.data_type is None:
+                if call_name(p) not in _OWN_EXPRESSIONS:
+                    return True
+            elif call_name(p) in ("CAST", "CONVERT") and c is p.args[0] and type_name(b, p.data_type) in _NARROW + _BYTES:
+                return True
+    return False
 
 
 @on_script("prefer-unicode-string-literals")
@@ -1527,21 +1555,7 @@ def _(s: Script):
         for n in b.nodes:
             if n.type in ("declaration", "parameter") and n.type_ is not None:
                 types[b.t[n.a].lower()] = type_name(b, n.type_)
-            if not is_string(b, n) or b.t[n.a][0] in "nN":
-                continue
-            safe = False
-            for p, c in ancestors(n):
-                if p.type in ("comparison", "like", "in", "call", "execute", "insert", "update", "merge", "between"):
-                    safe = True
-                elif p.type in ("declaration", "parameter") and type_name(b, p.type_) in ("CHAR", "VARCHAR", "TEXT"):
-                    safe = c is p.value
-                elif p.type == "set_variable" and p.var is not None and types.get(b.t[p.var].lower()) in ("CHAR", "VARCHAR", "TEXT"):
-                    safe = c is p.expr
-                elif p.type == "select_set" and types.get(b.t[p.a].lower()) in ("CHAR", "VARCHAR", "TEXT"):
-                    safe = c is p.expr
-                if safe:
-                    break
-            if not safe:
+            elif is_string(b, n) and b.t[n.a][0] not in "nN" and n.up is not None and not _needs_no_unicode(b, n, types):
                 at = b.start(n.a)
                 yield Finding("", at, b.end(n.a), "The literal isn't Unicode; write N'...'.", [(at, at, "N")])
 
