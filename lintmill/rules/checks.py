@@ -142,8 +142,8 @@ def is_string(b: Batch, n: Node) -> bool:
 
 @on("aggregate-in-where-clause", "where")
 def _(b: Batch, n: Node):
-    if n.cond is None:
-        return
+    if n.cond is None or any(p.type == "subquery" for p, _ in ancestors(n)):
+        return  # within a subquery an aggregate may belong to the outer query
     for x in [n.cond, *own_nodes(n, ("subquery", "select"))]:
         if x.type == "call" and call_name(x) in AGGREGATES and x.over is None:
             yield node_at(x, f"Aggregate {call_name(x)} cannot stand in WHERE; use HAVING.")
@@ -167,20 +167,27 @@ def _(b: Batch):
             yield At(i, i, "@@IDENTITY also returns keys that triggers made; use SCOPE_IDENTITY().")
 
 
+def _asks_the_clock(b: Batch, n: Node) -> bool:
+    """A datetime function in calls, operators or parentheses."""
+    if n.type == "parameterless_call":
+        return b.is_word(n.a, "CURRENT_TIMESTAMP")
+    if n.type == "call":
+        return call_name(n) in DATETIME_FUNCTIONS or (n.data_type is None and any(_asks_the_clock(b, x) for x in n.args))
+    if n.type == "binary":
+        return _asks_the_clock(b, n.left) or _asks_the_clock(b, n.right)
+    return n.type == "paren" and _asks_the_clock(b, n.operand)
+
+
 @on("avoid-between-for-datetime-range", "between")
 def _(b: Batch, n: Node):
     if not in_predicate(n):
         return
     for x in (n.left, n.low, n.high):
-        for y in x.walk():
-            if (
-                (y.type == "column" and "time" in b.parts(y)[-1].lower())
-                or (y.type == "call" and call_name(y) in DATETIME_FUNCTIONS)
-                or y.type == "parameterless_call" and b.is_word(y.a, "CURRENT_TIMESTAMP")
-                or (y.type == "call" and y.data_type is not None and type_name(b, y.data_type) in DATETIME_TYPES)
-            ):
-                yield At(n.at, n.at, "BETWEEN includes its end and misses fractions of it; use >= and <.")
-                return
+        name = b.parts(x)[-1] if x.type == "column" else b.t[x.a] if x.type == "variable" else ""
+        cast = x.type == "call" and call_name(x) in ("CAST", "CONVERT") and type_name(b, x.data_type) in DATETIME_TYPES
+        if "time" in name.lower() or cast or _asks_the_clock(b, x):
+            yield At(n.at, n.at, "BETWEEN includes its end and misses fractions of it; use >= and <.")
+            return
 
 
 @on("avoid-float-for-decimal", "data_type")
