@@ -172,7 +172,7 @@ def _asks_the_clock(b: Batch, n: Node) -> bool:
     if n.type == "parameterless_call":
         return b.is_word(n.a, "CURRENT_TIMESTAMP")
     if n.type == "call":
-        return call_name(n) in DATETIME_FUNCTIONS or (n.data_type is None and any(_asks_the_clock(b, x) for x in n.args))
+        return call_name(n) in DATETIME_FUNCTIONS - {"SYSDATETIMEOFFSET"} or (n.data_type is None and any(_asks_the_clock(b, x) for x in n.args))
     if n.type == "binary":
         return _asks_the_clock(b, n.left) or _asks_the_clock(b, n.right)
     return n.type == "paren" and _asks_the_clock(b, n.operand)
@@ -184,7 +184,7 @@ def _(b: Batch, n: Node):
         return
     for x in (n.left, n.low, n.high):
         name = b.parts(x)[-1] if x.type == "column" else b.t[x.a] if x.type == "variable" else ""
-        cast = x.type == "call" and call_name(x) in ("CAST", "CONVERT") and type_name(b, x.data_type) in DATETIME_TYPES
+        cast = x.type == "call" and call_name(x) in ("CAST", "CONVERT") and type_name(b, x.data_type) in DATETIME_TYPES | {"TIME"}
         if "time" in name.lower() or cast or _asks_the_clock(b, x):
             yield At(n.at, n.at, "BETWEEN includes its end and misses fractions of it; use >= and <.")
             return
