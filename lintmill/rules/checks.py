@@ -117,7 +117,7 @@ def duplicates(items, key) -> Iterator:
         seen.add(k)
 
 
-def contains_column(n: Node, datepart: bool = False) -> bool:
+def contains_column(n: Node) -> bool:
     """Whether a column lies in the expression through calls, casts, operators and parentheses."""
     if n.type == "column":
         return True
@@ -128,9 +128,7 @@ def contains_column(n: Node, datepart: bool = False) -> bool:
         return any(contains_column(x) for x in args)
     if n.type == "binary":
         return contains_column(n.left) or contains_column(n.right)
-    if n.type in ("paren", "unary", "collate"):
-        return contains_column(n.operand)
-    return False
+    return n.type == "paren" and contains_column(n.operand)
 
 
 def is_string(b: Batch, n: Node) -> bool:
