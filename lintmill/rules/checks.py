@@ -600,9 +600,8 @@ def _visible(b: Batch, n: Node) -> set[str]:
             if c.type == "output":
                 out |= {"inserted", "deleted"}
         elif p.type == "insert":
-            out.add((ref_name(b, p.target) or "").lower())
             if c.type == "output":
-                out |= {"inserted", "deleted"}
+                out.add("inserted")
         elif p.type == "create_table":
             return {"*"}
     return out
