@@ -167,16 +167,12 @@ _ROWSET_CALLS = frozenset(
     "OPENROWSET OPENQUERY OPENDATASOURCE OPENXML CONTAINSTABLE FREETEXTTABLE SEMANTICKEYPHRASETABLE SEMANTICSIMILARITYTABLE SEMANTICSIMILARITYDETAILSTABLE".split()
 )
 _JOIN_HINTS = frozenset({"LOOP", "HASH", "MERGE", "REMOTE"})
-_ALIAS_STOP = frozenset(
-    "FORCE MATCHED OUTPUT OFFSET WITHIN WINDOW CROSS OUTER APPLY PIVOT UNPIVOT USING".split()
-)  # contextual words that continue a clause rather than name an alias; checked with their follower where ambiguous
 _STATEMENT_LIKE = STARTERS | {"END", "ELSE", "EOF", ";", "GO"}
 
 
 class Parser:
     def __init__(self, toks: list[str], kinds: list[str], memo: "StatementMemo | None" = None):
         self.t, self.k, self.i, self.memo = toks, kinds + ["EOF"] * (LOOK + 1), 0, memo
-        self.loop = 0
 
     # -- helpers -------------------------------------------------------------
     def fail(self, message: str | None = None):
@@ -547,7 +543,6 @@ class Parser:
             elif k[j] == ")":
                 depth -= 1
                 if depth == 0:
-                    self.far = max(getattr(self, "far", 0), j + 1)
                     return k[j + 1] in ("UNION", "EXCEPT", "INTERSECT", "ORDER")
             j += 1
         return False
@@ -967,7 +962,7 @@ class Parser:
             e = self.scalar()
             return self.node("select_set", a, expr=e, op=op)
         if k[a] in _NAMES or k[a] == "STR":
-            if k[a + 1] == "=" and (k[a] != "STR" or True):
+            if k[a + 1] == "=":
                 self.i += 2
                 e = self.scalar()
                 return self.node("select_item", a, expr=e, alias=Node("ident", a, a, {}), alias_form="=")
@@ -1119,8 +1114,6 @@ class Parser:
             n = self.name()
             return n, "AS"
         if k[self.i] in _NAMES and not self.starts_here():
-            if k[self.i] in ("FORCE", "MATCHED") and False:
-                return None, None
             n = self.name()
             return n, ""
         if required:
@@ -1666,8 +1659,7 @@ class Parser:
             body = self.statements(("END",))
             self.want("END")
             self.want("TRY")
-            while self.take(";"):
-                break
+            self.take(";")
             self.want("BEGIN")
             catch_at = self.i - 1
             self.want("CATCH")
@@ -1767,7 +1759,7 @@ class Parser:
         self.i += 1
         e = None
         if k[self.i] not in _STATEMENT_LIKE and not (k[self.i] in _NAMES and (self.starts_here() or k[self.i + 1] == ":")) or k[self.i] == "(":
-            e = self.scalar() if not (k[self.i] == "(" and self.paren_query()) else self.scalar()
+            e = self.scalar()
         return self.node("return", a, expr=e)
 
     def s_simple(self, a: int) -> Node:
@@ -2166,8 +2158,6 @@ class Parser:
                 self.name()
                 if self.take("AUTHORIZATION"):
                     self.name()
-            while k[self.i] in ("CREATE", "GRANT", "DENY", "REVOKE") and False:
-                self.statement()
             return self.node("create_schema", a)
         if kind == "TYPE" and k[a] == "CREATE":
             self.i += 1
@@ -2322,7 +2312,7 @@ class Parser:
             self.i += 1
             ctes = None
             paren = 0
-            while k[self.i] == "(" and not (k[self.i + 1] == "SELECT" and False):
+            while k[self.i] == "(":
                 if k[self.i + 1] in ("SELECT", "WITH", "("):
                     paren += 1
                     self.i += 1
@@ -2699,7 +2689,8 @@ class Parser:
         kind = k[self.i]
         if kind == "ADD":
             self.i += 1
-            self.take("COLUMN") and self.fail()
+            if k[self.i] == "COLUMN":
+                self.fail()
             d["elements"] = self.comma_list(self.table_element)
             d["action"] = "ADD"
         elif kind == "ALTER":
