@@ -51,7 +51,6 @@ _PLACEHOLDER = re.compile(
 _HASH = re.compile(
     r"^(?:0x[0-9a-f]*|\$2[abxy]?\$\d\d\$.*|\$(?:1|5|6|argon2\w*|pbkdf2\w*)\$.*|(?:md5|sha\d+|bcrypt|\{s?sha\d*\})[:$}].*)$", re.IGNORECASE | re.DOTALL
 )
-_HEX = re.compile(r"^[0-9a-fA-F]+$")
 _GUID = re.compile(r"^\{?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\}?$")
 _URL_START = re.compile(r"^[a-z][a-z0-9+.-]*://", re.IGNORECASE)
 
