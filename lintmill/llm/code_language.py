@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lintmill.arrow import map_lists
 from lintmill.llm.script_text import language_of
+from lintmill.llm.secrets import line_numbers
 from lintmill.syntax import lexer as L
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja", "zh")
@@ -54,6 +56,7 @@ _CODE_MARK = re.compile(
 )
 _CODE_CHARS = re.compile(r"[=<>;{}\[\]@#$\\|]|\w\.\w|\w_\w|\(\)|::")
 _MARGIN = re.compile(r"^[ \t]*(?:\*|--+|//+|#+)?[ \t]*")
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$")
 _RULER = re.compile(r"[-=*_#~+/\s]{3,}")
 
 
@@ -154,33 +157,55 @@ class Model:
 # -- spans -----------------------------------------------------------------
 
 
-def _comment_text(tok: str) -> str:
-    if tok[:2] == "--":
-        return tok.lstrip("-").strip()
+#: A span and the places of its stretches, ascending: (offset in the span, offset in the text).
+Span = tuple[str, list[tuple[int, int]]]
+
+
+def place_of(places: list[tuple[int, int]], at: int) -> int:
+    """Offset in the text of an offset in a span."""
+    a, b = places[bisect_right(places, at, key=lambda p: p[0]) - 1]
+    return b + at - a
+
+
+def _comment_span(tok: str, pos: int) -> Span:
     body = tok[2:]
     if body.endswith("*/"):
         body = body[:-2]
-    return body
+    return body, [(0, pos + 2)]
 
 
-def _string_text(tok: str) -> str:
+def _string_span(tok: str, pos: int) -> Span:
     start = 2 if tok[0] in "nN" else 1
     body = tok[start:-1] if tok[-1:] == "'" and len(tok) > start else tok[start:]
-    return body.replace("''", "'")
+    places = [(0, pos + start)]
+    for k, m in enumerate(re.finditer("''", body)):
+        places.append((m.end() - k - 1, pos + start + m.end()))
+    return body.replace("''", "'"), places
+
+
+def _run_span(run: list[tuple[str, int]]) -> Span:
+    places, at = [], 0
+    for body, pos in run:
+        places.append((at, pos))
+        at += len(body) + 1
+    return "\n".join(body for body, _ in run), places
 
 
-def tsql_spans(text: str) -> Iterator[str]:
+def tsql_spans(text: str) -> Iterator[Span]:
     """Comments and string literals; line comments on neighbouring lines make one span."""
     lexemes, _ = L.split(text)
-    run: list[str] = []
+    run: list[tuple[str, int]] = []
     gap = ""
+    end = 0
     for tok in lexemes:
+        pos, end = end, end + len(tok)
         two = tok[:2]
         if two == "--":
             if run and gap.count("\n") + gap.count("\r") - gap.count("\r\n") > 1:
-                yield "\n".join(run)
+                yield _run_span(run)
                 run = []
-            run.append(tok.lstrip("-"))
+            body = tok.lstrip("-")
+            run.append((body, end - len(body)))
             gap = ""
             continue
         c = tok[0]
@@ -188,70 +213,95 @@ def tsql_spans(text: str) -> Iterator[str]:
             gap += tok
             continue
         if run:
-            yield "\n".join(run)
+            yield _run_span(run)
             run = []
         if two == "/*":
-            yield _comment_text(tok)
+            yield _comment_span(tok, pos)
         elif c == "'" or (c in "nN" and two[1:] == "'"):
             if len(tok) > LEAST_CJK:
-                yield _string_text(tok)
+                yield _string_span(tok, pos)
     if run:
-        yield "\n".join(run)
+        yield _run_span(run)
 
 
 _JSON_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"(\s*:)?', re.DOTALL)
+_JSON_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\.", re.DOTALL)
 _XML_NOTE = re.compile(r"<!--(.*?)(?:-->|$)", re.DOTALL)
 
 
-def markup_spans(text: str, language: str) -> Iterator[str]:
+def _json_span(v: str, pos: int) -> Span:
+    places = [(0, pos)]
+    if "\\" in v:
+        try:
+            plain = json.loads('"' + v + '"')
+        except ValueError:
+            return v, places
+        less = 0  # characters by which the value is shorter so far
+        for m in _JSON_ESCAPE.finditer(v):
+            less += m.end() - m.start() - 1
+            places.append((m.end() - less, pos + m.end()))
+        v = plain
+    return v, places
+
+
+def markup_spans(text: str, language: str) -> Iterator[Span]:
     """String values of JSON, comments of XML."""
     if language == "xml":
         for m in _XML_NOTE.finditer(text):
-            yield m.group(1)
+            yield m.group(1), [(0, m.start(1))]
         return
     for m in _JSON_STRING.finditer(text):
         if m.group(2) is None and len(m.group(1)) > LEAST_CJK:
-            v = m.group(1)
-            if "\\" in v:
-                try:
-                    v = json.loads('"' + v + '"')
-                except ValueError:
-                    pass
-            yield v
+            yield _json_span(m.group(1), m.start(1))
 
 
 def sentences(span: str) -> Iterator[str]:
     """Sentences of a span: lines without their margin, joined where a line goes on."""
+    for s, _, _ in placed_sentences(span):
+        yield s
+
+
+def placed_sentences(span: str) -> Iterator[tuple[str, int, int]]:
+    """Each sentence with the offsets in the span of its first character and behind its last."""
     parts: list[str] = []
+    starts: list[int] = []  # of the parts in the span
     words = cjk = 0  # of the parts
-    for line in re.split(r"\r\n|\r|\n", span):
-        line = _MARGIN.sub("", line, count=1).strip()
+    end = 0
+    for raw in _LINE.findall(span):
+        at, end = end, end + len(raw)
+        line = raw[_MARGIN.match(raw).end() :]
+        at += len(raw) - len(line.lstrip())
+        line = line.strip()
         if not line or _RULER.fullmatch(line) or not any(c.isalpha() for c in line):
             if parts:
-                yield from _split(" ".join(parts))
-                parts, words, cjk = [], 0, 0
+                yield from _split(parts, starts)
+                parts, starts, words, cjk = [], [], 0, 0
             continue
         if parts:
             # a line of capital start after lines that are a sentence already is another one
             enough = words >= LEAST_WORDS or cjk >= LEAST_CJK
             anew = enough and (line[0].isupper() or line[0] in "¿¡" or _CJK.match(line)) and is_long_enough(line)
             if anew or parts[-1][-1] in ".!?。！？:":
-                yield from _split(" ".join(parts))
-                parts, words, cjk = [], 0, 0
+                yield from _split(parts, starts)
+                parts, starts, words, cjk = [], [], 0, 0
         parts.append(line)
+        starts.append(at)
         words += len(_WORDS.findall(line))
         cjk += len(_CJK.findall(line))
     if parts:
-        yield from _split(" ".join(parts))
+        yield from _split(parts, starts)
 
 
-def _split(text: str) -> Iterator[str]:
-    if "." in text or "!" in text or "?" in text or "。" in text or "！" in text:
-        for s in _SENTENCE_END.split(text):
-            if s and s.strip():
-                yield s
-    else:
-        yield text
+def _split(parts: list[str], starts: list[int]) -> Iterator[tuple[str, int, int]]:
+    text = " ".join(parts)
+    _, places = _run_span(list(zip(parts, starts)))
+    ends = [(m.start(), m.end()) for m in _SENTENCE_END.finditer(text)] if any(c in text for c in ".!?。！") else []
+    a = 0
+    for b, after in [*ends, (len(text), len(text))]:
+        s = text[a:b]
+        if s.strip():
+            yield s, place_of(places, a + len(s) - len(s.lstrip())), place_of(places, a + len(s.rstrip()) - 1) + 1
+        a = after
 
 
 def is_long_enough(s: str) -> bool:
@@ -277,7 +327,7 @@ def is_sentence(s: str) -> bool:
     return marks * 5 <= len(_WORDS.findall(s)) or (marks <= 3 and len(_CJK.findall(s)) >= LEAST_CJK)
 
 
-def spans_of(text: str, path: str | None) -> Iterator[str]:
+def spans_of(text: str, path: str | None) -> Iterator[Span]:
     lang = language_of(path)
     return tsql_spans(text) if lang == "tsql" else markup_spans(text, lang)
 
@@ -357,39 +407,66 @@ def clean(by: dict[str, list[str]]) -> dict[str, list[str]]:
 # -- operators -------------------------------------------------------------
 
 
+def found_sentences(model: Model, text: str, path: str | None) -> Iterator[tuple[int, int, str, str, float]]:
+    """(start, end, sentence, language, bits a character) of each sentence, ``und`` where no language fits."""
+    for span, places in spans_of(text, path):
+        if len(span) < LEAST_CJK or not is_long_enough(span):
+            continue
+        for s, a, b in placed_sentences(span):
+            if is_sentence(s):
+                yield place_of(places, a), place_of(places, b - 1) + 1, s, *model.classify(s)
+
+
+def _text_rows(model, ids, paths, texts):
+    for i, path, text in zip(ids, paths, texts):
+        if text:
+            found = sorted(found_sentences(model, text, path))
+            for (a, b, s, lang, bits), n in zip(found, line_numbers(text, [f[0] for f in found])):
+                yield i, n, a, b - a, s.strip(), lang, bits, len(s) / len(text)
+
+
 def _share_rows(model, ids, paths, texts):
     for i, path, text in zip(ids, paths, texts):
         if not text:
             continue
         chars: dict[str, int] = {}
         count: dict[str, int] = {}
-        for span in spans_of(text, path):
-            if len(span) < LEAST_CJK or not is_long_enough(span):
-                continue
-            for s in sentences(span):
-                if not is_sentence(s):
-                    continue
-                lang, _ = model.classify(s)
-                chars[lang] = chars.get(lang, 0) + len(s)
-                count[lang] = count.get(lang, 0) + 1
+        for _, _, s, lang, _ in found_sentences(model, text, path):
+            chars[lang] = chars.get(lang, 0) + len(s)
+            count[lang] = count.get(lang, 0) + 1
         for lang in sorted(chars):
             yield i, lang, count[lang], chars[lang], chars[lang] / len(text)
 
 
+_TEXTS = "script_id long, line_no long, start long, length long, text string, lang string, bits double, share double"
 _SHARES = "script_id long, lang string, sentences int, chars long, share double"
 
 
-def language_shares(scripts: DataFrame, documents: DataFrame, docs: int = TRAIN_DOCS) -> DataFrame:
-    """``script_id, lang, sentences, chars, share`` of the text; ``und`` where no language fits."""
+def _judged(scripts: DataFrame, documents: DataFrame, docs: int, rows, schema: str) -> DataFrame:
     model = train(training_rows(documents, docs))
     if model is None:
-        return scripts.sparkSession.createDataFrame([], _SHARES)
+        return scripts.sparkSession.createDataFrame([], schema)
     shared = scripts.sparkSession.sparkContext.broadcast((model.trees, model.languages, model.order))  # bounded by TRAIN_CHARS a language
 
     def once():
         return Model(*shared.value)
 
-    return map_lists(scripts, ["script_id", "file_path", "text"], _share_rows, _SHARES, once=once)
+    return map_lists(scripts, ["script_id", "file_path", "text"], rows, schema, once=once)
+
+
+def language_texts(scripts: DataFrame, documents: DataFrame, docs: int = TRAIN_DOCS) -> DataFrame:
+    """Each sentence with its place, language, bits a character and share of its script; one pass, no shuffle.
+
+    ``line_no``, ``start`` and ``length`` are of the stretch of the script from the first to the last
+    character of the sentence (zero-based, in characters); ``text`` is the sentence without line
+    breaks, margins and escapes.  ``und`` where no language fits.
+    """
+    return _judged(scripts, documents, docs, _text_rows, _TEXTS)
+
+
+def language_shares(scripts: DataFrame, documents: DataFrame, docs: int = TRAIN_DOCS) -> DataFrame:
+    """The sentences of ``language_texts`` summed per script row: ``script_id, lang, sentences, chars, share``."""
+    return _judged(scripts, documents, docs, _share_rows, _SHARES)
 
 
 def languages_found(scripts: DataFrame, documents: DataFrame) -> DataFrame:

@@ -55,6 +55,12 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return language_shares(table(spark, d, "scripts"), table(spark, d, "documents"))
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    from lintmill.llm.code_language import language_texts
+
+    return language_texts(table(spark, d, "scripts"), table(spark, d, "documents"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     from lintmill.llm.containers import fill
 

@@ -55,3 +55,26 @@ def test_wrong_labels_are_dropped():
 
 def test_long_comment_is_linear():
     list(C.sentences("\n".join(["one two three"] * 50_000)))
+
+
+def test_texts_with_their_place(spark):
+    said = "L''équipe doit regarder cela avant la mise en service. The job must not run while the month is open"
+    rows = [
+        *SCRIPTS, (10, "a.sql", f"PRINT 1\r\nPRINT N'{said}'"), (11, "a.sql", "SELECT 1\n-- xq zk jw qqz ppx vvk zzt"),
+        (12, "a.json", '{"a": "x",\n "b": "The \\"job\\" must not run while \\u0074he month is open"}'),
+    ]
+    s = spark.createDataFrame(rows, "script_id long, file_path string, text string")
+    got = C.language_texts(s, docs(spark)).collect()
+    texts = {i: t for i, _, t in rows}
+    assert [(r["line_no"], r["lang"], r["text"]) for r in sorted(got, key=lambda r: r["start"]) if r["script_id"] == 10] == [
+        (1, "fr", "L'équipe doit regarder cela avant la mise en service."), (1, "en", "The job must not run while the month is open"),
+    ]
+    place = {(r["script_id"], r["lang"]): texts[r["script_id"]][r["start"] : r["start"] + r["length"]] for r in got}
+    assert place[10, "fr"] == said[:said.index(" The")] and place[10, "en"] == said[said.index("The") :]
+    assert place[1, "en"] == "The job must not run while\n-- the month is still open here"
+    assert place[12, "en"] == 'The \\"job\\" must not run while \\u0074he month is open'
+    assert place[6, "ja"] == SCRIPTS[5][2][3:]
+    assert (11, C.UNDETERMINED) in place and all(r["bits"] > 0 for r in got)
+    for r in C.language_shares(s, docs(spark)).where("script_id <> 1").collect():
+        own = [x for x in got if (x["script_id"], x["lang"]) == (r["script_id"], r["lang"])]
+        assert len(own) == r["sentences"] and abs(sum(x["share"] for x in own) - r["share"]) < 1e-9
