@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lintmill.operators import format as fmt
 from lintmill.operators import lint as ops
 from lintmill.plans.rule_cases import CASES, expected
+from lintmill.plans.tables import tsql_scripts
 from lintmill.rules.catalog import RULES, Rule, preset
 from lintmill.rules.engine import Options
 from lintmill.rules.model import Finding
@@ -142,7 +143,7 @@ def format_default(spark: SparkSession, d: str) -> DataFrame:
 
 def format_twice(spark: SparkSession, d: str) -> DataFrame:
     """Scripts that a second formatting would change again: none."""
-    once = fmt.format_scripts(table(spark, d, "scripts").where(F.lower("file_path").endswith(".sql")))
+    once = fmt.format_scripts(tsql_scripts(spark, d))
     twice = fmt.format_scripts(once.select("script_id", F.col("formatted").alias("text")))
     return twice.agg(F.count_if("changed").alias("unstable"))
 

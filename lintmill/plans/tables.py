@@ -111,25 +111,26 @@ def worst_scripts(spark: SparkSession, d: str) -> DataFrame:
     return ops.worst_scripts(table(spark, d, "diagnostics"), 25)
 
 
+def tsql_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts whose path names neither JSON nor XML; one without extension or path is T-SQL."""
+    return table(spark, d, "scripts").where(~F.coalesce(F.lower("file_path").rlike(r"\.(json|xml)\s*$"), F.lit(False)))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Findings and scripts per rule over all T-SQL scripts, all rules."""
-    s = table(spark, d, "scripts").where(~F.coalesce(F.lower("file_path").rlike(r"\.(json|xml)\s*$"), F.lit(False)))
-    return ops.by_rule(ops.lint(s, Options(ruleset=Ruleset.of_preset("strict"))))
+    return ops.by_rule(ops.lint(tsql_scripts(spark, d), Options(ruleset=Ruleset.of_preset("strict"))))
 
 
 def lint_report(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "scripts").where(F.lower("file_path").endswith(".sql"))
-    return ops.report_json(ops.lint(s, Options(ruleset=Ruleset.of_preset("security-only"))))
+    return ops.report_json(ops.lint(tsql_scripts(spark, d), Options(ruleset=Ruleset.of_preset("strict"))))
 
 
 def lint_text(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "scripts").where(F.lower("file_path").endswith(".sql"))
-    return ops.report_text(ops.lint(s, Options(ruleset=Ruleset.of_preset("security-only"))))
+    return ops.report_text(ops.lint(tsql_scripts(spark, d), Options(ruleset=Ruleset.of_preset("strict"))))
 
 
 def fix_all(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "scripts").where(F.lower("file_path").endswith(".sql"))
-    f = ops.fix(s, Options(ruleset=Ruleset.of_preset("strict")))
+    f = ops.fix(tsql_scripts(spark, d), Options(ruleset=Ruleset.of_preset("strict")))
     return f.groupBy("changed").agg(F.count(F.lit(1)).alias("scripts"), F.sum(F.size("applied")).alias("applied"), F.sum(F.size("skipped")).alias("skipped"))
 
 

@@ -164,3 +164,22 @@ def test_every_oracle_names_a_query():
     import __spark_entry__ as e
 
     assert e.oracle_sql().keys() <= e.queries().keys()
+
+
+# -- queries over all T-SQL scripts --------------------------------------------------
+
+
+def test_reports_fixes_and_formats_take_all_tsql(spark, tmp_path):
+    from lintmill.plans import generated, tables
+
+    paths = ["a.sql", "<stdin>", "b.SQL ", None, "noext", "c.json", "d.XML"]
+    rows = [(i, p, "select * from dbo.t where a = null") for i, p in enumerate(paths)]
+    spark.createDataFrame(rows, "script_id long, file_path string, text string").write.parquet(f"{tmp_path}/scripts.parquet")
+    d = str(tmp_path)
+    reports = {r["script_id"]: r["report"] for r in tables.lint_report(spark, d).collect()}
+    assert sorted(reports) == [0, 1, 2, 3, 4] and all("avoid-select-star" in x for x in reports.values())
+    lines = [r["value"] for r in tables.lint_text(spark, d).collect()]
+    assert sum("(avoid-select-star" in x for x in lines) == 5
+    assert sum(r["scripts"] for r in tables.fix_all(spark, d).collect()) == 5
+    assert generated.tsql_scripts(spark, d).count() == 5
+    assert [tuple(r) for r in generated.format_twice(spark, d).collect()] == [(0,)]
