@@ -81,7 +81,8 @@ _KNOWN = re.compile(
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _JSON_PAIR = re.compile(r'"(?P<name>[^"\\\r\n]{1,200})"\s*:\s*"(?P<value>[^"\\]*(?:\\.[^"\\]*)*)"', re.DOTALL)
-_XML_PAIR = re.compile(r"""\b(?:key|name)\s*=\s*(["'])(?P<name>[^"'<>]*)\1\s+(?:value|val)\s*=\s*(["'])(?P<value>[^"'<>]*)\3""", re.IGNORECASE)
+_XML_ELEMENT = re.compile(r"""<(?:"[^"<]*"|'[^'<]*'|[^<>])*""")
+_XML_MEMBER = re.compile(r"""\s(?P<name>[\w.:-]+)\s*=\s*(?:"(?P<q2>[^"<]*)"|'(?P<q1>[^'<]*)')""")
 _XML_ATTRIBUTE = re.compile(r"""\s(?P<name>[\w.:-]+)\s*=\s*(["'])(?P<value>[^"'<>]*)\2""")
 _XML_TEXT = re.compile(r"<(?P<name>[\w.:-]+)[^<>]*>(?P<value>[^<>]+)</(?P=name)\s*>")
 
@@ -338,17 +339,33 @@ def _column_values(sig: list[tuple[str, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _xml_pairs(text: str) -> Iterator[tuple[str, int, int]]:
+    """(name, start, end of the value) of elements that hold a key or name and a value among their attributes, in any order."""
+    for e in _XML_ELEMENT.finditer(text):
+        names, values = [], []
+        for m in _XML_MEMBER.finditer(text, e.start(), e.end()):
+            g = "q2" if m.group("q2") is not None else "q1"
+            own = m.group("name").lower()
+            if own in ("key", "name"):
+                names.append(m.group(g))
+            elif own in ("value", "val"):
+                values.append(m.span(g))
+        pairs = zip(names, values) if len(names) == len(values) else ((name, v) for name in names for v in values)  # a comment may hold several
+        for name, (a, b) in pairs:
+            yield name, a, b
+
+
 def markup_spans(text: str, language: str) -> list[tuple[int, int]]:
     """Spans of credential values in a JSON or XML text."""
     out = list(marked(text))
     if language == "xml":
-        for pattern in (_XML_PAIR, _XML_ATTRIBUTE, _XML_TEXT):
-            for m in pattern.finditer(text):
-                v = m.group("value")
-                if (is_secret_name(m.group("name")) and is_value(v) and _whole(v)) or (
-                    is_key_name(m.group("name")) and looks_random(v) and is_value(v)
-                ):
-                    out.append((m.start("value"), m.end("value")))
+        named = list(_xml_pairs(text))
+        for pattern in (_XML_ATTRIBUTE, _XML_TEXT):
+            named += [(m.group("name"), *m.span("value")) for m in pattern.finditer(text)]
+        for name, a, b in named:
+            v = text[a:b]
+            if (is_secret_name(name) and is_value(v) and _whole(v)) or (is_key_name(name) and looks_random(v) and is_value(v)):
+                out.append((a, b))
     return _merge(out)
 
 

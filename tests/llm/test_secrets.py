@@ -62,3 +62,14 @@ def test_operator(spark):
     assert sorted(((r[0] or 0), r[1]) for r in S.credential_lines(df).collect()) == [(0, 0), (1, 0), (3, 0)]
     assert S.redact_credentials(df).count() == 4
     assert S.credential_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    '<add value="FrozenShipment1393#" key="DbPassword"/>', "<add key='DbPassword' type='string'\n note=\"it's\" value='FrozenShipment1393#' />",
+    '<add type="a>b" VALUE="FrozenShipment1393#" x="" Name="DbPassword" y="1">',
+])
+def test_xml_pairs_in_any_order(text):
+    (a, b), = S.spans(text, "a.xml")
+    assert text[a:b] == "FrozenShipment1393#"
+    assert S.spans(text.replace("DbPassword", "DbServer"), "a.xml") == []
+    assert S.redact(text, [(a, b)]) == text.replace("FrozenShipment1393#", S.REPLACEMENT)
