@@ -86,11 +86,6 @@ _XML_MEMBER = re.compile(r"""\s(?P<name>[\w.:-]+)\s*=\s*(?:"(?P<q2>[^"<]*)"|'(?P
 _XML_ATTRIBUTE = re.compile(r"""\s(?P<name>[\w.:-]+)\s*=\s*(["'])(?P<value>[^"'<>]*)\2""")
 _XML_TEXT = re.compile(r"<(?P<name>[\w.:-]+)[^<>]*>(?P<value>[^<>]+)</(?P=name)\s*>")
 
-_TRIGGERS = (
-    "pass", "pwd", "secret", "token", "auth", "bearer", "basic", "sig=", "signature", "login", "logon", "://", "cred", "apikey", "api_key", "api-key",
-    "private key", "sqlcmd", "gh", "xox", "akia", "asia", "aiza", "eyj", "sk_", "sas",
-)
-
 
 def is_secret_name(name: str) -> bool:
     """Whether an identifier names a credential itself, not something about one."""
@@ -178,7 +173,7 @@ def marked(text: str, base: int = 0) -> Iterator[tuple[int, int]]:
             ok = _basic(v) if m.group("kind").lower() == "basic" else looks_random(v)
             if ok and is_value(v):
                 yield base + m.start("value"), base + m.end("value")
-    if " -p" in low and ("sql" in low or "bcp" in low):
+    if "-p" in low and ("sql" in low or "bcp" in low):
         for m in _COMMAND.finditer(text):
             if is_value(m.group("value")):
                 yield base + m.start("value"), base + m.end("value")
@@ -186,10 +181,10 @@ def marked(text: str, base: int = 0) -> Iterator[tuple[int, int]]:
         for m in _SIGNATURE.finditer(text):
             if looks_random(m.group("value")):
                 yield base + m.start("value"), base + m.end("value")
-    if "_" in low or "-" in low or "akia" in low or "asia" in low or "eyj" in low or "aiza" in low:
+    if "_" in low or "-" in low or "akia" in low or "asia" in low or "eyj" in low or "aiza" in low or "sg." in low:
         for m in _KNOWN.finditer(text):
             yield base + m.start("value"), base + m.end("value")
-    if '":' in low or '" :' in low:
+    if '"' in low and ":" in low:
         for m in _JSON_PAIR.finditer(text):
             v = m.group("value")
             if is_secret_name(m.group("name")) and is_value(v) or is_key_name(m.group("name")) and looks_random(v):
@@ -383,9 +378,6 @@ def spans(text: str | None, path: str | None) -> list[tuple[int, int]]:
     """Spans of all credential values of a script."""
     if not text:
         return []
-    low = text.lower()
-    if not any(t in low for t in _TRIGGERS) and "key" not in low.replace("primary key", ""):
-        return []
     lang = language_of(path)
     return tsql_spans(text) if lang == "tsql" else markup_spans(text, lang)
 

@@ -73,3 +73,14 @@ def test_xml_pairs_in_any_order(text):
     assert text[a:b] == "FrozenShipment1393#"
     assert S.spans(text.replace("DbPassword", "DbServer"), "a.xml") == []
     assert S.redact(text, [(a, b)]) == text.replace("FrozenShipment1393#", S.REPLACEMENT)
+
+
+@pytest.mark.parametrize("text, value", [
+    ("EXEC xp_cmdshell 'bcp d.t out f -S s -U sa -P S3cret9!'", "S3cret9!"), ("-- osql\t-U sa\t-P S3cret9!", "S3cret9!"), ("-- sqlpackage /a -P S3cret9!", "S3cret9!"),
+    ("SET @pw = 'S3cret9!'", "S3cret9!"), ("UPDATE t SET Psw = 'S3cret9!'", "S3cret9!"), ("EXEC('ALTER') -- x\nCREATE USER a IDENTIFIED BY 'S3cret9!'", "S3cret9!"),
+    ("-- use glpat-abcdefghij0123456789", "glpat-abcdefghij0123456789"), ("-- use npm_abcdefghij0123456789", "npm_abcdefghij0123456789"),
+    ("-- use SG.abcdefghij012345.ABCDEFGHIJ012345", "SG.abcdefghij012345.ABCDEFGHIJ012345"), ("-- use github_pat_abcdefghij0123456789", "github_pat_abcdefghij0123456789"),
+    ("-- use nx_aB3defghijklmnopqrstuvwx", "nx_aB3defghijklmnopqrstuvwx"),
+])
+def test_nothing_else_in_the_text_hints_at_it(text, value):
+    assert [text[a:b] for a, b in S.spans(text, "a.sql")] == [value]
