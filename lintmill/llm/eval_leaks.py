@@ -1,12 +1,13 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Method.  A leak repeats ``PASSAGE`` or more consecutive words of a test item with at most one
-word in ten changed; some stretch of exactly ``PASSAGE`` words then has at most
-``BUDGET = PASSAGE // 10`` edits.  Each item is split into pieces of ``PIECE`` words such that
-any such stretch holds at least ``BUDGET + 1`` whole pieces: by the pigeonhole principle one of
-them occurs unchanged.  Exact piece hits come from one pass of an automaton over the words of
-each document; each hit is verified with Myers' bit-parallel edit distance on words, for every
-stretch of the item that holds the piece.  A stretch must begin and end with words that match.
+Method.  A leak repeats a passage of ``PASSAGE`` or more consecutive words of a test item with at
+most one word in ten changed: ``n`` words with at most ``n // 10`` edits.  Each item is split into
+pieces of ``PIECE`` words such that any such passage holds more whole pieces than it may have
+edits: by the pigeonhole principle one of them occurs unchanged.  Exact piece hits come from one
+pass of an automaton over the words of each document.  From each hit Myers' bit-parallel edit
+distance on words runs once to either side and gives how far the passage reaches with each number
+of edits; passages of all lengths are judged by it.  A passage must begin and end with words that
+match.
 
 Words are compared without letter case, punctuation, markup and layout.  The items are a
 fixed, small set: they are sent to all executors in blocks of at most ``BLOCK_ITEMS``, one pass
@@ -31,7 +32,7 @@ from lintmill.arrow import map_lists
 
 PASSAGE = 25
 BUDGET = PASSAGE // 10
-PIECE = 6  # (PASSAGE + 1) // (BUDGET + 2): a stretch holds BUDGET + 1 whole pieces wherever it starts
+PIECE = 6  # (PASSAGE + 1) // (BUDGET + 2): n words hold n // 10 + 1 whole pieces wherever they start, for all n from PASSAGE on
 BLOCK_ITEMS = 5_000
 
 _TAG = re.compile(r"<[A-Za-z/!][^<>]*>")
@@ -82,45 +83,47 @@ def within(pattern: list[str], text: list[str], budget: int) -> bool:
 
 
 def _verify(item: list[str], doc: list[str], p: int, q: int) -> bool:
-    """Whether a stretch of PASSAGE words of the item that holds the piece at p is repeated around word q."""
-    last = len(item) - PASSAGE
-    lo, hi = max(0, p + PIECE - PASSAGE), min(p, last)
-    for s in sorted(range(lo, hi + 1), key=lambda s: abs(s - (lo + hi) // 2)):
-        at = q - (p - s)
-        pattern = item[s : s + PASSAGE]
-        for start in range(max(0, at - BUDGET), at + BUDGET + 1):
-            # the stretch begins with a matching word
-            if start < len(doc) and doc[start] == pattern[0]:
-                if _anchored(pattern, doc[start : start + PASSAGE + BUDGET]):
-                    return True
-    return False
+    """Whether a passage of the item that holds the piece at p is repeated around word q."""
+    most = len(item) // 10
+    after, behind = p + PIECE, q + PIECE
+    left = _reach(item[:p][::-1], doc[max(0, q - p - most) : q][::-1], most)
+    right = _reach(item[after:], doc[behind : behind + len(item) - after + most], most)
+    return any((n := a + PIECE + b) >= PASSAGE and i + j <= n // 10 for i, a in enumerate(left) for j, b in enumerate(right))
 
 
-def _anchored(pattern: list[str], text: list[str]) -> bool:
-    """``within`` for stretches that start at the first word of ``text`` and end with a matching word."""
+def _reach(pattern: list[str], text: list[str], most: int) -> list[int]:
+    """For 0 to ``most`` edits, the longest beginning of the pattern that is so near a beginning of the text and ends with a matching word."""
     m = len(pattern)
     masks: dict[str, int] = {}
     for i, w in enumerate(pattern):
         masks[w] = masks.get(w, 0) | (1 << i)
-    full, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    for w in text:
-        eq = masks.get(w, 0)
+    full = (1 << m) - 1
+    pv, mv = full, 0
+    out = [0] * (most + 1)
+    last = 0  # word of the text that matched last
+    for n, w in enumerate(text, 1):
+        if n - last > most + 1:
+            break  # more than ``most`` words of the text in a row without a match
+        same = eq = masks.get(w, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv) & full
         mh = pv & xh
-        if ph & high:
-            score += 1
-        elif mh & high:
-            score -= 1
         ph = ((ph << 1) | 1) & full  # global at the left end: skipping a word of the text costs one
         mh = (mh << 1) & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
-        if score <= BUDGET and eq & high:
-            return True
-    return False
+        while same:
+            bit = same & -same
+            same ^= bit
+            to = (bit << 1) - 1
+            d = n + (pv & to).bit_count() - (mv & to).bit_count()
+            if d <= most:
+                last = n
+                out[d] = max(out[d], bit.bit_length())
+    for d in range(most):
+        out[d + 1] = max(out[d + 1], out[d])
+    return out
 
 
 def _automaton(items: list[tuple[int, list[str]]]):

@@ -101,6 +101,28 @@ def test_pieces_guarantee():
         assert whole >= E.BUDGET + 1
 
 
+def test_passages_of_all_lengths():
+    doc = noise(20) + ITEM[20:50] + noise(20)
+    for i in (10, 15, 19):
+        doc[20 + i] = "changed"
+    state = E._automaton([(100, ITEM)])
+    assert list(E._search(state, [1], [" ".join(doc)])) == [(1, 100)]
+    doc[30 + 2] = "changed"  # 4 in 30
+    assert list(E._search(state, [1], [" ".join(doc)])) == []
+    for n in range(E.PASSAGE, 500):
+        assert (n - E.PIECE + 1) // E.PIECE >= n // 10 + 1
+
+
+def test_reach():
+    rng = random.Random(9)
+    for _ in range(400):
+        a = [rng.choice("abcd") for _ in range(rng.randint(0, 9))]
+        b = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
+        for e, got in enumerate(E._reach(a, b, 3)):
+            fits = [i for i in range(1, len(a) + 1) for j in range(1, len(b) + 1) if a[i - 1] == b[j - 1] and edit_distance(a[:i], b[:j]) <= e]
+            assert got == max(fits, default=0)
+
+
 # -- stuffed pages ------------------------------------------------------------------
 
 
