@@ -224,7 +224,7 @@ def tsql_spans(text: str) -> Iterator[Span]:
         yield _run_span(run)
 
 
-_JSON_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"(\s*:)?', re.DOTALL)
+_JSON_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)(?:"(\s*:)?|\\?\Z)', re.DOTALL)
 _JSON_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\.", re.DOTALL)
 _XML_NOTE = re.compile(r"<!--(.*?)(?:-->|$)", re.DOTALL)
 
@@ -251,7 +251,7 @@ def markup_spans(text: str, language: str) -> Iterator[Span]:
             yield m.group(1), [(0, m.start(1))]
         return
     for m in _JSON_STRING.finditer(text):
-        if m.group(2) is None and len(m.group(1)) > LEAST_CJK:
+        if m.group(2) is None and len(m.group(1)) >= LEAST_CJK:
             yield _json_span(m.group(1), m.start(1))
 
 

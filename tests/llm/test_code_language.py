@@ -78,3 +78,12 @@ def test_texts_with_their_place(spark):
     for r in C.language_shares(s, docs(spark)).where("script_id <> 1").collect():
         own = [x for x in got if (x["script_id"], x["lang"]) == (r["script_id"], r["lang"])]
         assert len(own) == r["sentences"] and abs(sum(x["share"] for x in own) - r["share"]) < 1e-9
+
+
+def test_json_values_of_least_length_and_without_end():
+    said = "月が締まるまで実行しない"
+    assert len(said) == C.LEAST_CJK
+    assert [s for s, _ in C.markup_spans('{"a": "%s", "b": "x"}' % said, "json")] == [said]
+    assert list(C.markup_spans('{"a": "The job must not', "json")) == [("The job must not", [(0, 7)])]
+    assert [s for s, _ in C.markup_spans('{"a": "The job must not\\', "json")] == ["The job must not"]
+    assert list(C.markup_spans('{"a": "x", "' + "\\\\" * 20000, "json"))
