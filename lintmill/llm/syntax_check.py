@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lintmill.arrow import map_lists
 from lintmill.llm.script_text import language_of
 from lintmill.syntax import lexer as L
-from lintmill.syntax.parser import ParseError, Parser, StatementMemo, batches
+from lintmill.syntax.parser import KINDS, ParseError, Parser, StatementMemo, batches, separators
 
 CHUNK_CHARS = 8192
 _OPEN_STATE = {"string": L.STRING, "bracket": L.BRACKET, "quoted": L.QUOTED}
@@ -102,28 +102,13 @@ def _segments(lexemes: list[str]) -> list[list[str]]:
     cuts = _go_cuts(lexemes)
     out = [[] for _ in range(len(cuts) + 1)]
     for start, _, _, kinds in marked:
-        out[sum(c <= start for c in cuts)] = kinds
+        out[sum(c <= start for c in cuts)] += kinds
     return out
 
 
 def _go_cuts(lexemes: list[str]) -> list[int]:
     """Index after each batch separator."""
-    out = []
-    for i, x in enumerate(lexemes):
-        if x.upper() != "GO":
-            continue
-        j = i - 1
-        while j >= 0 and lexemes[j].isspace() and not _LINE_END.search(lexemes[j]):
-            j -= 1
-        if j >= 0 and not (lexemes[j].isspace() or lexemes[j] == "﻿"):
-            continue
-        e = i + 1
-        n = len(lexemes)
-        while e < n and (lexemes[e].isdigit() or lexemes[e] == ";" or (lexemes[e].isspace() and not _LINE_END.search(lexemes[e]))):
-            e += 1
-        if e >= n or lexemes[e].isspace() or lexemes[e][:2] == "--":
-            out.append(e)
-    return out
+    return [e for _, e in separators(lexemes, [KINDS[x] for x in lexemes])]
 
 
 def chunk_summary(text: str, first: bool, line_start: bool) -> dict:
@@ -147,7 +132,7 @@ def chunk_summary(text: str, first: bool, line_start: bool) -> dict:
         depth += 1 if m.group() == "/*" else -1
         if depth < low:
             low = depth  # a block comment that was -low deep at the start ends here
-            out[L.BLOCK - low - 1] = _from_code(text[m.end() :], False)
+            out[L.BLOCK - low - 1] = _from_code(text[m.end() :], bool(_LINE_END.search(text, 0, m.end())))
     out["block"] = (-low, depth)  # deeper comments stay open, deeper by so much
     return out
 
@@ -310,7 +295,7 @@ def _pieces(rows, ks, texts, states, firsts):
             at = len(text) if at < 0 else at + 1
             head, tail = text[:at], text[at:]
         lexemes, _ = L.split(tail)
-        if head and state != L.LINE_COMMENT:
+        if head and state != L.LINE_COMMENT and not (state >= L.BLOCK and _LINE_END.search(head)):
             lexemes = ["x", *lexemes]
             cuts = _go_cuts(lexemes)
             cuts = [c - 1 for c in cuts]

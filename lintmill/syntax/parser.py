@@ -108,12 +108,8 @@ def kind_of(tok: str) -> str:
     return "ID" if k == "GO" else k
 
 
-def batches(lexemes: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
-    """Split lexemes into batches at lines that hold only GO and perhaps a count.
-
-    A batch is (first lexeme, lexeme after the last, significant lexemes, their kinds).
-    """
-    kinds = list(map(KINDS.__getitem__, lexemes))
+def separators(lexemes: list[str], kinds: list[str]) -> list[tuple[int, int]]:
+    """(GO, lexeme after it and its count) of each line that separates batches; any other GO becomes a name in ``kinds``."""
     cuts = []
     if "GO" in kinds:
         n = len(kinds)
@@ -141,6 +137,16 @@ def batches(lexemes: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
                 cuts.append((i, e))
             else:
                 kinds[i] = "ID"
+    return cuts
+
+
+def batches(lexemes: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
+    """Split lexemes into batches at lines that hold only GO and perhaps a count.
+
+    A batch is (first lexeme, lexeme after the last, significant lexemes, their kinds).
+    """
+    kinds = list(map(KINDS.__getitem__, lexemes))
+    cuts = separators(lexemes, kinds)
     out = []
     start = 0
     for i, e in [*cuts, (len(kinds), len(kinds))]:

@@ -64,3 +64,16 @@ def test_languages_and_edges(spark):
     rates = {(r["repo"], r["language"]): (r["scripts"], r["invalid"]) for r in C.invalid_rates(df).collect()}
     assert rates[("r", "json")] == (5, 3) and rates[("r", "xml")] == (2, 1) and rates[(None, "tsql")] == (1, 0)
     assert C.invalid_scripts(df.limit(0)).count() == 0
+
+
+def test_long_files_have_the_separators_of_short_ones():
+    for between in ("/* a\n b */ GO\n", "GO 5 5\n", "GO;;\n", "GO 5;\n", "\nGO\n"):
+        lexemes, _ = L.split("x )\n" + between + "SELECT 1\n")
+        got = C._segments(lexemes)
+        assert [k for p in got for k in p] == [k for b in C.batches(lexemes) for k in b[3]]
+        assert [p for p in got if p] == [b[3] for b in C.batches(lexemes)]
+    first, second = C._from_code("SELECT (1\n", True), C._from_code(")\n/* a\n b */ GO\nSELECT 1\n", True)
+    assert C.verdict_of_summary(C.compose(first, second)) is None
+    end, n, *_ = C.apply_summary(C.chunk_summary("a\n b */ GO\nSELECT 1\n", False, True), L.BLOCK)
+    assert (end, n) == (L.CODE, 1)
+    assert [r[3] for r in C._pieces([1], [1], ["a\n b */ GO\nSELECT 1\n"], [L.BLOCK], [0])] == ["a\n b */ ", "\nSELECT 1\n"]
