@@ -9,7 +9,7 @@ associatively, so chunks of one file may lie in any partitions; composing them i
 gives each chunk's true start state and finds files that end inside a literal or whose
 parentheses don't balance.  What is balanced is then parsed batch by batch with the local
 grammar; only pieces of batches of files longer than one chunk are shuffled, a file of one
-chunk is summarised and parsed where it is read.  JSON and XML are parsed by the strict
+chunk is lexed and parsed whole where it is read, without a summary.  JSON and XML are parsed by the strict
 parsers of the standard library.
 
 Defined results: null text is not flagged; an empty or blank T-SQL text is valid, an empty
