@@ -1,14 +1,18 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-Method.  A page is cut into segments: sentences, table cells, list entries, code.  A segment
-has clause structure if it is long enough, ends like a sentence and isn't a run of separated
-phrases; code and data have theirs.  Of pages of which most characters lack such structure,
-the suffix automaton over the page's words (numbers alike) is built; for every word it gives
-the longest substring ending there that occurs elsewhere in the page, and the union of these
-is what repeated maximal substrings cover.  A page is stuffed if the characters that are both
-without structure and covered, or are bare links, hashtags or price tags, are more than half
-of its text.  Pages with structure in most of their text need no automaton: whatever it
-covered, they couldn't reach one half.
+Method.  A page is cut into pieces: sentences, table cells, list entries, code.  A piece has
+clause structure if it is long enough, ends like a sentence, says something new in most of its
+words and isn't a run of separated phrases, in whatever script it is written; code and data
+have theirs by their operators and names.  Over the units of the whole page (words, runs of
+digits alike, single ideographs and kana) the suffix automaton is built.  For every unit it
+gives the longest substring ending there that occurs elsewhere in the page; those of at least
+``LEAST`` characters are repeated maximal substrings, and the units that they span are
+covered.  A page is stuffed if more than half of its characters lie in pieces without
+structure and are covered there, or are bare links or hashtags.
+
+Every page goes through the automaton, its coverage is a column of ``page_measures``.  Units
+that occur once can't lie in a repeated substring; they part the page into stretches, which
+the automaton takes in one after another.
 
 Defined results: null, empty and blank texts are not stuffed; whole texts are judged; equal
 rows are judged alike and each stays; further columns are ignored.
@@ -17,194 +21,236 @@ rows are judged alike and each stays; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import accumulate, chain, compress
 
 from pyspark.sql import DataFrame
 
 from lintmill.arrow import map_lists
 
 SHARE = 0.5
+LEAST = 8
 CJK_WEIGHT = 2.5
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.DOTALL)
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-f]+|[a-z]+);", re.IGNORECASE)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_BLOCK_TAG = re.compile(r"<(?:li|p|br|div|tr|td|h\d)\b[^<>]*>", re.IGNORECASE)
+_HREF = re.compile(r"\bhref\s*=\s*", re.IGNORECASE)
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.IGNORECASE)
 _LINK_MARKUP = re.compile(r"\[([^\[\]\n]*)\]\(([^()\n]*)\)")
 _ANCHOR = re.compile(r"<a\b([^<>]*)>|</a\s*>", re.IGNORECASE)
 _HASHTAG = re.compile(r"#[^\W\d_]\w*")
-_WORD = re.compile(r"[^\W_]+")
 _UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_PIECE = re.compile(r"(?<=[.!?])[)\"'»”]?\s+|(?<=[。！？])|\s*\|\s*|\s+[•·]\s+|\t+")
-_END = re.compile(r"[.!?。！？:…][)\"'»”*_]*$")
-_SEPARATED = re.compile(r"[,;|/•·#]|\s[-–]\s")
-_CODE = re.compile(r"[=(){}\[\];@<>]|^\s*(?:--|/\*|\*/|\*\s)|^[-+]{3}|\w\.\w+\s*\(")
+_LINE = re.compile(r"\r\n|\r|\n")
+_CUT = re.compile(r"[.!?][)\"'»”]?\s+|[。！？]|\||\t|[•·]\s")
+_ASCII_UNIT = re.compile(r"[a-z]+|\d+")
+_ENDS = frozenset(".!?。！？:…")
+_BEHIND = " \t\u3000|•·)\"'»”*_"  # what may follow the end of a sentence
+_SEPARATED = re.compile(r"[,;|/•·#、]|\s[-–]\s")
+#: A number alone in brackets: how often a tag was used, no call.
+_TALLY = re.compile(r"\(\s*\d+\s*\)|\[\s*\d+\s*\]")
+_CODE = re.compile(r"[=(){}\[\];@<>\\]|\w_\w|[^\W\d]\.[^\W\d]|^\s*(?:--|/\*|\*/|\*\s)|^[-+]{3}")
 _SQL = re.compile(
     r"^\s*(?:SELECT|FROM|WHERE|AND|OR|INSERT|UPDATE|DELETE|SET|VALUES|CREATE|ALTER|DROP|EXEC(?:UTE)?|BEGIN|END|GO|IF|ELSE|WHILE|DECLARE|MERGE|USING|WHEN|GROUP BY|"
     r"ORDER BY|HAVING|(?:INNER|LEFT|RIGHT|FULL|CROSS)?\s*(?:OUTER\s+)?JOIN|ON|COMMIT|ROLLBACK|THROW|PRINT|AS|RAISERROR|UNION|RETURN)\b(?=[\s;]|$)(?=.*[\[\].,;=()\"@*']|\s*$|\s+\w+\s*$)",
     re.IGNORECASE,
 )
-_PRICE = re.compile(r"[$€£¥]\s?\d|\d\s?[$€£¥]|-\d+\s?%|\b(?:in stock|add to cart|buy now|sale)\b", re.IGNORECASE)
 
 
-def _solid(s: str) -> float:
-    """Characters without white space; an ideograph or kana says as much as CJK_WEIGHT letters."""
-    n = len("".join(s.split()))
-    return n if s.isascii() else n + (CJK_WEIGHT - 1) * len(_CJK.findall(s))
+def units_of(s: str) -> list[str]:
+    s = s.lower()
+    return _ASCII_UNIT.findall(s) if s.isascii() else _UNIT.findall(s)
+
+
+def pieces_of(line: str) -> list[str]:
+    """Sentences, table cells and list entries of a line."""
+    out, at = [], 0
+    for m in _CUT.finditer(line):
+        out.append(line[at : m.end()])
+        at = m.end()
+    out.append(line[at:])
+    return out
 
 
-def is_clause(piece: str) -> bool:
+def is_clause(piece: str, units: list[str] | None = None) -> bool:
     """Long enough, ends like a sentence, mostly different words, no run of separated phrases."""
-    cjk = len(_CJK.findall(piece))
-    if cjk >= 8:
-        return bool(_END.search(piece.rstrip())) or cjk >= 16
-    words = _WORD.findall(piece)
-    n = len(words)
-    if n < 4:
-        return False
-    if len(set(map(str.lower, words))) < 0.6 * n:
+    units = units_of(piece) if units is None else units
+    n = len(units)
+    if n < 4 or piece.rstrip(_BEHIND)[-1:] not in _ENDS:
         return False
-    if len(_SEPARATED.findall(piece)) * 4 > n:
+    cjk = 0 if piece.isascii() else len(_CJK.findall(piece))
+    if cjk >= 8:  # some two characters a word; single ones come back in any sentence, pairs seldom
+        if len(set(zip(units, units[1:]))) < 0.6 * (n - 1):
+            return False
+        n = n - cjk + cjk // 2
+    elif len(set(units)) < 0.6 * n:
         return False
-    return bool(_END.search(piece.rstrip()))
+    return len(_SEPARATED.findall(piece)) * 4 <= n
+
+
+def is_code(piece: str, n: int) -> bool:
+    """A line of SQL, or an operator, bracket or compound name to every eight of its ``n`` units."""
+    if _SQL.match(piece):
+        return True
+    marks = len(_CODE.findall(piece))
+    if marks and ("(" in piece or "[" in piece):
+        marks = len(_CODE.findall(_TALLY.sub(" ", piece)))
+    return marks > 0 and marks * 8 >= n
 
 
-def repeated(words: list[str]) -> list[bool]:
-    """For every word, whether a substring that occurs twice or more covers it (suffix automaton)."""
+def repeated(words: list[str], least: int = 1) -> list[bool]:
+    """For every word, whether a substring of ``least`` characters or more that occurs twice or more spans it."""
+    n = len(words)
+    out = [False] * n
+    times = Counter(words)
+    pairs = Counter(zip(words, words[1:]))
+    twice = {p for p, k in pairs.items() if k > 1}
     nxt: list[dict] = [{}]
     link = [-1]
     length = [0]
-    count = [0]
-    ends = []
+    ends = [0] * n
     last = 0
-    for w in words:
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        count.append(1)
-        link.append(0)
-        p = last
-        while p != -1 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][w]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
+    linked = False  # whether the pair of this word and the one before repeats
+    for i, (w, pair) in enumerate(zip(words, chain(zip(words, words[1:]), (None,)))):
+        before, linked = linked, pair in twice
+        if not before:
+            last = 0
+            if not linked:  # no longer substring spans it
+                out[i] = times[w] > 1 and len(w) >= least
+                continue
+        at = nxt[last]
+        q = at.get(w)
+        if q is None:
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            at[w] = cur
+            p = link[last]
+            while p != -1:
+                at = nxt[p]
+                q = at.get(w)
+                if q is not None:
+                    break
+                at[w] = cur
+                p = link[p]
+            link.append(0)
+            last, to = cur, cur
+        else:  # a stretch before this one had it
+            p, to = last, 0
+            last = q
+        if q is not None:
+            if length[q] != length[p] + 1:  # split p's longest substring and w off from q
                 clone = len(nxt)
-                nxt.append(dict(nxt[q]))
+                nxt.append(nxt[q].copy())
                 length.append(length[p] + 1)
-                count.append(0)
                 link.append(link[q])
+                link[q] = clone
                 while p != -1 and nxt[p].get(w) == q:
                     nxt[p][w] = clone
                     p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-        ends.append(cur)
-    for v in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
-        if link[v] > 0:
-            count[link[v]] += count[v]
-    out = [False] * len(words)
-    reach = len(words)  # first word that is covered already
-    for i in range(len(words) - 1, -1, -1):
+                q = clone
+            if to:
+                link[to] = q
+            else:
+                last = q
+        ends[i] = last
+    # a state occurs twice if another one's link leads to it or two places end there
+    again = set(link)
+    again.update(v for v, k in Counter(ends).items() if k > 1)
+    chars = list(accumulate(map(len, words), initial=0))
+    reach = n  # first word of what is covered already
+    for i in range(n - 1, -1, -1):
         v = ends[i]
-        while v > 0 and count[v] < 2:
+        while v > 0 and v not in again:
             v = link[v]
-        start = i - length[v] + 1 if v > 0 else i + 1
-        for j in range(start, min(i + 1, reach)):
-            out[j] = True
-        reach = min(reach, start)
+        if v > 0:
+            start = i - length[v] + 1
+            if start < reach and chars[i + 1] - chars[start] >= least:
+                stop = min(i + 1, reach)
+                out[start:stop] = [True] * (stop - start)
+                reach = start
     return out
 
 
 def measure(text: str) -> tuple[float, float, float]:
-    """(share without structure, share of it that repeats, share of links and tags), each of all characters."""
-    total = structured = tags = 0
-    loose: list[str] = []
-    plain: list[str] = []
-    code = 0
-    at = 0
-    for m in _FENCE.finditer(text):
-        code += _solid(m.group())
-        plain.append(text[at : m.start()])
-        at = m.end()
-    plain.append(text[at:])
-    body = "\n".join(plain)
+    """Shares of a page's characters: in pieces without structure, covered by repeats, stuffed."""
+    units: list[str] = []  # of the page
+    loose: list[tuple[int, int, bool]] = []  # first and last unit of pieces without structure, whether they are links or tags
+    body = text
+    if "```" in body:
+        at, plain = 0, []
+        for m in _FENCE.finditer(text):
+            plain.append(text[at : m.start()])
+            units += units_of(m.group())
+            at = m.end()
+        body = "\n".join([*plain, text[at:]])
     if "<" in body:
         body = _ANCHOR.sub(lambda m: f" {m.group(1) or ''} | ", body)
-        body = re.sub(r"\bhref\s*=\s*", " ", body)
-        body = re.sub(r"<(?:li|p|br|div|tr|td|h\d)\b[^<>]*>", "\n", body, flags=re.IGNORECASE)
+        body = _HREF.sub(" ", body)
+        body = _BLOCK_TAG.sub("\n", body)
         body = _TAG.sub(" ", body)
     if "&" in body:
         body = _ENTITY.sub(" ", body)
-    for line in re.split(r"\r\n|\r|\n", body):
+    for line in _LINE.split(body):
         line = line.strip()
         if not line:
             continue
         if "](" in line:
             line = _LINK_MARKUP.sub(r"\1 \2 ", line)
         linked = "://" in line or "www." in line
-        pieces = [p for p in _PIECE.split(line) if p]
-        rests = [_URL.sub(" ", p) for p in pieces] if linked else pieces
-        clauses = [is_clause(r) for r in rests]
-        priced = None
-        for piece, rest, clause in zip(pieces, rests, clauses):
-            n = _solid(piece)
-            if not n:
-                continue
-            total += n
-            if clause:
-                structured += n
+        said = []
+        for piece in pieces_of(line):
+            links: list[str] = []
+            if linked:
+                for m in _URL.finditer(piece):
+                    links += units_of(m.group())
+                if links:
+                    piece = _URL.sub(" ", piece)
+            own = units_of(piece)
+            if own or links:
+                said.append((piece, own, links, is_clause(piece, own)))
+        beside = linked and any(s[3] for s in said)  # a reference beside a sentence
+        for piece, own, links, clause in said:
+            if links:
+                if not beside:
+                    loose.append((len(units), len(units) + len(links), True))
+                units += links
+            if not own:
                 continue
-            links = n - _solid(rest) if linked else 0
-            if links and True in clauses:  # a reference beside a sentence
-                structured += links
-                n -= links
-                links = 0
-                piece = rest
-            hashes = sum(len(h) for h in _HASHTAG.findall(rest)) if rest.count("#") > 1 else 0
-            if priced is None:
-                priced = _PRICE.search(line) is not None
-            if not links and not hashes and not priced and (_SQL.match(rest) or _CODE.search(rest)):
-                structured += n
-                continue
-            if links or hashes:
-                tags += links + hashes
-            elif priced:
-                tags += n
-            loose.append(piece)
-    total += code
-    if not total:
+            if not clause:
+                tagged = piece.count("#") > 1 and 2 * sum(map(len, _HASHTAG.findall(piece))) > len(piece)
+                if tagged or links or not is_code(piece, len(own)):
+                    loose.append((len(units), len(units) + len(own), tagged))
+            units += own
+    if not units:
         return 0.0, 0.0, 0.0
-    free = total - structured - code
-    if free <= SHARE * total:
-        return free / total, 0.0, tags / total
-    words = [w for p in loose for w in _UNIT.findall(p.lower())]
-    keys = ["0" if w[0].isdigit() else w for w in words]
-    covered = sum(len(w) for w, c in zip(words, repeated(keys)) if c)
-    size = sum(map(len, words)) or 1
-    return free / total, free / total * covered / size, tags / total
+    weights = list(map(len, units)) if text.isascii() else [CJK_WEIGHT if len(u) == 1 and _CJK.match(u) else len(u) for u in units]
+    covered = repeated([u if u > ":" else "0" for u in units], LEAST)
+    total = sum(weights)
+    free = stuffed = 0
+    for a, b, bare in loose:
+        n = sum(weights[a:b])
+        free += n
+        stuffed += n if bare else sum(compress(weights[a:b], covered[a:b]))
+    return free / total, sum(compress(weights, covered)) / total, stuffed / total
 
 
 def is_stuffed(text: str | None, share: float = SHARE) -> bool:
-    if not text or not text.strip():
-        return False
-    free, repeats, tags = measure(text)
-    return free > share and max(repeats, tags) > share
+    return bool(text and text.strip()) and measure(text)[2] > share
 
 
 def _judge(ids, texts):
     for i, t in zip(ids, texts):
         if t and t.strip():
-            free, repeats, tags = measure(t)
-            yield i, free, repeats, tags, free > SHARE and max(repeats, tags) > SHARE
+            free, repeats, stuffed = measure(t)
+            yield i, free, repeats, stuffed, stuffed > SHARE
 
 
 def page_measures(documents: DataFrame) -> DataFrame:
-    """``doc_id, unstructured, repeated, tagged, stuffed``; one pass, no shuffle."""
-    return map_lists(documents, ["doc_id", "text"], _judge, "doc_id long, unstructured double, repeated double, tagged double, stuffed boolean")
+    """``doc_id, unstructured, repeated, stuffing, stuffed``: shares of each page and the verdict; one pass, no shuffle."""
+    return map_lists(documents, ["doc_id", "text"], _judge, "doc_id long, unstructured double, repeated double, stuffing double, stuffed boolean")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
