@@ -4,14 +4,15 @@ Method.  Comments and string literals are cut into sentences.  A sentence's lang
 from prediction by partial matching: for each language a context tree holds the characters
 seen after contexts of zero to ``ORDER`` characters; the cost of a character is read at the
 longest context that the tree knows, with escapes to shorter ones (method C).  The language
-of least cross-entropy wins; spans whose least entropy is above ``MOST_BITS`` bits a
-character stay undetermined (names, codes, disabled code).  The trees are trained on at most
-``TRAIN_DOCS`` labelled documents a language, chosen by a hash of their id; since declared
-languages are sometimes wrong, training sentences whose words are relatively more frequent
-under another label are dropped first.
+of least cross-entropy wins.  A span stays undetermined if a tree trained on code says it in
+fewer bits (disabled code, connection strings), or if it costs more than sentences of the
+nearest other language usually do (keys, tokens, names): both limits come from the training
+rows.  The trees are trained on ``TRAIN_DOCS`` labelled documents a language, of large ones their
+share of ``TRAIN_TOTAL``, chosen by a hash of the id, and at most ``TRAIN_CHARS`` characters a language; since declared languages are sometimes
+wrong and documents mix languages, training sentences first go to the language under which
+their three-character strings are relatively most frequent.
 
 A sentence has six words or more, in Japanese and Chinese twelve characters or more.
-Disabled code, rulers, names, codes and connection strings are none.
 
 Defined results: null and empty texts give no row; scripts that don't parse count, a literal
 or comment that never closes runs to the end of the text; equal rows give equal rows; without
@@ -23,11 +24,15 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lintmill.arrow import map_lists
@@ -37,10 +42,11 @@ from lintmill.syntax import lexer as L
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja", "zh")
 ORDER = 4
-TRAIN_DOCS = 60
+TRAIN_DOCS = 60  # of each language at least, and
+TRAIN_TOTAL = 1_000  # shared out by how many documents bear the label
 TRAIN_CHARS = 150_000
-MOST_BITS = 7.5
-MOST_BITS_CJK = 9.0
+MOST_BITS = 7.5  # where there is no other language to tell
+HELD = 40  # sentences a language that tell what foreign ones cost
 LEAST_WORDS = 6
 LEAST_CJK = 12
 UNDETERMINED = "und"
@@ -70,27 +76,23 @@ def normal(s: str) -> str:
 
 def train_tree(sentences: list[str], order: int = ORDER) -> dict[str, dict[str, int]]:
     """Counts of the characters after each context of up to ``order`` characters."""
-    tree: dict[str, dict[str, int]] = {}
+    grams: Counter[str] = Counter()
     for s in sentences:
         t = normal(s)
-        for i in range(1, len(t)):
-            c = t[i]
-            for k in range(order + 1):
-                if k > i:
-                    break
-                node = tree.get(t[i - k : i])
-                if node is None:
-                    tree[t[i - k : i]] = {c: 1}
-                else:
-                    node[c] = node.get(c, 0) + 1
+        for k in range(order + 1):
+            grams.update([t[i - k : i + 1] for i in range(max(1, k), len(t))])
+    tree: dict[str, dict[str, int]] = {}
+    for g, n in grams.items():
+        tree.setdefault(g[:-1], {})[g[-1]] = n
     return tree
 
 
 class Model:
     """Trees of all languages; costs of character-in-context are remembered in a bounded table."""
 
-    def __init__(self, trees: list[dict[str, dict[str, int]]], languages: tuple[str, ...], order: int = ORDER, most: int = 200_000):
+    def __init__(self, trees: list[dict[str, dict[str, int]]], languages: tuple[str, ...], limits: tuple[float, ...] = (), order: int = ORDER, most: int = 200_000):
         self.trees, self.languages, self.order, self.most = trees, languages, order, most
+        self.limits = limits or (MOST_BITS,) * len(languages)
         self.totals = [{k: (sum(v.values()), len(v)) for k, v in t.items()} for t in trees]
         self._reset()
 
@@ -146,12 +148,11 @@ class Model:
         return self.costs[idx].sum(axis=0) / max(1, n - 1)
 
     def classify(self, s: str) -> tuple[str, float]:
-        """(language, bits a character); undetermined above the entropy limit."""
+        """(language, bits a character); undetermined above the language's limit or where code says it in fewer bits."""
         e = self.entropies(s)
-        k = int(e.argmin())
-        lang = self.languages[k]
-        limit = MOST_BITS_CJK if lang in ("ja", "zh") else MOST_BITS
-        return (lang if e[k] <= limit else UNDETERMINED), float(e[k])
+        k = int(e[: len(self.languages)].argmin())
+        fits = e[k] <= self.limits[k] and e[k] <= e.min()
+        return (self.languages[k] if fits else UNDETERMINED), float(e[k])
 
 
 # -- spans -----------------------------------------------------------------
@@ -310,21 +311,15 @@ def is_long_enough(s: str) -> bool:
     return len(_WORDS.findall(s)) >= LEAST_WORDS
 
 
-def is_sentence(s: str) -> bool:
-    """Long enough and no code, connection string, list of names or ruler."""
-    if not is_long_enough(s):
+def is_plain(s: str) -> bool:
+    """Few marks of code; only what trees are trained on is chosen so, what a script's spans are the trees tell."""
+    if _CODE_MARK.match(s) and (_CODE_CHARS.search(s) or s.isupper()):
         return False
-    if _CODE_MARK.match(s):
-        marks = len(_CODE_CHARS.findall(s))
-        if marks or s.isupper():
-            return False
-    if "://" in s and len(_WORDS.findall(s)) < 12:
+    words = _WORDS.findall(s)
+    if sum(map(len, words)) < 0.55 * len(s.replace(" ", "")):
         return False
     marks = len(_CODE_CHARS.findall(s))
-    letters = sum(c.isalpha() for c in s)
-    if letters < 0.55 * len(s.replace(" ", "")):
-        return False
-    return marks * 5 <= len(_WORDS.findall(s)) or (marks <= 3 and len(_CJK.findall(s)) >= LEAST_CJK)
+    return marks * 5 <= len(words) or (marks <= 3 and len(_CJK.findall(s)) >= LEAST_CJK)
 
 
 def spans_of(text: str, path: str | None) -> Iterator[Span]:
@@ -340,17 +335,36 @@ def language_code(column: str):
     return F.lower(F.regexp_extract(F.trim(F.col(column)), r"^([A-Za-z]{2})(?:[-_].*)?$", 1))
 
 
-def training_rows(documents: DataFrame, docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """(language, text) of at most ``docs`` documents a language, the ones of smallest hash; bounded, on the driver."""
-    coded = documents.select("doc_id", language_code("lang").alias("code")).where("doc_id is not null")
-    picks = None
-    for lang in LANGUAGES:
-        part = coded.where(F.col("code") == lang).select("doc_id", "code", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(docs)
-        picks = part if picks is None else picks.unionByName(part)
-    ids = {(r["doc_id"]): r["code"] for r in picks.select("doc_id", "code").collect()}
+def pick(ranked: dict[str, list[tuple[int, int]]], docs: int, total: int) -> dict[int, str]:
+    """Ids and labels to train on, of the ``total`` smallest (hash, id) of each label.
+
+    ``docs`` of each label, of large ones their share of ``total``: how many documents bear a label
+    is read off how dense its smallest hashes lie.  The bulk of a language must outweigh what bears
+    another label by mistake, in each kind of text.
+    """
+    volume = {}
+    for k, hs in ranked.items():
+        reach = (max(h for h, _ in hs) + 2**63) / 2**64
+        volume[k] = len(hs) if len(hs) < total else (len(hs) - 1) / max(reach, 2**-64)
+    everything = sum(volume.values())
+    return {i: k for k, hs in ranked.items() for _, i in sorted(hs)[: max(docs, round(total * volume[k] / everything))]}
+
+
+def training_rows(documents: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, total: int = TRAIN_TOTAL) -> list[tuple[str, str]]:
+    """(language, text) of the documents that ``pick`` chooses; bounded by ``total`` + 11 * ``docs``, on the driver.
+
+    One scan of ids and labels (each task keeps ``total`` rows a language before the exchange), one for
+    the texts, of which no more than the ``chars`` characters that a tree may be trained on are taken.
+    """
+    order = Window.partitionBy("code").orderBy("h", "doc_id")
+    coded = documents.select("doc_id", language_code("lang").alias("code")).where(F.col("doc_id").isNotNull() & F.col("code").isin(*LANGUAGES))
+    ranked: dict[str, list[tuple[int, int]]] = {}
+    for r in coded.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= total).select("code", "h", "doc_id").collect():
+        ranked.setdefault(r["code"], []).append((r["h"], r["doc_id"]))
+    ids = pick(ranked, docs, total)
     if not ids:
         return []
-    rows = documents.where(F.col("doc_id").isin(list(ids))).where("text is not null").select("doc_id", "text").collect()
+    rows = documents.where(F.col("doc_id").isin(list(ids))).where("text is not null").select("doc_id", F.substring("text", 1, chars).alias("text")).collect()
     return sorted((ids[r["doc_id"]], r["text"]) for r in rows)
 
 
@@ -359,49 +373,65 @@ _MARKUP = re.compile(r"<[^<>]+>|\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|[#*`|]+")
 
 
 def train(rows: list[tuple[str, str]], chars: int = TRAIN_CHARS) -> Model | None:
-    """Trees from labelled texts, cleaned of foreign passages."""
-    by: dict[str, list[str]] = {k: [] for k in LANGUAGES}
-    size = dict.fromkeys(LANGUAGES, 0)
+    """Trees of the languages and of code from labelled texts, and the entropy above which a span is no sentence.
+
+    Sentences go to the language whose they are (``relabel``); code is what stands between code
+    fences.  The limit of a language is what sentences of its nearest neighbour cost on average in
+    its tree: a span that fits no better than foreign text is in none of the languages.
+    """
+    said: list[tuple[str, str]] = []  # label, sentence
+    code: list[str] = []
+    coded = 0
     for lang, text in rows:
-        if lang not in by:
+        if lang not in LANGUAGES:
             continue
-        plain = _MARKUP.sub(" ", _FENCE.sub(" ", text))
-        for s in sentences(plain):
-            if size[lang] < chars and is_sentence(s):
-                by[lang].append(s)
-                size[lang] += len(s)
-    kept = clean(by)
-    langs = tuple(k for k in LANGUAGES if kept[k])
-    return Model([train_tree(kept[k]) for k in langs], langs) if langs else None
-
-
-def _units(s: str) -> list[str]:
-    return _WORDS.findall(s.lower()) + _CJK.findall(s)
-
-
-def clean(by: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Drop sentences whose words are relatively more frequent under another label.
-
-    Relative frequencies know the base rate that cross-entropy doesn't: foreign passages are
-    the smaller part of a label's sentences.
+        for block in _FENCE.findall(text):
+            if coded < chars:
+                code += [line for line in block.strip("`").splitlines()[1:] if line.strip()]
+                coded += len(block)
+        for s in sentences(_MARKUP.sub(" ", _FENCE.sub(" ", text))):
+            if is_long_enough(s) and is_plain(s):
+                said.append((lang, s))
+    by: dict[str, list[str]] = {k: [] for k in LANGUAGES}
+    for (_, s), lang in zip(said, relabel(said)):
+        by[lang].append(s)
+    for k, own in by.items():  # up to ``chars`` characters, from all documents
+        own.sort(key=lambda s: zlib.crc32(s.encode()))
+        by[k] = own[: bisect_right(list(accumulate(map(len, own))), chars)]
+    langs = tuple(k for k in LANGUAGES if by[k])
+    if not langs:
+        return None
+    trees = [train_tree(by[k]) for k in langs]
+    model = Model(trees + ([train_tree(code)] if code else []), langs)
+    bits = np.array([np.mean([model.entropies(s)[: len(langs)] for s in by[k][:: max(1, len(by[k]) // HELD)]], axis=0) for k in langs])
+    np.fill_diagonal(bits, np.inf)
+    model.limits = tuple(float(b) for b in bits.min(axis=0)) if len(langs) > 1 else (MOST_BITS,)
+    return model
+
+
+def relabel(said: list[tuple[str, str]], rounds: int = 2) -> list[str]:
+    """The language of each labelled sentence by the relative frequencies of its three-character strings.
+
+    Declared languages are sometimes wrong and documents mix languages.  Relative frequencies know
+    the base rate that cross-entropy doesn't: foreign passages are the smaller part of a label.
     """
-    counts: dict[str, dict[str, int]] = {}
-    totals = {}
-    for k, ss in by.items():
-        c: dict[str, int] = {}
-        for s in ss:
-            for u in _units(s):
-                c[u] = c.get(u, 0) + 1
-        counts[k], totals[k] = c, sum(c.values()) or 1
-    langs = [k for k in by if by[k]]
-    out: dict[str, list[str]] = {k: [] for k in by}
-    for k in langs:
-        for s in by[k]:
-            us = _units(s)
-            score = {j: sum(math.log((counts[j].get(u, 0) + 0.02) / totals[j]) for u in us) for j in langs}
-            if max(langs, key=score.__getitem__) == k:
-                out[k].append(s)
-    return out
+    if not said:
+        return []
+    langs = sorted({k for k, _ in said})
+    labels = np.array([langs.index(k) for k, _ in said])
+    grams = []
+    for _, s in said:
+        points = np.frombuffer(normal(s).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        grams.append((points[:-2] << 42) + (points[1:-1] << 21) + points[2:])
+    sizes = np.array([len(g) for g in grams])
+    _, ids = np.unique(np.concatenate(grams), return_inverse=True)
+    kinds = int(ids.max()) + 1
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for _ in range(rounds):
+        counts = np.bincount(ids * len(langs) + np.repeat(labels, sizes), minlength=kinds * len(langs)).reshape(kinds, len(langs)) + 0.5
+        logs = np.log(counts / counts.sum(axis=0))
+        labels = np.stack([np.add.reduceat(logs[:, k][ids], starts) for k in range(len(langs))]).argmax(axis=0)
+    return [langs[k] for k in labels]
 
 
 # -- operators -------------------------------------------------------------
@@ -413,7 +443,7 @@ def found_sentences(model: Model, text: str, path: str | None) -> Iterator[tuple
         if len(span) < LEAST_CJK or not is_long_enough(span):
             continue
         for s, a, b in placed_sentences(span):
-            if is_sentence(s):
+            if is_long_enough(s):
                 yield place_of(places, a), place_of(places, b - 1) + 1, s, *model.classify(s)
 
 
@@ -446,7 +476,7 @@ def _judged(scripts: DataFrame, documents: DataFrame, docs: int, rows, schema: s
     model = train(training_rows(documents, docs))
     if model is None:
         return scripts.sparkSession.createDataFrame([], schema)
-    shared = scripts.sparkSession.sparkContext.broadcast((model.trees, model.languages, model.order))  # bounded by TRAIN_CHARS a language
+    shared = scripts.sparkSession.sparkContext.broadcast((model.trees, model.languages, model.limits, model.order))  # bounded by TRAIN_CHARS a language
 
     def once():
         return Model(*shared.value)

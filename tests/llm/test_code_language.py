@@ -1,3 +1,5 @@
+import random
+
 from lintmill.llm import code_language as C
 
 TEXTS = {
@@ -47,10 +49,61 @@ def test_held_out_accuracy():
     assert m.classify("xq7Zk2 Jw9 qqz pPx vvK zzT wXy")[0] == C.UNDETERMINED
 
 
-def test_wrong_labels_are_dropped():
-    by = {k: [s for t in ts for s in C.sentences(t)] for k, ts in TEXTS.items()}
-    by["en"] = by["en"] * 4 + by["de"][:1]
-    assert by["de"][0] not in C.clean(by)["en"]
+WORDS = {
+    "en": "the job must run while month is open every team has to look at this before release rows totals did not match",
+    "de": "der lauf darf nicht starten solange monat offen ist jedes team muss sich das vor freigabe ansehen summen stimmten zeilen",
+    "nl": "de taak mag niet draaien zolang maand nog open staat elk team moet dit voor de vrijgave bekijken regels totalen klopten",
+    "pl": "zadanie nie może działać dopóki miesiąc jest otwarty każdy zespół musi to obejrzeć przed wydaniem wiersze sumy zgadzały",
+}
+
+
+def made(rng, lang):
+    words = WORDS[lang].split()
+    return " ".join(rng.choice(words) for _ in range(rng.randint(7, 12))) + "."
+
+
+def labelled(seed, wrong=0.15):
+    """Many English documents, few of the others, of which some bear a wrong label or mix languages."""
+    rng = random.Random(seed)
+    rows = []
+    for label, n in (("en", 200), ("de", 20), ("nl", 20), ("pl", 20)):
+        for _ in range(n):
+            lang = label if rng.random() > wrong or label == "en" else rng.choice(["en", "de", "nl", "pl"])
+            rows.append((label, " ".join(made(rng, lang if rng.random() > 0.1 else "en") for _ in range(8))))
+    return rows
+
+
+def test_wrong_labels_are_set_right():
+    said = [(k, s) for k, text in labelled(1) for s in C.sentences(text)]
+    truth = {s: k for k in WORDS for _, s in said if set(s[:-1].split()) <= set(WORDS[k].split())}
+    assert all(truth[s] == k for (_, s), k in zip(said, C.relabel(said)) if s in truth)
+    assert any(truth[s] != k for k, s in said)
+    assert C.relabel([]) == []
+
+
+def test_training_draws_agree():
+    rng = random.Random(7)
+    held = [(k, made(rng, k)) for k in WORDS for _ in range(50)]
+    for seed in (11, 12, 13):
+        m = C.train(labelled(seed))
+        assert sum(m.classify(s)[0] == k for k, s in held) >= 0.99 * len(held)
+
+
+def test_code_and_keys_fit_no_language():
+    code = "```sql\n" + "SELECT LoadLabel, BaseTarget FROM dbo.Quote WHERE SiteTarget = 696\nUPDATE a SET a.Total = 1 FROM dbo.Lot AS a WHERE a.Kind = 3\n" * 20 + "```\n"
+    m = C.train([*labelled(1), ("en", code)])
+    assert m.classify("SELECT BaseTarget, SiteTarget, Total FROM dbo.Lot WHERE Kind = 5")[0] == C.UNDETERMINED
+    assert m.classify("WG7G8t8Mf8yB39Ojm1tmoKzZlKEPxzweMvQtGclacpb8nNI5GryFR1/Ie3ahFDjb")[0] == C.UNDETERMINED
+
+
+def test_pick():
+    rng = random.Random(3)
+    many = sorted((rng.getrandbits(64) - 2**63, i) for i in range(20_000))[:1000]
+    few = [(rng.getrandbits(64) - 2**63, 50_000 + i) for i in range(900)]
+    ids = C.pick({"en": many, "de": few}, 60, 1000)
+    assert sum(k == "de" for k in ids.values()) == 60 and 900 < sum(k == "en" for k in ids.values()) < 1000
+    assert {i for i, k in ids.items() if k == "de"} == {i for _, i in sorted(few)[:60]}
+    assert C.pick({}, 60, 1000) == {} and C.pick({"en": many[:1]}, 60, 1000) == {many[0][1]: "en"}
 
 
 def test_long_comment_is_linear():
