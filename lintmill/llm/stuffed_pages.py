@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import accumulate, chain, compress
+from itertools import accumulate, compress
 
 from pyspark.sql import DataFrame
 
@@ -44,11 +44,11 @@ _HASHTAG = re.compile(r"#[^\W\d_]\w*")
 _UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _LINE = re.compile(r"\r\n|\r|\n")
-_CUT = re.compile(r"[.!?][)\"'»”]?\s+|[。！？]|\||\t|[•·]\s")
+_CUT = re.compile(r"[.!?][)\"'»”]?[^\S\r\n]+|[。！？]|\||\t|[•·]\s")
 _ASCII_UNIT = re.compile(r"[a-z]+|\d+")
 _ENDS = frozenset(".!?。！？:…")
 _BEHIND = " \t\u3000|•·)\"'»”*_"  # what may follow the end of a sentence
-_SEPARATED = re.compile(r"[,;|/•·#、]|\s[-–]\s")
+_SEPARATORS = (",", ";", "|", "/", "•", "·", "#", "、", " - ", " – ")
 #: A number alone in brackets: how often a tag was used, no call.
 _TALLY = re.compile(r"\(\s*\d+\s*\)|\[\s*\d+\s*\]")
 _CODE = re.compile(r"[=(){}\[\];@<>\\]|\w_\w|[^\W\d]\.[^\W\d]|^\s*(?:--|/\*|\*/|\*\s)|^[-+]{3}")
@@ -64,14 +64,14 @@ def units_of(s: str) -> list[str]:
     return _ASCII_UNIT.findall(s) if s.isascii() else _UNIT.findall(s)
 
 
-def pieces_of(line: str) -> list[str]:
-    """Sentences, table cells and list entries of a line."""
-    out, at = [], 0
-    for m in _CUT.finditer(line):
-        out.append(line[at : m.end()])
-        at = m.end()
-    out.append(line[at:])
-    return out
+def mark_cuts(body: str) -> str:
+    """A null character behind each sentence, table cell and list entry."""
+    if not body.isascii():
+        return _CUT.sub("\\g<0>\0", body)
+    for end in (". ", "! ", "? ", "|", "\t", '." ', '!" ', '?" ', ".) ", "!) ", "?) ", ".' ", "!' ", "?' "):
+        if end in body:
+            body = body.replace(end, end + "\0")
+    return body
 
 
 def is_clause(piece: str, units: list[str] | None = None) -> bool:
@@ -87,7 +87,7 @@ def is_clause(piece: str, units: list[str] | None = None) -> bool:
         n = n - cjk + cjk // 2
     elif len(set(units)) < 0.6 * n:
         return False
-    return len(_SEPARATED.findall(piece)) * 4 <= n
+    return sum(map(piece.count, _SEPARATORS)) * 4 <= n
 
 
 def is_code(piece: str, n: int) -> bool:
@@ -103,22 +103,26 @@ def is_code(piece: str, n: int) -> bool:
 def repeated(words: list[str], least: int = 1) -> list[bool]:
     """For every word, whether a substring of ``least`` characters or more that occurs twice or more spans it."""
     n = len(words)
-    out = [False] * n
     times = Counter(words)
-    pairs = Counter(zip(words, words[1:]))
-    twice = {p for p, k in pairs.items() if k > 1}
+    pairs = list(zip(words, words[1:]))
+    often = Counter(pairs)
+    joined = [often[p] > 1 for p in pairs]  # whether the pair of a word and the next one repeats
+    joined.append(False)
+    chars = list(accumulate(map(len, words), initial=0))
+    out = [len(w) >= least and times[w] > 1 for w in words]
+    ids: dict[str, int] = {}
+    words = [ids.setdefault(w, len(ids)) for w in words]
     nxt: list[dict] = [{}]
     link = [-1]
     length = [0]
     ends = [0] * n
     last = 0
-    linked = False  # whether the pair of this word and the one before repeats
-    for i, (w, pair) in enumerate(zip(words, chain(zip(words, words[1:]), (None,)))):
-        before, linked = linked, pair in twice
+    linked = False
+    for i, w in enumerate(words):
+        before, linked = linked, joined[i]
         if not before:
             last = 0
             if not linked:  # no longer substring spans it
-                out[i] = times[w] > 1 and len(w) >= least
                 continue
         at = nxt[last]
         q = at.get(w)
@@ -159,10 +163,11 @@ def repeated(words: list[str], least: int = 1) -> list[bool]:
     # a state occurs twice if another one's link leads to it or two places end there
     again = set(link)
     again.update(v for v, k in Counter(ends).items() if k > 1)
-    chars = list(accumulate(map(len, words), initial=0))
     reach = n  # first word of what is covered already
     for i in range(n - 1, -1, -1):
         v = ends[i]
+        if not v:
+            continue
         while v > 0 and v not in again:
             v = link[v]
         if v > 0:
@@ -193,7 +198,7 @@ def measure(text: str) -> tuple[float, float, float]:
         body = _TAG.sub(" ", body)
     if "&" in body:
         body = _ENTITY.sub(" ", body)
-    for line in _LINE.split(body):
+    for line in _LINE.split(mark_cuts(body)):
         line = line.strip()
         if not line:
             continue
@@ -201,7 +206,7 @@ def measure(text: str) -> tuple[float, float, float]:
             line = _LINK_MARKUP.sub(r"\1 \2 ", line)
         linked = "://" in line or "www." in line
         said = []
-        for piece in pieces_of(line):
+        for piece in line.split("\0"):
             links: list[str] = []
             if linked:
                 for m in _URL.finditer(piece):
