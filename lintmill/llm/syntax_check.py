@@ -1,16 +1,17 @@
 """Source files that do not parse (problem 2).
 
-Method.  A T-SQL text is cut into chunks at places where no lexeme of two characters is
-split.  A chunk is summarised without knowing what precedes it: a map from the lexical
-state at its start (code, line comment, string, bracketed name, quoted name, block comment
-of any depth) to the state at its end, the number of batch separators, and the bracket
-summary (closers and openers left over) of its first and last batch.  Summaries compose
-associatively, so chunks of one file may lie in any partitions; composing them in order
-gives each chunk's true start state and finds files that end inside a literal or whose
-parentheses don't balance.  What is balanced is then parsed batch by batch with the local
-grammar; only pieces of batches of files longer than one chunk are shuffled, a file of one
-chunk is lexed and parsed whole where it is read, without a summary.  JSON and XML are parsed by the strict
-parsers of the standard library.
+Method.  Every text, of any length and language, is cut into chunks at places where no lexeme
+of two characters is split.  A chunk is summarised without knowing what precedes it: a map from
+the lexical state at its start to the state at its end and a bracket summary.  Of T-SQL the
+states are code, line comment, string, bracketed name, quoted name and block comment of any
+depth, and the summary holds the number of batch separators and the closers and openers left
+over in the first and the last batch.  Of JSON they are value, string and escape, with the
+brackets left over; of XML text, tag, quoted values of either kind, comment, CDATA, processing
+instruction and declaration, with the tags left over.  Maps compose associatively (``join_maps``)
+and are reduced pairwise; all chunks of a text lie in the row that brings it, so the reduction
+ends on the map side, in the task that reads it, and nothing is shuffled.  The map of the file tells whether it ends inside a literal and whether its brackets balance; only what is balanced is
+parsed, statement by statement with the local grammar (T-SQL) or by the strict parser of the
+standard library (JSON, XML).  The lexemes of the states that turn out true are those parsed.
 
 Defined results: null text is not flagged; an empty or blank T-SQL text is valid, an empty
 JSON or XML text isn't; a leading byte-order mark is ignored; a statement nested deeper than
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.arrow import map_lists
+from lintmill.llm import markup_states as M
 from lintmill.llm.script_text import language_of
 from lintmill.syntax import lexer as L
 from lintmill.syntax.parser import KINDS, ParseError, Parser, StatementMemo, batches, separators
@@ -37,6 +39,7 @@ CHUNK_CHARS = 8192
 _OPEN_STATE = {"string": L.STRING, "bracket": L.BRACKET, "quoted": L.QUOTED}
 _CLOSER = {L.STRING: "'", L.BRACKET: "]", L.QUOTED: '"'}
 _LINE_END = re.compile(r"[\r\n]")
+_EDGE = re.compile(r"/\*|\*/")
 
 
 _SEPARATOR_LINE = re.compile(r"\s*(?:GO[\s\d;]*)?", re.IGNORECASE)
@@ -64,6 +67,8 @@ def cut_points(text: str, size: int) -> list[int]:
 
 def _brackets(kinds: list[str]) -> tuple[int, int]:
     c = o = 0
+    if "(" not in kinds and ")" not in kinds:
+        return c, o
     for k in kinds:
         if k == "(":
             o += 1
@@ -75,74 +80,102 @@ def _brackets(kinds: list[str]) -> tuple[int, int]:
     return c, o
 
 
-def _from_code(text: str, line_start: bool) -> tuple:
-    """(end state, separators, first batch's brackets, last batch's brackets, all batches between balance)."""
+def _from_code(text: str, line_start: bool) -> tuple[tuple, list[str]]:
+    """((end state, separators, first batch's brackets, last batch's brackets, all batches between balance), lexemes)."""
     lexemes, open_ = L.split(text)
     if open_ == "comment":
-        depth = L.comment_end(lexemes[-1], 0)[1]
-        end = L.BLOCK + depth - 1
+        end = L.BLOCK + L.comment_end(lexemes[-1], 0)[1] - 1
     elif open_:
         end = _OPEN_STATE[open_]
     else:
         end = L.LINE_COMMENT if lexemes and lexemes[-1][:2] == "--" else L.CODE
-    if open_:
-        lexemes = lexemes[:-1]
-    if not line_start and lexemes:
-        lexemes = ["x", *lexemes]  # what precedes is on the same line, so a GO here separates nothing
-    parts = separators = None
-    parts = _segments(lexemes)
-    separators = len(parts) - 1
-    sums = [_brackets(p) for p in parts]
-    return end, separators, sums[0], sums[-1], all(s == (0, 0) for s in sums[1:-1])
-
-
-def _segments(lexemes: list[str]) -> list[list[str]]:
-    """Kinds of each batch, empty batches included."""
-    marked = batches(lexemes)
-    cuts = _go_cuts(lexemes)
-    out = [[] for _ in range(len(cuts) + 1)]
-    for start, _, _, kinds in marked:
-        out[sum(c <= start for c in cuts)] += kinds
-    return out
+    kinds = [KINDS[x] for x in (lexemes[:-1] if open_ else lexemes)]
+    at = 0
+    # what precedes is on the same line where none starts here, so a GO here separates nothing
+    ends = [e - (not line_start) for _, e in (separators(lexemes, kinds) if line_start else separators(["x", *lexemes], [KINDS["x"], *kinds]))]
+    sums = []
+    for e in [*ends, len(kinds)]:
+        sums.append(_brackets(kinds[at:e]))
+        at = e
+    return (end, len(ends), sums[0], sums[-1], all(s == (0, 0) for s in sums[1:-1])), lexemes
+
+
+class SqlChunk:
+    """A chunk of T-SQL: its summary, opening part and lexemes for a state at its start, read once."""
+
+    def __init__(self, text: str, line_start: bool):
+        self.text, self.line_start = text, line_start
+        self.read: dict[int, tuple] = {}
+
+    def at(self, state: int) -> tuple[tuple, str, list[str]]:
+        """(summary, what ends the lexeme that is open at the start, lexemes of the rest)."""
+        if state not in self.read:
+            text, n = self.text, len(self.text)
+            line_start = self.line_start
+            if state == L.CODE:
+                at = 0
+            elif state == L.LINE_COMMENT:
+                m = _LINE_END.search(text)
+                at, line_start = (m.start(), True) if m else (n + 1, False)
+            elif state >= L.BLOCK:
+                at, depth = L.comment_end(text, 0, state - L.BLOCK + 1)
+                if depth:
+                    at = n + 1
+                line_start = bool(_LINE_END.search(text, 0, at))
+            else:
+                closer, at = _CLOSER[state], 0
+                while True:
+                    at = text.find(closer, at)
+                    if at < 0 or text[at + 1 : at + 2] != closer:
+                        break
+                    at += 2
+                at, line_start = (at + 1 if at >= 0 else n + 1), False
+            if at > n:
+                end = state if state < L.BLOCK else L.BLOCK + depth - 1
+                self.read[state] = (end, 0, (0, 0), (0, 0), True), text, []
+            else:
+                summary, lexemes = _from_code(text[at:], line_start)
+                self.read[state] = summary, text[:at], lexemes
+        return self.read[state]
+
+    def map(self, first: bool) -> dict:
+        """Lexer-state map: state at the start -> summary.  The first chunk of a file starts in code."""
+        if first:
+            return {L.CODE: self.at(L.CODE)[0]}
+        depth = low = 0
+        for m in _EDGE.finditer(self.text):
+            depth += 1 if m.group() == "/*" else -1
+            low = min(low, depth)  # a block comment that was -low deep at the start ends in the chunk
+        out = {s: self.at(s)[0] for s in (L.CODE, L.LINE_COMMENT, *_CLOSER, *range(L.BLOCK, L.BLOCK - low))}
+        out["block"] = (-low, depth)  # deeper comments stay open, deeper by so much
+        return out
 
 
-def _go_cuts(lexemes: list[str]) -> list[int]:
-    """Index after each batch separator."""
-    return [e for _, e in separators(lexemes, [KINDS[x] for x in lexemes])]
+def apply_map(summaries: dict, state: int) -> tuple:
+    """The summary of a chunk or run of chunks for one start state."""
+    if state in summaries:
+        return summaries[state]
+    return state + summaries["block"][1], 0, (0, 0), (0, 0), True
 
 
-def chunk_summary(text: str, first: bool, line_start: bool) -> dict:
-    """Lexer-state map of a chunk: state at the start -> summary.  The first chunk of a file starts in code."""
-    out = {L.CODE: _from_code(text, line_start)}
-    if first:
-        return out
-    empty = (0, 0)
-    m = _LINE_END.search(text)
-    out[L.LINE_COMMENT] = _from_code(text[m.start() :], True) if m else (L.LINE_COMMENT, 0, empty, empty, True)
-    for state, closer in _CLOSER.items():
-        at = 0
-        while True:
-            at = text.find(closer, at)
-            if at < 0 or closer == '"' and text[at + 1 : at + 2] != '"' or text[at + 1 : at + 2] != closer:
-                break
-            at += 2
-        out[state] = _from_code(text[at + 1 :], False) if at >= 0 else (state, 0, empty, empty, True)
-    depth = low = 0
-    for m in re.finditer(r"/\*|\*/", text):
-        depth += 1 if m.group() == "/*" else -1
-        if depth < low:
-            low = depth  # a block comment that was -low deep at the start ends here
-            out[L.BLOCK - low - 1] = _from_code(text[m.end() :], bool(_LINE_END.search(text, 0, m.end())))
-    out["block"] = (-low, depth)  # deeper comments stay open, deeper by so much
+def join_maps(a: dict, b: dict) -> dict:
+    """Map of two neighbouring runs of chunks; associative."""
+    out = {s: compose(one, apply_map(b, one[0])) for s, one in a.items() if s != "block"}
+    if "block" in a:
+        (low_a, by_a), (low_b, by_b) = a["block"], b["block"]
+        low = max(low_a, low_b - by_a)
+        for s in range(L.BLOCK + low_a, L.BLOCK + low):
+            one = apply_map(a, s)
+            out[s] = compose(one, apply_map(b, one[0]))
+        out["block"] = (low, by_a + by_b)
     return out
 
 
-def apply_summary(summary: dict, state: int) -> tuple:
-    """The summary of a chunk for one start state."""
-    if state in summary:
-        return summary[state]
-    low, delta = summary["block"]
-    return state + delta, 0, (0, 0), (0, 0), True
+def reduce_pairs(parts: list, join):
+    """Neighbours joined in pairs until one is left."""
+    while len(parts) > 1:
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def join_brackets(a: tuple, b: tuple) -> tuple:
@@ -177,14 +210,9 @@ def verdict_of_summary(s: tuple) -> str | None:
     return None
 
 
-def parse_error(text: str, memo: StatementMemo | None = None) -> str | None:
-    """Why a whole T-SQL text is not valid; None if it is."""
-    lexemes, open_ = L.split(text)
-    if open_:
-        return "comment is not closed" if open_ == "comment" else "literal or quoted name is not closed"
+def parse_lexemes(lexemes: list[str], memo: StatementMemo | None = None) -> str | None:
+    """Why the batches of a balanced text are not valid by the grammar; None if they are."""
     for _, _, toks, kinds in batches(lexemes):
-        if kinds.count("(") != kinds.count(")"):
-            return "parentheses don't balance"
         try:
             Parser(toks, kinds, memo).script()
         except ParseError as e:
@@ -194,11 +222,39 @@ def parse_error(text: str, memo: StatementMemo | None = None) -> str | None:
     return None
 
 
+def sql_chunks(text: str, size: int) -> list[SqlChunk]:
+    cuts = [*cut_points(text, size), len(text)]
+    return [SqlChunk(text[a:b], a == 0 or text[a - 1] in "\r\n") for a, b in zip(cuts, cuts[1:])]
+
+
+def sql_error(text: str, size: int = CHUNK_CHARS, memo: StatementMemo | None = None) -> str | None:
+    """Why a T-SQL text is not valid: by the map of its chunks, then by the grammar."""
+    chunks = sql_chunks(text, size)
+    whole = reduce_pairs([c.map(k == 0) for k, c in enumerate(chunks)], join_maps)
+    why = verdict_of_summary(apply_map(whole, L.CODE))
+    if why:
+        return why
+    state = L.CODE
+    lexemes: list[str] = []
+    for c in chunks:
+        summary, head, own = c.at(state)
+        if head:
+            lexemes[-1] += head
+            if lexemes[-1][0] == "'" and lexemes[-2:-1] in (["N"], ["n"]):  # apart while the literal was open
+                lexemes[-2:] = ["".join(lexemes[-2:])]
+        lexemes += own
+        state = summary[0]
+    return parse_lexemes(lexemes, memo)
+
+
 def _no_constant(name: str):
     raise ValueError(name)
 
 
-def json_error(text: str) -> str | None:
+def json_error(text: str, size: int = CHUNK_CHARS) -> str | None:
+    why = M.verdict(reduce_pairs(M.maps(text, size, "json"), M.join_maps)["value"])
+    if why:
+        return why
     try:
         json.loads(text, parse_constant=_no_constant)
     except RecursionError:
@@ -208,7 +264,10 @@ def json_error(text: str) -> str | None:
     return None
 
 
-def xml_error(text: str) -> str | None:
+def xml_error(text: str, size: int = CHUNK_CHARS) -> str | None:
+    why = M.verdict(reduce_pairs(M.maps(text, size, "xml"), M.join_maps)["text"])
+    if why:
+        return why
     p = expat.ParserCreate("utf-8")
     try:
         p.Parse(text.encode("utf-8", "surrogatepass"), True)
@@ -232,129 +291,18 @@ def _check_rows(chunk_chars: int):
             if text is None:
                 yield i, repo, lang, None
                 continue
-            body = text[1:] if text[:1] == "\ufeff" else text
-            if lang == "json":
-                yield i, repo, lang, json_error(body)
-            elif lang == "xml":
-                yield i, repo, lang, xml_error(body)
-            elif len(text) <= chunk_chars:
-                yield i, repo, lang, parse_error(text, memo)
-
-    return run
-
-
-def _chunk_rows(chunk_chars: int):
-    def run(rows, texts):
-        for r, text in zip(rows, texts):
-            cuts = [*cut_points(text, chunk_chars), len(text)]
-            for k in range(len(cuts) - 1):
-                piece = text[cuts[k] : cuts[k + 1]]
-                before = text[cuts[k] - 1 : cuts[k]]
-                s = chunk_summary(piece, k == 0, k == 0 or before in ("\n", "\r"))
-                yield r, k, piece, repr(s)
+            if lang == "tsql":
+                why = sql_error(text, chunk_chars, memo)
+            else:
+                why = (json_error if lang == "json" else xml_error)(text[1:] if text[:1] == "\ufeff" else text, chunk_chars)
+            yield i, repo, lang, why
 
     return run
 
 
-def _fold(rows, summaries):
-    """Compose the summaries of each file in order; one row per chunk with its true start state."""
-    import ast
-
-    for r, parts in zip(rows, summaries):
-        state, total, starts = L.CODE, None, []
-        for p in parts:
-            s = ast.literal_eval(p["summary"])
-            starts.append((state, total[1] if total else 0))
-            one = apply_summary(s, state)
-            total = one if total is None else compose(total, one)
-            state = one[0]
-        why = verdict_of_summary(total)
-        for p, (state, batch) in zip(parts, starts):
-            yield r, p["k"], state, batch, why
-
-
-def _pieces(rows, ks, texts, states, firsts):
-    """Cut each chunk at its batch separators."""
-    for r, k, text, state, batch in zip(rows, ks, texts, states, firsts):
-        if state == L.CODE:
-            head, tail = "", text
-        elif state == L.LINE_COMMENT:
-            m = _LINE_END.search(text)
-            at = m.start() if m else len(text)
-            head, tail = text[:at], text[at:]
-        elif state >= L.BLOCK:
-            at = L.comment_end(text, 0, state - L.BLOCK + 1)[0]
-            head, tail = text[:at], text[at:]
-        else:
-            closer, at = _CLOSER[state], 0
-            while True:
-                at = text.find(closer, at)
-                if at < 0 or text[at + 1 : at + 2] != closer:
-                    break
-                at += 2
-            at = len(text) if at < 0 else at + 1
-            head, tail = text[:at], text[at:]
-        lexemes, _ = L.split(tail)
-        if head and state != L.LINE_COMMENT and not (state >= L.BLOCK and _LINE_END.search(head)):
-            lexemes = ["x", *lexemes]
-            cuts = _go_cuts(lexemes)
-            cuts = [c - 1 for c in cuts]
-            lexemes = lexemes[1:]
-        else:
-            cuts = _go_cuts(lexemes)
-        start = 0
-        for n, c in enumerate([*cuts, len(lexemes)]):
-            piece = "".join(lexemes[start:c])
-            if n < len(cuts):
-                g = max(i for i in range(start, c) if lexemes[i].upper() == "GO")
-                piece = "".join(lexemes[start:g])
-            yield r, batch + n, k, (head if n == 0 else "") + piece
-            start = c
-
-
-def _parse_batches(memo, rows, parts):
-    for r, ps in zip(rows, parts):
-        yield r, parse_error("".join(p["piece"] for p in ps), memo)
-
-
 def check_syntax(scripts: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row per script: ``script_id, repo, language, error`` (null: valid)."""
-    need = scripts.select("script_id", "repo", "file_path", "text")
-    judged = map_lists(need, ["script_id", "repo", "file_path", "text"], _check_rows(chunk_chars), _VERDICT, once=_task_state)
-    # T-SQL files longer than a chunk; equal rows are judged once and counted
-    long_ = (
-        scripts.where(F.length("text") > chunk_chars)
-        .where(~F.coalesce(F.lower("file_path").rlike(r"\.(json|xml)\s*$"), F.lit(False)))
-        .groupBy("script_id", "repo", "text").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.to_json(F.struct("script_id", "repo", F.xxhash64("text").alias("h"), "n")).alias("r"), "text")
-    )
-    chunks = map_lists(long_, ["r", "text"], _chunk_rows(chunk_chars), "r string, k int, piece string, summary string")
-    folded = map_lists(
-        chunks.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("k", "summary"))).alias("parts")),
-        ["r", "parts"],
-        _fold,
-        "r string, k int, state int, batch int, why string",
-    )
-    pieces = map_lists(
-        chunks.select("r", "k", "piece").join(folded.where("why is null"), ["r", "k"]),
-        ["r", "k", "piece", "state", "batch"],
-        _pieces,
-        "r string, batch int, k int, piece string",
-    )
-    parsed = map_lists(
-        pieces.groupBy("r", "batch").agg(F.sort_array(F.collect_list(F.struct("k", "piece"))).alias("parts")),
-        ["r", "parts"],
-        _parse_batches,
-        "r string, error string",
-        once=_task_state,
-    )
-    long_rows = (
-        folded.select("r", F.col("why").alias("error")).unionByName(parsed).groupBy("r").agg(F.min("error").alias("error"))
-        .select(F.from_json("r", "script_id long, repo string, n int").alias("r"), "error")
-        .select("r.*", "error", F.explode(F.sequence(F.lit(1), F.col("r.n"))))
-        .select("script_id", "repo", F.lit("tsql").alias("language"), "error")
-    )
-    return judged.unionByName(long_rows)
+    """One row per script: ``script_id, repo, language, error`` (null: valid); one scan, no shuffle."""
+    return map_lists(scripts, ["script_id", "repo", "file_path", "text"], _check_rows(chunk_chars), _VERDICT, once=_task_state)
 
 
 def invalid_scripts(scripts: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

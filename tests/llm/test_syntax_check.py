@@ -1,5 +1,7 @@
+import functools
 import random
 
+from lintmill.llm import markup_states as M
 from lintmill.llm import syntax_check as C
 from lintmill.syntax import lexer as L
 
@@ -8,31 +10,65 @@ PIECES = ["SELECT a FROM t;\n", "-- it's ( x\n", "/* a /* (b */ c */", "N'a''b(\
 
 def whole(text):
     """The summary of a text lexed at once."""
-    return C._from_code(text, True)
+    return C._from_code(text, True)[0]
+
+
+def direct(text):
+    """Verdict on a text without chunks."""
+    lexemes, open_ = L.split(text)
+    if open_ or any(k.count("(") != k.count(")") for _, _, _, k in C.batches(lexemes)):
+        return "not balanced"
+    return C.parse_lexemes(lexemes)
 
 
 def test_summaries_compose_to_the_whole():
     rng = random.Random(4)
     for _ in range(1500):
         text = "".join(rng.choice(PIECES) for _ in range(rng.randint(1, 14)))
-        cuts = [*C.cut_points(text, rng.randint(3, 12)), len(text)]
-        state, total = L.CODE, None
-        for k in range(len(cuts) - 1):
-            piece = text[cuts[k] : cuts[k + 1]]
-            before = text[cuts[k] - 1 : cuts[k]]
-            s = C.apply_summary(C.chunk_summary(piece, k == 0, k == 0 or before in ("\n", "\r")), state)
-            total = s if total is None else C.compose(total, s)
-            state = s[0]
+        maps = [c.map(k == 0) for k, c in enumerate(C.sql_chunks(text, rng.randint(3, 12)))]
+        total = C.apply_map(C.reduce_pairs(maps, C.join_maps), L.CODE)
+        one = C.apply_map(functools.reduce(C.join_maps, maps), L.CODE)
         want = whole(text)
-        assert total[0] == want[0] or (total[0], want[0]) in ((L.CODE, L.LINE_COMMENT), (L.LINE_COMMENT, L.CODE)), (text, cuts, total, want)
-        assert C.verdict_of_summary(total) == C.verdict_of_summary(want), (text, cuts, total, want)
+        assert total == one
+        assert total[0] == want[0] or (total[0], want[0]) in ((L.CODE, L.LINE_COMMENT), (L.LINE_COMMENT, L.CODE)), (text, total, want)
+        assert C.verdict_of_summary(total) == C.verdict_of_summary(want), (text, total, want)
 
 
 def test_composition_is_associative():
     rng = random.Random(9)
     for _ in range(300):
-        a, b, c = (C._from_code("".join(rng.choice(["(", ")", "\nGO\n", " x ", "(("]) for _ in range(5)) + "\n", True) for _ in range(3))
-        assert C.compose(C.compose(a, b), c) == C.compose(a, C.compose(b, c))
+        a, b, c = (C.SqlChunk("".join(rng.choice(["(", ")", "\nGO\n", " x ", "((", "/*", "*/", "'", "]", "--"]) for _ in range(6)) + "\n", True).map(False) for _ in range(3))
+        left, right = C.join_maps(C.join_maps(a, b), c), C.join_maps(a, C.join_maps(b, c))
+        states = {s for m in (left, right) for s in m if s != "block"} | {L.BLOCK + 20}
+        assert all(C.apply_map(left, s) == C.apply_map(right, s) for s in states) and left["block"][1] == right["block"][1]
+
+
+MARKUP = {
+    "json": ["{", "}", "[", "]", '"a"', '"b\\\\"', '"c\\"d"', ":", ",", "1", '"', "\\", "\n"],
+    "xml": ["<a>", "</a>", "<b x='>\">'>", "</b>", "<c/>", "<!-- <a> -->\n", "<![CDATA[<b>]]>", "<?p <a> ?>", "text\n", "<d y=\"a'b\n\"/>", "<!--", "<!DOCTYPE a [<!ENTITY e '<b>'>]>"],
+}
+
+
+def test_markup_maps_compose_to_the_whole():
+    rng = random.Random(5)
+    for language, first in (("json", "value"), ("xml", "text")):
+        for _ in range(800):
+            text = "".join(rng.choice(MARKUP[language]) for _ in range(rng.randint(0, 14)))
+            want = M.maps(text, 10**6, language)[0][first]
+            maps = M.maps(text, rng.randint(2, 9), language)
+            assert C.reduce_pairs(maps, M.join_maps)[first][0] == want[0], (text, maps)
+            assert M.verdict(C.reduce_pairs(maps, M.join_maps)[first]) == M.verdict(want)
+            assert functools.reduce(M.join_maps, maps)[first] == C.reduce_pairs(maps, M.join_maps)[first]
+
+
+def test_maps_reject_nothing_valid():
+    good = '<?xml version="1.0"?><!DOCTYPE a [<!ENTITY e "<b>"><!-- ] -->]><a x=">" y=\'"/\'><!-- <q> --><b/><c>]]&gt;</c ><![CDATA[</a>]]></a><!-- end -->'
+    for size in (5, 20, 10**6):
+        assert C.xml_error(good, size) is None
+        assert C.xml_error(good.replace("</c >", "</d >"), size) == "elements don't balance"
+        assert C.json_error('{"a\\\\": [1, {"b": "}\\""}], "c": {}}', size) is None
+        assert C.json_error('{"a": [1, 2}', size) == "brackets don't balance"
+        assert C.json_error('{"a": "x', size) == "ends inside string"
 
 
 def test_chunks_change_nothing(spark):
@@ -46,7 +82,7 @@ def test_chunks_change_nothing(spark):
             text = text[:at] + rng.choice(["(", "'", "/*", ")", " FORM ", "]"]) + text[at:]
         rows.append((i, "r", "a.sql", text))
     df = spark.createDataFrame(rows, "script_id long, repo string, file_path string, text string")
-    want = {i for i, _, _, t in rows if C.parse_error(t)}
+    want = {i for i, _, _, t in rows if direct(t)}
     for size in (60, 200, 10**6):
         assert {r[0] for r in C.invalid_scripts(df, size).collect()} == want
 
@@ -67,13 +103,10 @@ def test_languages_and_edges(spark):
 
 
 def test_long_files_have_the_separators_of_short_ones():
-    for between in ("/* a\n b */ GO\n", "GO 5 5\n", "GO;;\n", "GO 5;\n", "\nGO\n"):
-        lexemes, _ = L.split("x )\n" + between + "SELECT 1\n")
-        got = C._segments(lexemes)
-        assert [k for p in got for k in p] == [k for b in C.batches(lexemes) for k in b[3]]
-        assert [p for p in got if p] == [b[3] for b in C.batches(lexemes)]
-    first, second = C._from_code("SELECT (1\n", True), C._from_code(")\n/* a\n b */ GO\nSELECT 1\n", True)
+    for between in ("/* a\n b */ GO\n", "GO 5 5\n", "GO;;\n", "GO 5;\n", "\nGO\n", "x GO\n"):
+        for text in ("SELECT x\n" + between + "SELECT 1\n", "SELECT (x\n" + between + ")\n"):
+            assert all((C.sql_error(text, size) is None) == (direct(text) is None) for size in (4, 9, 15, 10**6)), text
+    first, second = whole("SELECT (1\n"), whole(")\n/* a\n b */ GO\nSELECT 1\n")
     assert C.verdict_of_summary(C.compose(first, second)) is None
-    end, n, *_ = C.apply_summary(C.chunk_summary("a\n b */ GO\nSELECT 1\n", False, True), L.BLOCK)
-    assert (end, n) == (L.CODE, 1)
-    assert [r[3] for r in C._pieces([1], [1], ["a\n b */ GO\nSELECT 1\n"], [L.BLOCK], [0])] == ["a\n b */ ", "\nSELECT 1\n"]
+    summary, head, rest = C.SqlChunk("a\n b */ GO\nSELECT 1\n", True).at(L.BLOCK)
+    assert (summary[:2], head, "".join(rest)) == ((L.CODE, 1), "a\n b */", " GO\nSELECT 1\n")
