@@ -2,8 +2,9 @@
 
 Method.  A text is tokenized lexically.  A literal is flagged if it is assigned or passed to
 a credential-named identifier (``PASSWORD = '..'``, ``@apiKey NVARCHAR(200) = N'..'``,
-``exec p @rmtpassword = '..'``, ``VALUES (N'webhook.secret', N'..')``, a JSON member, an XML
-attribute) and is no placeholder.  Literals and comments are also searched for credentials
+``exec p @rmtpassword = '..'``, ``VALUES (N'webhook.secret', N'..')``, ``SET Val = N'..' WHERE
+Name = N'ftp_pass'``, an argument of a procedure or function that takes a secret, a JSON member, an
+XML attribute or element) and is no placeholder.  Literals and comments are also searched for credentials
 that carry their own mark: connection strings, logins in addresses, Basic and Bearer headers,
 signatures, tokens of known form, private keys.  Redaction replaces only the value: quotes,
 escapes and everything else stay, so a text parses as before.
@@ -33,13 +34,19 @@ REPLACEMENT = "REDACTED"
 
 #: Words that make the last part of a name credential-like (fixed values).
 _SECRET_LAST = frozenset(
-    "password passwd pwd pass passphrase passcode secret token apikey credential credentials cred creds pw psw sas".split()
+    "password passwd pwd pass passphrase passcode secret token apikey credential credentials cred creds pw psw sas "
+    "kennwort passwort geheimnis contraseña contrasena clave motdepasse senha wachtwoord hasło haslo пароль 密码 口令 パスワード".split()
 )
 #: First words of two-word names whose last word is "key".
 _KEY_KINDS = frozenset(
     "api access secret private shared account encryption signing auth master storage service client app license webhook hmac sas".split()
 )
-_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|[0-9]+")
+#: Procedures and functions that take a secret by position, and which arguments (zero-based) it may be (fixed values).
+_POSITIONS = {
+    "sp_addlogin": (1,), "sp_password": (0, 1), "sp_addlinkedsrvlogin": (4,), "sp_setapprole": (1,), "sp_addapprole": (1,), "sp_approlepassword": (1,),
+    "sp_change_users_login": (3,), "sp_adddistributor": (2,), "encryptbypassphrase": (0,), "decryptbypassphrase": (0,), "pwdencrypt": (0,), "pwdcompare": (0,),
+}
 _PLACEHOLDER = re.compile(
     r"^(?:<.*>|\$\(.*\)|\$\{.*\}|%[\w.]+%|#\{.*\}#?|\{\{.*\}\}|\{\w*\}|\[[\w .-]+\]|@\w+|\$\w+|:\w+|\?|"
     r"[*xX#._\-•\s]+|.*\*{3,}.*|"
@@ -54,7 +61,7 @@ _HASH = re.compile(
 _GUID = re.compile(r"^\{?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\}?$")
 _URL_START = re.compile(r"^[a-z][a-z0-9+.-]*://", re.IGNORECASE)
 
-_VALUE = r"""(?:'(?P<q1>[^'\r\n]*)'|"(?P<q2>[^"\r\n]*)"|(?P<bare>[^;'"&\s<>,)]+(?:\)[^;'"&\s<>,)]*)?))"""
+_VALUE = r"""(?:''(?P<q0>[^'\r\n]+)''|'(?P<q1>[^'\r\n]*)'|"(?P<q2>[^"\r\n]*)"|(?P<bare>[^;'"&\s<>,)]+(?:\)[^;'"&\s<>,)]*)?))"""
 _CONNECTION = re.compile(
     r"(?<![\w$@.-])(?P<name>(?:[A-Za-z]+[ _.-]?)??(?:password|passwd|pwd|passphrase|secret|token|apikey|api[_-]key|access[_-]key|"
     r"accountkey|sharedaccesskey|client[_-]?secret))\s*(?<![=:])=\s*[nN]?" + _VALUE,
@@ -80,11 +87,11 @@ _KNOWN = re.compile(
 )
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_JSON_PAIR = re.compile(r'"(?P<name>[^"\\\r\n]{1,200})"\s*:\s*"(?P<value>[^"\\]*(?:\\.[^"\\]*)*)"', re.DOTALL)
-_XML_ELEMENT = re.compile(r"""<(?:"[^"<]*"|'[^'<]*'|[^<>])*""")
+_JSON_PAIR = re.compile(r'"(?P<name>[^"\\\r\n]+)"\s*:\s*"(?P<value>[^"\\]*(?:\\.[^"\\]*)*)"', re.DOTALL)
+_JSON_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"?|[{}\[\],:]', re.DOTALL)
+_XML_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*>?|[^<]+""", re.DOTALL)
 _XML_MEMBER = re.compile(r"""\s(?P<name>[\w.:-]+)\s*=\s*(?:"(?P<q2>[^"<]*)"|'(?P<q1>[^'<]*)')""")
-_XML_ATTRIBUTE = re.compile(r"""\s(?P<name>[\w.:-]+)\s*=\s*(["'])(?P<value>[^"'<>]*)\2""")
-_XML_TEXT = re.compile(r"<(?P<name>[\w.:-]+)[^<>]*>(?P<value>[^<>]+)</(?P=name)\s*>")
+_XML_NAME = re.compile(r"<([\w.:-]+)")
 
 
 def is_secret_name(name: str) -> bool:
@@ -126,7 +133,7 @@ def looks_random(v: str) -> bool:
 def is_value(v: str) -> bool:
     """A literal secret, not a placeholder, hash, variable or row id."""
     v = v.strip()
-    if len(v) < 3 or _PLACEHOLDER.match(v) or _HASH.match(v) or _GUID.match(v):
+    if not v or _PLACEHOLDER.match(v) or _HASH.match(v) or _GUID.match(v):
         return False
     return not any(c in v for c in ("$(", "${", "#{", "{{", "%("))
 
@@ -140,6 +147,11 @@ def _basic(v: str) -> bool:
     return bool(colon) and is_value(secret)
 
 
+def _held(m: re.Match) -> str:
+    """The group of ``_VALUE`` that matched."""
+    return next(g for g in ("q0", "q1", "q2", "bare") if m.group(g) is not None)
+
+
 def marked(text: str, base: int = 0) -> Iterator[tuple[int, int]]:
     """Spans of values in a text that carry their own mark."""
     low = text.lower()
@@ -149,12 +161,12 @@ def marked(text: str, base: int = 0) -> Iterator[tuple[int, int]]:
             yield base + m.start(), base + (e.end() if e else len(text))
     if "=" in low and ("p" in low or "secret" in low or "token" in low or "key" in low):
         for m in _CONNECTION.finditer(text):
-            g = "q1" if m.group("q1") is not None else "q2" if m.group("q2") is not None else "bare"
+            g = _held(m)
             if is_secret_name(m.group("name")) and is_value(m.group(g)) and not (g == "bare" and m.group(g)[0] in "@+"):
                 yield base + m.start(g), base + m.end(g)
     if ":" in low:
         for m in _COLON.finditer(text):
-            g = "q1" if m.group("q1") is not None else "q2" if m.group("q2") is not None else "bare"
+            g = _held(m)
             v = m.group(g)
             if is_value(v) and (g != "bare" or any(c.isdigit() for c in v) and any(c.isalpha() for c in v)):
                 yield base + m.start(g), base + m.end(g)
@@ -208,7 +220,7 @@ def tsql_spans(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     sig: list[tuple[str, int]] = []  # significant lexemes so far
     pos = 0
-    columns: list[str] | None = None
+    in_key = False  # a private key goes on in the line comments that follow
     for tok in lexemes:
         c = tok[0]
         if c in L.TRIVIA_FIRST:
@@ -216,9 +228,21 @@ def tsql_spans(text: str) -> list[tuple[int, int]]:
             continue
         two = tok[:2]
         if two == "--" or two == "/*":
-            out.extend(marked(tok, pos))
+            if in_key and two == "--":
+                a = len(tok) - len(tok.lstrip("-").lstrip())
+                end = _PRIVATE_END.search(tok)
+                if end:
+                    a = min(a, end.start())  # the line's own dashes
+                if a < len(tok):
+                    out.append((pos + a, pos + (end.end() if end else len(tok.rstrip()))))
+                in_key = not end
+            else:
+                out.extend(marked(tok, pos))
+                begin = list(_PRIVATE.finditer(tok)) if two == "--" else []
+                in_key = bool(begin) and not _PRIVATE_END.search(tok, begin[-1].end())
             pos += len(tok)
             continue
+        in_key = False
         if c == "'" or (c in "nN" and two[1:] == "'"):
             off, v = _content(tok)
             found = list(marked(v, pos + off))
@@ -232,7 +256,87 @@ def tsql_spans(text: str) -> list[tuple[int, int]]:
             out.extend(found)
         sig.append((tok, pos))
         pos += len(tok)
-    return _merge(out + _column_values(sig) + _joined_values(sig))
+    return _merge(out + _column_values(sig) + _joined_values(sig) + _keyed_values(sig) + _passed_values(sig))
+
+
+def _is_literal(tok: str) -> bool:
+    return tok[-1:] == "'" and (tok[0] == "'" or tok[:2] in ("N'", "n'"))
+
+
+def _span(tok: str, at: int) -> tuple[int, int]:
+    off, v = _content(tok)
+    return at + off, at + off + len(v)
+
+
+_NUMBERED = re.compile(r"-\d+$")  # an id of a row, whatever its letters
+
+
+def _keyed_values(sig: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """Values of rows whose name is a credential's: UPDATE t SET Val = N'..' WHERE Name = N'smtp.password'."""
+    out = []
+    values: list[tuple[str, int]] = []
+    where = False
+    n = len(sig)
+    for i, (tok, _) in enumerate(sig):
+        word = tok.upper()
+        if word in ("UPDATE", "SET", ";", "GO", "SELECT", "INSERT", "DELETE", "EXEC", "EXECUTE", "DECLARE"):
+            if word != "SET" or where:
+                values, where = [], False
+        elif word == "WHERE":
+            where = True
+        elif tok == "=" and 0 < i < n - 1 and _is_literal(sig[i + 1][0]):
+            v = _content(sig[i + 1][0])[1]
+            if not where:
+                if not sig[i - 1][0].startswith("@"):
+                    values.append(sig[i + 1])
+            elif is_secret_name(v) and not _NUMBERED.search(v):
+                out += [_span(*x) for x in values if is_value(_content(x[0])[1]) and _whole(_content(x[0])[1])]
+    return out
+
+
+def _passed_values(sig: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """Literals passed by position: EXEC sp_addlogin N'app', N'..'; EXEC dbo.SetPassword N'..'; ENCRYPTBYPASSPHRASE(N'..', @x); OPENROWSET('p', 's';'u';'..')."""
+    out = []
+    n = len(sig)
+    for i, (tok, _) in enumerate(sig):
+        low = tok.strip('[]"').lower()
+        if low in ("exec", "execute"):
+            j = i + 1
+            if j + 1 < n and sig[j][0].startswith("@") and sig[j + 1][0] == "=":
+                j += 2
+            name = None
+            while j < n and (sig[j][0] == "." or sig[j][0][0] in '["_#' or sig[j][0][0].isalpha()) and not _is_literal(sig[j][0]):
+                if sig[j][0] != ".":
+                    if name is not None and sig[j - 1][0] != ".":
+                        break
+                    name = sig[j][0].strip('[]"')
+                j += 1
+            if name is None:
+                continue
+            args: list[tuple[str, int] | None] = []
+            while j < n:
+                if _is_literal(sig[j][0]):
+                    args.append(sig[j])
+                elif sig[j][0].startswith("@") and j + 1 < n and sig[j + 1][0] == "=":
+                    break  # named from here on
+                else:
+                    args.append(None)
+                j += 1
+                if j >= n or sig[j][0] != ",":
+                    break
+                j += 1
+            known = _POSITIONS.get(name.lower())
+            if known is None and is_secret_name(name):
+                known = tuple(k for k in range(len(args) - 1, -1, -1) if args[k] is not None)[:1]  # the last literal
+            picked = [args[k] for k in known or () if k < len(args)]
+        elif low in _POSITIONS and i + 2 < n and sig[i + 1][0] == "(":
+            picked = [sig[i + 2] if _is_literal(sig[i + 2][0]) else None]
+        elif low == "openrowset" and i + 8 < n and sig[i + 5][0] == sig[i + 7][0] == ";":
+            picked = [x if _is_literal(x[0]) else None for x in sig[i + 8 : i + 9]]
+        else:
+            continue
+        out += [_span(*x) for x in picked if x is not None and is_value(_content(x[0])[1]) and _whole(_content(x[0])[1])]
+    return out
 
 
 def _joined_values(sig: list[tuple[str, int]]) -> list[tuple[int, int]]:
@@ -334,34 +438,76 @@ def _column_values(sig: list[tuple[str, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _xml_pairs(text: str) -> Iterator[tuple[str, int, int]]:
-    """(name, start, end of the value) of elements that hold a key or name and a value among their attributes, in any order."""
-    for e in _XML_ELEMENT.finditer(text):
-        names, values = [], []
-        for m in _XML_MEMBER.finditer(text, e.start(), e.end()):
-            g = "q2" if m.group("q2") is not None else "q1"
-            own = m.group("name").lower()
-            if own in ("key", "name"):
-                names.append(m.group(g))
-            elif own in ("value", "val"):
-                values.append(m.span(g))
-        pairs = zip(names, values) if len(names) == len(values) else ((name, v) for name in names for v in values)  # a comment may hold several
-        for name, (a, b) in pairs:
-            yield name, a, b
+def _named(name: str | None, v: str) -> bool:
+    """Whether the name that a value bears in markup makes it a credential."""
+    return bool(name) and (is_secret_name(name) and is_value(v) and _whole(v) or is_key_name(name) and looks_random(v) and is_value(v))
+
+
+def _json_spans(text: str) -> Iterator[tuple[int, int]]:
+    """String by string: values of credential-named members, lists of them too, and what carries its own mark."""
+    names: list[str | None] = [None]  # of the open containers' values
+    name = None
+    at = 0
+    tokens = list(_JSON_TOKEN.finditer(text))
+    for k, m in enumerate(tokens):
+        yield from marked(text[at : m.start()], at)  # comments, which some dialects allow
+        at = m.end()
+        c = m.group()[0]
+        if c == '"':
+            a, b = m.start() + 1, m.end() - (len(m.group()) > 1 and m.group()[-1] == '"')
+            if k + 1 < len(tokens) and tokens[k + 1].group() == ":" and not text[m.end() : tokens[k + 1].start()].strip():
+                name = text[a:b]
+                yield from marked(name, a)
+                continue
+            found = list(marked(text[a:b], a))
+            yield from found
+            if not found and not any(ch.isspace() for ch in text[a:b].strip()) and _named(name, text[a:b]):
+                yield a, b
+        elif c in "[{":
+            names.append(name if c == "[" else None)
+            name = names[-1]
+        elif c in "]}":
+            if len(names) > 1:
+                names.pop()
+            name = None
+        elif c == ",":
+            name = names[-1]
+    yield from marked(text[at:], at)
+
+
+def _xml_spans(text: str, base: int = 0, depth: int = 0) -> Iterator[tuple[int, int]]:
+    """Token by token: attributes in any order, contents of elements, and what carries its own mark; comments may hold elements."""
+    open_: list[str] = []
+    for m in _XML_TOKEN.finditer(text):
+        tok, at = m.group(), base + m.start()
+        if tok.startswith(("<!--", "<![CDATA[")):
+            yield from marked(tok, at)
+            if depth == 0 and "<" in tok[4:]:
+                yield from ((a, b) for a, b in _xml_spans(tok[4:], at + 4, 1) if b - a)
+            continue
+        if tok[0] != "<":
+            yield from marked(tok, at)
+            if open_ and tok.strip() and _named(open_[-1], tok.strip()):
+                lead = len(tok) - len(tok.lstrip())
+                yield at + lead, at + len(tok.rstrip())
+            continue
+        yield from marked(tok, at)
+        members = [(a.group("name"), "q2" if a.group("q2") is not None else "q1", a) for a in _XML_MEMBER.finditer(tok)]
+        names = [a.group(g) for own, g, a in members if own.lower() in ("key", "name")]
+        for own, g, a in members:
+            v = a.group(g)
+            if _named(own, v) or own.lower() in ("value", "val") and any(_named(x, v) for x in names):
+                yield at + a.start(g), at + a.end(g)
+        e = _XML_NAME.match(tok)
+        if e and not tok.endswith("/>"):
+            open_.append(e.group(1))
+        elif tok.startswith("</") and open_:
+            open_.pop()
 
 
 def markup_spans(text: str, language: str) -> list[tuple[int, int]]:
     """Spans of credential values in a JSON or XML text."""
-    out = list(marked(text))
-    if language == "xml":
-        named = list(_xml_pairs(text))
-        for pattern in (_XML_ATTRIBUTE, _XML_TEXT):
-            named += [(m.group("name"), *m.span("value")) for m in pattern.finditer(text)]
-        for name, a, b in named:
-            v = text[a:b]
-            if (is_secret_name(name) and is_value(v) and _whole(v)) or (is_key_name(name) and looks_random(v) and is_value(v)):
-                out.append((a, b))
-    return _merge(out)
+    return _merge(list(_xml_spans(text) if language == "xml" else _json_spans(text)))
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -383,15 +529,16 @@ def spans(text: str | None, path: str | None) -> list[tuple[int, int]]:
 
 
 def _replacement(value: str) -> str:
-    """What stands for a value: of a private key the frame lines stay, with their line breaks."""
-    m = _PRIVATE.match(value)
-    if not m:
+    """What stands for a value: of a private key the frame lines stay, with line breaks only where it had some."""
+    begin = _PRIVATE.match(value)
+    end = _PRIVATE_END.search(value)
+    if not begin and not end:
         return REPLACEMENT
-    e = _PRIVATE_END.search(value)
-    if not e:
-        return m.group() + "\n" + REPLACEMENT
-    brk = "\r\n" if "\r\n" in value else "\r" if "\r" in value else "\n"
-    return m.group() + brk + REPLACEMENT + brk + e.group()
+    body = value[begin.end() if begin else 0 : end.start() if end else len(value)]
+    if body.strip():
+        lead = re.match(r"(?:\s|\\[nrt])*", body).group()
+        body = lead + REPLACEMENT + re.search(r"(?:(?:\\[nrt])|\s)*$", body[len(lead) :]).group()
+    return (begin.group() if begin else "") + body + (end.group() if end else "")
 
 
 def redact(text: str, found: list[tuple[int, int]]) -> str:
@@ -418,6 +565,7 @@ def line_numbers(text: str, offsets: list[int]) -> list[int]:
     return out
 
 
+_NEXT_LINE = re.compile(r"\s*--+[ \t]*")  # between two lines of a private key in line comments
 _CONTINUED = re.compile(r"'\s*\+\s*[nN]?'")  # between two parts of a joined value
 
 
@@ -425,9 +573,11 @@ def _find_rows(ids, paths, texts):
     for i, path, text in zip(ids, paths, texts):
         found = spans(text, path)
         if found:
-            before = 0
+            before, in_key = 0, False
             for (a, b), n in zip(found, line_numbers(text, [a for a, _ in found])):
-                yield i, n, a, b - a, _CONTINUED.fullmatch(text, before, a) is not None
+                goes_on = in_key and _NEXT_LINE.fullmatch(text, before, a) or _CONTINUED.fullmatch(text, before, a)
+                yield i, n, a, b - a, goes_on is not None and bool(goes_on)
+                in_key = bool(_PRIVATE.match(text, a, b) or in_key and goes_on) and not _PRIVATE_END.search(text, a, b)
                 before = b
 
 

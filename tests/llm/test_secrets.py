@@ -1,7 +1,7 @@
 import pytest
 
 from lintmill.llm import secrets as S
-from lintmill.llm.syntax_check import parse_error
+from lintmill.llm.syntax_check import json_error, sql_error, xml_error
 
 FOUND = [
     ("CREATE LOGIN x WITH PASSWORD = N'Abc''9!x';", "a.sql", [0]),
@@ -20,6 +20,18 @@ FOUND = [
     ("EXEC p @rmtpassword = N'oLLu-HYi8'", "a.sql", [0]),
     ('{"feedToken": "nx_1", "a": {\n"connection": "Server=x;Password=azz$Um"}}', "a.JSON", [0, 1]),
     ('<add value="ghp_n6B645TXT3KkgH5djSnoMgBjRyAtGY8DQekV" key="UploadSecret"/>\r<add key="DbPassword" value="c@p_466"/>', "a.xml", [0, 1]),
+    ("UPDATE ref.AppConfig SET Val = 'v@lvep@llet_502'\n WHERE Name = 'kennwort'", "a.sql", [0]),
+    ("UPDATE c SET Val = N'x', Seen = 1 WHERE Id = 3; UPDATE c SET\n Val = 'Qz7' WHERE Name = N'smtp.password';", "a.sql", [1]),
+    ("DECLARE @pw NVARCHAR(40) = N'Kx82!vbQz'; DECLARE @psw VARCHAR(9) =\n 'a'", "a.sql", [0, 1]),
+    ("EXEC dbo.SetPassword N'Kx82!vbQz'", "a.sql", [0]), ("EXEC sp_addlogin N'app',\n N'Kx82!vbQz'", "a.sql", [1]),
+    ("EXEC @r = sys.sp_addlinkedsrvlogin N'srv', 'false', NULL, N'sa',\n N'Kx82!vbQz'", "a.sql", [1]),
+    ("SELECT ENCRYPTBYPASSPHRASE(N'Kx82!vbQz', @x)", "a.sql", [0]), ("SELECT a FROM OPENROWSET('SQLNCLI', 'srv';'sa';\n'Kx82!vbQz', 'SELECT 1') AS t", "a.sql", [1]),
+    ("SET @c = 'Server=x;Password=''abc9Xk'';'", "a.sql", [0]),
+    ("SELECT 1;\n-- -----BEGIN RSA PRIVATE KEY-----\n-- MIIEpAIBAAKC\n--  x9/abc==\n-- -----END RSA PRIVATE KEY-----\nSELECT 2;", "a.sql", [1, 2, 3, 4]),
+    ("-- -----BEGIN PRIVATE KEY-----MIIEp-----END PRIVATE KEY-----\nSELECT 1", "a.sql", [0]), ("SELECT N'-----BEGIN PRIVATE KEY-----MIIEp'", "a.sql", [0]),
+    ('{"k": "-----BEGIN PRIVATE KEY-----\\nMIIEp\\n-----END PRIVATE KEY-----"}', "a.json", [0]),
+    ('{"tokens": [{"x": 1}], "apiTokens": ["nx_1",\n"nx_2"], "' + "n" * 300 + 'Password":\n"ab"}', "a.json", [2]),
+    ("<c><Password> Kx82!vbQz </Password>\n<!-- <add key='DbPassword' type='x' value='c@p_466'/> --></c>", "a.xml", [0, 1]),
 ]
 NONE = [
     "CREATE LOGIN x WITH PASSWORD = N'$(LoginPassword)';", "ALTER LOGIN x WITH PASSWORD = '***REMOVED***'", "ALTER LOGIN x WITH PASSWORD = N'%DB_PASS%'",
@@ -27,6 +39,8 @@ NONE = [
     "EXEC dbo.p @Password = @Password;", "SELECT t.token_count, t.secret_santa FROM t WHERE t.token_count > 5", "INSERT INTO t VALUES (N'password.min.length', N'22612')",
     "SET @auth = N'Bearer ' + @token;", "-----BEGIN PUBLIC KEY-----\nabc", "UPDATE t SET rowguid = 'F929F63E-5702-419F-AC75-1C2183A2C7BC'",
     "ALTER TABLE t ADD PasswordHash VARBINARY(64) NULL", "-- Server=x;Integrated Security=SSPI;", "SET @c = N'x;Pwd=' + @pwd + N';'", "-- sqlcmd -S db -E -i step.sql",
+    "UPDATE c SET Val = 'x1y2' WHERE Name = 'password.min.length'", "UPDATE c SET Val = '20150905' WHERE Name = N'PWD-181'", "EXEC dbo.SetPassword @p", "EXEC sp_addlogin N'app'",
+    "EXEC dbo.usp_SetLogin @Login = 'a9x'", "UPDATE c SET Password = @p WHERE Name = 'x'", "EXEC dbo.SetName N'Kx82'",
     "CREATE LOGIN x WITH PASSWORD = 0x0200AB HASHED", "-- https://user@host.example/x", "", None,
 ]
 
@@ -53,7 +67,10 @@ def test_redaction_keeps_everything_else(text, path, lines):
         at = b
     assert S.REPLACEMENT in new
     if path == "a.sql":
-        assert (parse_error(text) is None) == (parse_error(new) is None)
+        assert (sql_error(text) is None) == (sql_error(new) is None)
+    else:
+        check = xml_error if path == "a.xml" else json_error
+        assert (check(text) is None) == (check(new) is None)
 
 
 def test_operator(spark):
@@ -84,3 +101,20 @@ def test_xml_pairs_in_any_order(text):
 ])
 def test_nothing_else_in_the_text_hints_at_it(text, value):
     assert [text[a:b] for a, b in S.spans(text, "a.sql")] == [value]
+
+
+def test_private_key_in_line_comments_is_redacted_line_by_line():
+    key = "-- -----BEGIN RSA PRIVATE KEY-----\r\n-- MIIEpAIBAAKC\r\n--  x9/abc==\r\n-- -----END RSA PRIVATE KEY-----"
+    text = f"SELECT 1;\r\n{key}\r\nSELECT 2;\r\n-- MIIE"
+    new = S.redact(text, S.spans(text, "a.sql"))
+    assert new == text.replace("MIIEpAIBAAKC", "REDACTED").replace("x9/abc==", "REDACTED")
+    rows = list(S._find_rows([1], ["a.sql"], [text + f"\n-- Pwd=abc9;\n-- Pwd=abc8;\n{key}"]))
+    assert [r[1] for r in rows if not r[4]] == [1, 7, 8, 9]
+
+
+def test_redaction_inserts_no_line_break():
+    for text, want in (
+        ("-- -----BEGIN PRIVATE KEY-----MIIEp-----END PRIVATE KEY-----", "-- -----BEGIN PRIVATE KEY-----REDACTED-----END PRIVATE KEY-----"),
+        ("N'-----BEGIN PRIVATE KEY-----\rMIIEp\r\n'", "N'-----BEGIN PRIVATE KEY-----\rREDACTED\r\n'"),
+    ):
+        assert S.redact(text, S.spans(text, "a.sql")) == want
