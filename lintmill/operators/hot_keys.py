@@ -1,14 +1,20 @@
 """Per-key results when a few keys hold most rows (problem 4).
 
-Counts, distinct counts and extremes per key combine before they are shuffled, and keys are
-salted where something has to be deduplicated, so that no task gets a hot key's rows.
+Method: distributed exact selection.  Values are 64-bit integers and histograms count their high
+bits.  Counts of bins are mergeable, so each partition sends a few numbers however many rows it
+holds, and a row only ever adds one to a counter.  The bin that holds a wanted rank is refined by
+further bits, until the rank resolves.
+
+* ``heavy_keys`` selects over the hashes of the keys themselves: a bin that holds fewer rows than
+  the threshold holds no heavy key, and at most ``1 / share`` bins stay to be refined.
+* ``quantiles_per_key``: keys of more than ``1 / MOST_HOT`` of all rows, of which there are fewer
+  than ``MOST_HOT``, are selected by histograms of their values; their ranges have that bound and
+  are broadcast.  A range of at most ``FINISH`` rows is resolved by sorting it.  All other keys are
+  too small to hold up a task: their rows meet by the key's hash and are ranked in sorted order, as
+  a stream that spills, without a join on a hot key at any size.
 
-Quantiles are exact and come from distributed selection: for every key the range of its values
-is cut into ``BINS`` equal bins and counted; counts of bins are mergeable, so each partition
-sends at most ``BINS`` numbers a key however many rows it holds.  The bin that holds the wanted
-rank becomes the new range, and this is repeated until every range is one value.  Values are
-64-bit integers, so ``ceil(63 / log2(BINS))`` rounds always suffice.  Hot-key values are never
-gathered: a row only ever adds one to a counter.
+Counts, distinct counts and extremes per key combine before they are shuffled, and keys are
+salted where something has to be deduplicated.
 
 Defined results: rows with a null key form a key of their own (null) and are left out where
 asked; null values don't count for quantiles, a key without values has null quantiles; rows
@@ -17,28 +23,17 @@ delivered twice count as they stand; an empty table gives no row; further column
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import math
 
-from lintmill.session import cut
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-BINS = 256
 SALTS = 16
-LIST_KEYS = 100_000
-
-
-def key_counts(df: DataFrame, key: str) -> DataFrame:
-    """``key, n``: the total of each key's histogram; partial counts per partition are what is shuffled."""
-    return df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def key_histograms(df: DataFrame, key: str, value: str | Column, shift: int = 42) -> DataFrame:
-    """``key, bin, m``: one mergeable histogram per key over the high bits of a 64-bit value (null values: bin null).
-
-    This is the coarsest round of the selection below, the same for all keys; its totals are the keys' row counts.
-    """
-    v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(F.col(key).alias("key"), F.shiftright(v.cast("long"), shift).alias("bin")).agg(F.count(F.lit(1)).alias("m"))
+HASH_BITS = 16  # of the keys' hashes in each round
+MOST_HOT = 10_000  # keys that are selected by histograms, at most
+MOST_BINS = 4_000_000  # of all histograms of a round
+FINISH = 1_000  # rows of a range that are sorted rather than counted again
 
 
 def distinct_per_key(df: DataFrame, key: str, value: str, salts: int = SALTS) -> DataFrame:
@@ -51,72 +46,112 @@ def distinct_per_key(df: DataFrame, key: str, value: str, salts: int = SALTS) ->
     return salted.groupBy("key").agg(F.sum("m").alias("distinct"))
 
 
-def select_ranks(df: DataFrame, key: str, value: str, quantiles: list[float], bins: int = BINS) -> DataFrame:
-    """``key, q, value``: exact quantile (lower: the value of rank ceil(q * n)) of integer values per key."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("long").alias("v"))
-    limits = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    qs = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q")) for q in quantiles]))
-    state = cut(
-        limits.select("key", "n", "lo", "hi", qs.alias("x")).select(
-            "key", "lo", "hi", F.col("x.q").alias("q"), F.greatest(F.lit(1), F.ceil(F.col("x.q") * F.col("n"))).cast("long").alias("rank")
-        )
-    )
-    while True:
-        open_ = state.where("lo < hi")
-        if open_.limit(1).count() == 0:
-            return state.select("key", "q", F.col("lo").alias("value"))
-        # ranges of all keys with their bin width; width in decimal, as hi - lo may exceed a long
-        ranges = open_.select(F.col("key").alias("range_key"), "lo", "hi").distinct().withColumn("width", _width("lo", "hi", bins))
-        small = ranges.limit(LIST_KEYS + 1).count() <= LIST_KEYS
-        counted = (
-            rows.join(F.broadcast(ranges) if small else ranges, F.col("key").eqNullSafe(F.col("range_key")))
-            .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-            .groupBy("key", "lo", "hi", "width", _bin("v", "lo", "width").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("m"))
-        )
-        # at most ``bins`` rows per range: the wanted bin is where the running count reaches the rank
-        hist = counted.groupBy("key", "lo", "hi", "width").agg(F.sort_array(F.collect_list(F.struct("bin", "m"))).alias("h"))
-        joined = open_.alias("o").join(
-            hist.alias("h"), (F.col("o.key").eqNullSafe(F.col("h.key"))) & (F.col("o.lo") == F.col("h.lo")) & (F.col("o.hi") == F.col("h.hi"))
-        ).select("o.key", "o.q", "o.rank", "o.lo", "o.hi", "h.width", "h.h")
-        walked = joined.withColumn(
-            "w",
-            F.expr(
-                "aggregate(h, named_struct('seen', 0L, 'bin', -1L, 'before', 0L), "
-                "(a, x) -> if(a.bin >= 0, a, if(a.seen + x.m >= rank, named_struct('seen', a.seen + x.m, 'bin', x.bin, 'before', a.seen), "
-                "named_struct('seen', a.seen + x.m, 'bin', -1L, 'before', 0L))))"
-            ),
-        )
-        start = F.col("lo").cast("decimal(20,0)") + F.col("w.bin").cast("decimal(20,0)") * F.col("width")
-        refined = walked.select(
-            "key",
-            start.cast("long").alias("lo"),
-            F.least(F.col("hi").cast("decimal(20,0)"), start + F.col("width") - 1).cast("long").alias("hi"),
-            "q",
-            (F.col("rank") - F.col("w.before")).alias("rank"),
-        )
-        state = cut(state.where("lo >= hi").unionByName(refined))
-
-
-def _width(lo: str, hi: str, bins: int) -> Column:
-    span = F.col(hi).cast("decimal(20,0)") - F.col(lo).cast("decimal(20,0)") + 1
-    return F.ceil(span / F.lit(bins)).cast("decimal(20,0)")
-
-
-def _bin(v: str, lo: str, width: str) -> Column:
-    return F.floor((F.col(v).cast("decimal(20,0)") - F.col(lo).cast("decimal(20,0)")) / F.col(width)).cast("long")
-
-
-def heavy_keys(df: DataFrame, key: str, share: float, value: str | Column | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """``key, n, total`` of the non-null keys that hold at least ``share`` of all rows (rows of a null key count in the total).
 
-    Counts are the totals of the keys' histograms over ``value`` (one bin without a value), so a hot key's rows reach
-    no task but the one that read them, and the total is the sum of the counts, not a second scan.
+    What is shuffled is 2 ** ``HASH_BITS`` counts a partition in the first round and those of the few bins left
+    afterwards, never the long tail of keys.
     """
-    merged = key_counts(df, key) if value is None else key_histograms(df, key, value).groupBy("key").agg(F.sum("m").alias("n"))
-    counts = cut(merged)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.withColumn("total", F.lit(total)).where(F.col("key").isNotNull() & (F.col("n") >= total * share))
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(key).alias("hash"))
+    total = df.count()
+    shift, bins, fewer = 64, None, True
+    while shift > 0 and fewer and bins != []:
+        shift -= HASH_BITS
+        counted = _within(rows, bins, shift + HASH_BITS).where(F.col("key").isNotNull()).groupBy(F.shiftright("hash", shift).alias("bin")).agg(F.count(F.lit(1)).alias("m"))
+        full = counted.where(F.col("m") >= total * share).select("bin").collect()  # 1 / share at most
+        fewer = bins is None or len(full) < len(bins)  # else further bits part nothing more, most likely
+        bins = [(r["bin"],) for r in full]
+    held = _within(rows, bins, shift).where(F.col("key").isNotNull())
+    return held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= total * share).withColumn("total", F.lit(total).cast("long"))
+
+
+def _within(rows: DataFrame, bins: list[tuple] | None, shift: int) -> DataFrame:
+    """Rows whose hash lies in the bins of a round."""
+    if bins is None:
+        return rows
+    if not bins:
+        return rows.limit(0)
+    kept = rows.sparkSession.createDataFrame(bins, "bin long")
+    return rows.withColumn("bin", F.shiftright("hash", shift)).join(F.broadcast(kept), "bin", "left_semi").drop("bin")
+
+
+def quantiles_per_key(df: DataFrame, key: str, value: str | Column, quantiles: list[float], most_hot: int = MOST_HOT, finish: int = FINISH) -> DataFrame:
+    """``key, n, v0, v1, ..``: rows of each key and its exact quantiles (lower: the value of rank ceil(q * values))."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("long")
+    rows = df.select(F.col(key).alias("key"), v.alias("v"))
+    total = rows.agg(F.count("v")).first()[0]
+    limits = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    hot = [tuple(r) for r in limits.where(F.col("k") > total / most_hot).collect()]  # fewer than most_hot
+    names = [f"v{i}" for i in range(len(quantiles))]
+    cold, of_hot = rows, None
+    if hot:
+        key_field = StructField("key", rows.schema["key"].dataType)
+        found = _select(rows, hot, quantiles, key_field, finish)
+        of_hot = df.sparkSession.createDataFrame(found, StructType([key_field, *(StructField(x, LongType()) for x in ("n", *names))]))
+        keys = F.broadcast(of_hot.select(F.col("key").alias("hot")))
+        cold = rows.join(keys, F.col("key").eqNullSafe(F.col("hot")), "left_anti")
+    own = Window.partitionBy("key")
+    ranked = cold.select("key", "v", F.row_number().over(own.orderBy(F.col("v").asc_nulls_last())).alias("at"), F.count("v").over(own).alias("k"))
+    picks = [F.max(F.when(F.col("at") == _rank(q, F.col("k")), F.col("v"))).alias(x) for q, x in zip(quantiles, names)]
+    of_cold = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *picks)  # the window has dealt the rows by key already
+    return of_cold if of_hot is None else of_cold.unionByName(of_hot)
+
+
+def _rank(q: float, k):
+    if isinstance(k, int):
+        return max(1, math.ceil(q * k))
+    return F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * k)).cast("long")
+
+
+def _select(rows: DataFrame, hot: list[tuple], quantiles: list[float], key_field: StructField, finish: int) -> list[tuple]:
+    """(key, rows, value of each quantile) of hot keys ``(key, rows, values, least, greatest)``: histograms refined until the ranks resolve."""
+    spark = rows.sparkSession
+    width = max(4, int(math.log2(MOST_BINS / (len(hot) * len(quantiles)))))  # bits a round
+    # (key index, quantile, bits left, prefix, rank within the range, values in it); a key's values agree in all but the bits left
+    open_ = []
+    for i, (_, _, k, lo, hi) in enumerate(hot):
+        left = 64 if lo < 0 <= hi else (lo ^ hi).bit_length()
+        open_ += [(i, j, left, lo >> left if left < 64 else 0, _rank(q, k), k) for j, q in enumerate(quantiles)]
+    schema = StructType([key_field, *(StructField(x, IntegerType()) for x in ("i", "j", "s")), *(StructField(x, LongType()) for x in ("prefix", "rank"))])
+    done: dict[tuple[int, int], int] = {}
+    sort: list[tuple] = []
+    while open_:
+        sort += [x for x in open_ if x[5] <= finish and x[2]]
+        done |= {(x[0], x[1]): x[3] for x in open_ if not x[2]}
+        open_ = [x for x in open_ if x[5] > finish and x[2]]
+        if not open_:
+            break
+        to = {x[2]: max(0, x[2] - width) for x in open_}
+        wanted = spark.createDataFrame([(hot[i][0], i, j, s, p, r) for i, j, s, p, r, _ in open_], schema).withColumn("to", F.expr(_case("s", to)))
+        ranges = wanted.select(F.col("key").alias("range_key"), "i", "s", "prefix", "to").distinct()
+        counted = (
+            rows.join(F.broadcast(ranges), F.col("key").eqNullSafe(F.col("range_key")) & _in_range())
+            .groupBy("i", "s", "prefix", F.expr("shiftright(v, `to`)").alias("bin")).agg(F.count(F.lit(1)).alias("m"))
+        )
+        reach = counted.withColumn("upto", F.sum("m").over(Window.partitionBy("i", "s", "prefix").orderBy("bin")))
+        hit = reach.join(F.broadcast(wanted.drop("key")), ["i", "s", "prefix"]).where("upto >= rank and upto - m < rank")
+        open_ = [(r["i"], r["j"], r["to"], r["bin"], r["rank"] - (r["upto"] - r["m"]), r["m"]) for r in hit.collect()]  # one row a quantile of a hot key
+    if sort:
+        wanted = spark.createDataFrame([(hot[i][0], i, j, s, p, r) for i, j, s, p, r, _ in sort], schema).withColumnRenamed("key", "range_key")
+        at = F.row_number().over(Window.partitionBy("i", "j").orderBy("v"))
+        last = rows.join(F.broadcast(wanted), F.col("key").eqNullSafe(F.col("range_key")) & _in_range()).withColumn("at", at).where("at = rank")
+        done |= {(r["i"], r["j"]): r["v"] for r in last.select("i", "j", "v").collect()}
+    return [(h[0], h[1], *(done[i, j] for j in range(len(quantiles)))) for i, h in enumerate(hot)]
+
+
+def _in_range() -> Column:
+    return (F.col("s") == 64) | (F.expr("shiftright(v, least(s, 63))") == F.col("prefix"))
+
+
+def _case(column: str, to: dict[int, int]) -> str:
+    return "case " + column + "".join(f" when {a} then {b}" for a, b in to.items()) + " end"
+
+
+def select_ranks(df: DataFrame, key: str, value: str, quantiles: list[float], most_hot: int = MOST_HOT, finish: int = FINISH) -> DataFrame:
+    """``key, q, value``: the quantiles of ``quantiles_per_key``, one row each, of keys that have values."""
+    wide = quantiles_per_key(df.where(F.col(value).isNotNull()), key, value, quantiles, most_hot, finish)
+    each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"v{i}").alias("value")) for i, q in enumerate(quantiles)]))
+    return wide.select("key", each.alias("x")).select("key", "x.q", "x.value")
 
 
 def code_report(diagnostics: DataFrame, quantiles: list[float] | None = None) -> DataFrame:
@@ -128,9 +163,12 @@ def code_report(diagnostics: DataFrame, quantiles: list[float] | None = None) ->
     scripts = distinct_per_key(d, "code", "script_id").withColumnRenamed("key", "code").withColumnRenamed("distinct", "scripts")
     out = base.join(scripts, "code", "left").withColumn("scripts", F.coalesce("scripts", F.lit(0)))
     if quantiles:
-        micros = d.withColumn("us", F.unix_micros("reported_at"))
-        ranks = select_ranks(micros, "code", "us", quantiles).withColumn("at", F.timestamp_micros("value"))
-        for q in quantiles:
-            one = ranks.where(F.col("q") == float(q)).select(F.col("key").alias("code"), F.col("at").alias(f"q{round(q * 100):02d}_report"))
-            out = out.join(one, "code", "left")
+        out = out.join(code_quantiles(d, quantiles).drop("n"), "code", "left")
     return out
+
+
+def code_quantiles(diagnostics: DataFrame, quantiles: list[float]) -> DataFrame:
+    """Per code: rows and exact quantiles of the time of report (null code left out): ``code, n, q50_report, ..``."""
+    d = diagnostics.where(F.col("code").isNotNull())
+    wide = quantiles_per_key(d, "code", F.unix_micros("reported_at"), quantiles)
+    return wide.select(F.col("key").alias("code"), "n", *(F.timestamp_micros(f"v{i}").alias(f"q{round(q * 100):02d}_report") for i, q in enumerate(quantiles)))

@@ -13,8 +13,7 @@ QUANTILES = [0.5, 0.9]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    at = F.unix_micros("reported_at")
-    return hot_keys.heavy_keys(table(spark, d, "diagnostics"), "code", SHARE, at).select(F.col("key").alias("code"))
+    return hot_keys.heavy_keys(table(spark, d, "diagnostics"), "code", SHARE).select(F.col("key").alias("code"))
 
 
 def p4_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +21,7 @@ def p4_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return hot_keys.code_report(table(spark, d, "diagnostics"), QUANTILES).select("code", "n", "q50_report", "q90_report")
+    return hot_keys.code_quantiles(table(spark, d, "diagnostics"), QUANTILES)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

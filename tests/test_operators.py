@@ -1,4 +1,5 @@
 import json
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -22,30 +23,56 @@ def rows_of_keys(seed=1, n=3000):
     return [(rng.choice(["hot"] * 6 + ["warm", None, "x%d" % rng.randint(0, 40)]), rng.choice([None, rng.randint(-(2**62), 2**62), rng.randint(0, 9)])) for _ in range(n)]
 
 
-def test_exact_quantiles(spark):
+def test_exact_quantiles(spark, monkeypatch):
     rows = rows_of_keys()
     df = spark.createDataFrame([(k, v, "a", 1) for k, v in rows], "k string, v long, key string, lo int")
-    got = {(r["key"], r["q"]): r["value"] for r in H.select_ranks(df, "k", "v", [0.0, 0.5, 1.0], bins=16).collect()}
     by = {}
     for k, v in rows:
         if v is not None:
             by.setdefault(k, []).append(v)
+    want = {}
     for k, vs in by.items():
         vs.sort()
         for q in (0.0, 0.5, 1.0):
-            rank = max(1, -(-int(q * 2 * len(vs)) // 2) if (q * len(vs)).is_integer() else int(q * len(vs)) + 1)
-            assert got[(k, q)] == vs[rank - 1], (k, q)
-    assert len(got) == 3 * len(by)
-
-
-def test_heavy_keys(spark):
+            want[k, q] = vs[max(1, math.ceil(q * len(vs))) - 1]
+    for most_hot, finish, bins in ((1, 10**6, 4_000_000), (10, 10, 64), (10**6, 0, 4_000_000), (60, 50, 4_000_000)):
+        monkeypatch.setattr(H, "MOST_BINS", bins)
+        got = H.select_ranks(df, "k", "v", [0.0, 0.5, 1.0], most_hot, finish).collect()
+        assert {(r["key"], r["q"]): r["value"] for r in got} == want and len(got) == len(want), (most_hot, finish)
+    assert H.select_ranks(df.limit(0), "k", "v", [0.5]).count() == 0
+    none = H.quantiles_per_key(df.selectExpr("k", "cast(null as long) AS v"), "k", "v", [0.5]).collect()
+    assert {r["key"]: (r["n"], r["v0"]) for r in none} == {k: (n, None) for k, n in Counter(k for k, _ in rows).items()}
+
+
+def test_quantiles_of_extremes_and_times(spark):
+    low, high = -(2**63), 2**63 - 1
+    df = spark.createDataFrame([(True, v) for v in (low, -1, 0, high)] + [(False, 5)] * 9 + [(None, high)] * 3, "k boolean, v long")
+    for most_hot in (1, 100):
+        got = {r["key"]: (r["n"], r["v0"], r["v1"], r["v2"]) for r in H.quantiles_per_key(df, "k", "v", [0.25, 0.5, 1.0], most_hot, 0).collect()}
+        assert got == {True: (4, low, -1, high), False: (9, 5, 5, 5), None: (3, high, high, high)}
+
+
+def test_a_hot_key_among_many_does_not_meet_in_one_task(spark):
+    """More keys than are selected by histograms, one of them with half of all rows: no task of any shuffle reads its rows."""
+    df = spark.range(60_000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id % 20001)) AS k", "id * 7919 % 100003 AS v")
+    got = H.quantiles_per_key(df, "k", "v", [0.5], 1000, 100)
+    assert {r["key"]: r["v0"] for r in got.where("key = 'hot'").collect()} == {"hot": sorted(i * 7919 % 100003 for i in range(0, 60_000, 2))[14_999]}
+    assert got.count() == df.select("k").distinct().count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and plan.index("Window") < plan.index("LeftAnti")  # the hot key leaves before the rows are dealt by key
+
+
+def test_heavy_keys(spark, monkeypatch):
     rows = rows_of_keys(2)
     df = spark.createDataFrame(rows, "k string, v long")
     c = Counter(k for k, _ in rows)
     got = {r["key"]: r["n"] for r in H.heavy_keys(df, "k", 0.05).collect()}
     assert got == {k: n for k, n in c.items() if k is not None and n >= 0.05 * len(rows)}
-    assert {r["key"]: r["n"] for r in H.heavy_keys(df, "k", 0.05, "v").collect()} == got
-    assert sum(r["m"] for r in H.key_histograms(df, "k", "v").collect()) == len(rows)
+    for bits in (1, 2, 32):
+        monkeypatch.setattr(H, "HASH_BITS", bits)
+        assert {r["key"]: r["n"] for r in H.heavy_keys(df, "k", 0.05).collect()} == got
+    assert {r["total"] for r in H.heavy_keys(df, "k", 0.05).collect()} == {len(rows)}
+    assert H.heavy_keys(df.where("k is null"), "k", 0.05).count() == 0
     assert H.heavy_keys(df.limit(0), "k", 0.05).count() == 0
 
 
