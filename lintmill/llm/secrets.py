@@ -268,6 +268,7 @@ def _span(tok: str, at: int) -> tuple[int, int]:
     return at + off, at + off + len(v)
 
 
+_STATEMENT_WORDS = frozenset("UPDATE SET ; GO SELECT INSERT DELETE MERGE EXEC EXECUTE DECLARE CREATE ALTER DROP WITH IF WHILE BEGIN END PRINT".split())
 _NUMBERED = re.compile(r"-\d+$")  # an id of a row, whatever its letters
 
 
@@ -279,7 +280,7 @@ def _keyed_values(sig: list[tuple[str, int]]) -> list[tuple[int, int]]:
     n = len(sig)
     for i, (tok, _) in enumerate(sig):
         word = tok.upper()
-        if word in ("UPDATE", "SET", ";", "GO", "SELECT", "INSERT", "DELETE", "EXEC", "EXECUTE", "DECLARE"):
+        if word in _STATEMENT_WORDS:
             if word != "SET" or where:
                 values, where = [], False
         elif word == "WHERE":
