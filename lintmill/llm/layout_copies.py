@@ -3,11 +3,19 @@
 Method.  Every script is brought to canonical bytes: lexemes without white space, byte-order
 mark, terminators, separators and identifier quotes, in one letter case; the fields whose
 order doesn't count (select lists, table definitions, JSON members, XML attributes) sorted.
-The radix key of a script is the 32-byte digest of its canonical bytes, so that keys spread
-evenly and 32 bytes travel instead of a text.  Each input partition first counts its own keys
-in a trie with terminal counters, which leaves one row per key and partition however hot a
-key is.  Then buckets are split by further key bytes, recursively, until each fits, and each
-bucket is counted in a trie whose terminals hold the smallest id and the number of copies.
+Each input partition first counts its own scripts in a trie with terminal counters, which
+leaves one row per distinct script and partition (and per ``LIST_IDS`` ids) however many
+copies there are.  Buckets are then split by the canonical bytes, recursively: all rows are one
+bucket; of a bucket of more than ``BUCKET_ROWS`` rows (or one in ``MOST_BUCKETS`` of all) that
+holds different scripts, and only of such, the rows are parted by twice as many leading bytes, until
+each fits.  What is sent to the executors are the prefixes of oversized buckets, at most
+``MOST_BUCKETS`` a level.  Each bucket is counted in a trie whose terminals hold the ids.  Texts
+stay where they are: a row travels as its bucket, the 32-byte digest of its canonical bytes and
+its ids, so the tries branch on the bytes of the digest.
+
+A set of copies that holds more than one in ``MOST_HOT`` of all rows doesn't travel at all: its
+smallest id, a minimum of minima, is sent to where its rows are.  There are fewer than
+``MOST_HOT`` such sets; all others are too small to hold up a task.
 
 Defined results: null text equals nothing and forms no set; empty texts are copies of each
 other within a language; equal ids are one member; a text that doesn't parse is compared
@@ -25,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.arrow import map_lists
+from lintmill.arrow import spread
 from lintmill.llm.script_text import language_of
 from lintmill.session import cut
 from lintmill.syntax import lexer as L
 from lintmill.syntax.parser import KINDS
 
-BUCKET_ROWS = 100_000
-HOT_ROWS = 50_000
-LIST_GROUPS = 100_000
+BUCKET_ROWS = 2_000
+MOST_BUCKETS = 10_000
+MOST_HOT = 10_000
+LIST_IDS = 1_000
+HOLD_CHARS = 32_000_000  # canonical characters that a task holds before it hands its counts on
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 _SEP, _FIELD = "\x1f", "\x1e"
@@ -226,29 +236,33 @@ def canonical(text: str, language: str) -> str:
     return language + _SEP + c
 
 
+def canonical_bytes(text: str, language: str) -> bytes:
+    return canonical(text, language).encode("utf-8", "surrogatepass")
+
+
 def radix_key(text: str, language: str) -> bytes:
-    return hashlib.blake2b(canonical(text, language).encode("utf-8", "surrogatepass"), digest_size=32).digest()
+    return hashlib.blake2b(canonical_bytes(text, language), digest_size=32).digest()
 
 
 class Trie:
-    """Byte trie with terminal counters: a terminal holds key, smallest id and count; a branch appears only where keys part."""
+    """Byte trie with terminal counters: a terminal is [key, ids, what came with the key first]; a branch appears only where keys part."""
 
     def __init__(self):
         self.root: dict = {}
 
-    def add(self, key: bytes, first: int, n: int) -> None:
+    def add(self, key: bytes, ids: list[int], note=None) -> bool:
+        """Whether the key is new."""
         at, d = self.root, 0
         while True:
             b = key[d]
             x = at.get(b)
             if x is None:
-                at[b] = [key, first, n]
-                return
+                at[b] = [key, ids, note]
+                return True
             if x.__class__ is list:
                 if x[0] == key:
-                    x[1] = min(x[1], first)
-                    x[2] += n
-                    return
+                    x[1] += ids
+                    return False
                 at[b] = {x[0][d + 1]: x}
                 x = at[b]
             at, d = x, d + 1
@@ -263,71 +277,119 @@ class Trie:
                     stack.append(x)
 
 
-_COUNTED = pa.schema([("key", pa.binary()), ("first_id", pa.int64()), ("n", pa.int64())])
+_COUNTED = "canon binary, key binary, ids array<long>"
+_COUNTED_ARROW = pa.schema([("canon", pa.binary()), ("key", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_MEMBER_ARROW = pa.schema([("first_id", pa.int64()), ("copy_id", pa.int64())])
+_GROUP_ARROW = pa.schema([("first_id", pa.int64()), ("copies", pa.int64())])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count (key, first_id, n) rows of a partition in a trie."""
-    t = Trie()
-    for b in batches:
-        for k, f, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            t.add(k, f, n)
-    rows: list = []
-    for x in t.terminals():
-        rows.append(x)
-        if len(rows) == 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED)], schema=_COUNTED)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED)], schema=_COUNTED)
-
-
-def _key_rows(ids, paths, texts):
-    for i, path, text in zip(ids, paths, texts):
-        if text is not None and i is not None:
-            yield i, radix_key(text, language_of(path))
-
-
-def count_keys(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``key, first_id, n`` of rows ``script_id, key`` by recursive radix partitioning."""
-    schema = "key binary, first_id long, n long"
-    local = cut(keyed.select("key", F.col("script_id").alias("first_id"), F.lit(1).cast("long").alias("n")).mapInArrow(_count, schema))
-    # split oversized buckets by further bytes; per level only the counts of prefixes are looked at
-    rows = most = local.count()
-    depth = 0
-    while most > bucket_rows and depth < 32:
-        depth += 1
-        most = local.groupBy(F.substring("key", 1, depth)).count().agg(F.max("count")).first()[0] or 0
-    if depth == 0:
-        return local.coalesce(1).mapInArrow(_count, schema)
-    parts = min(256 ** min(depth, 3), 2 * -(-rows // bucket_rows))  # a task holds about bucket_rows keys
-    return local.repartition(parts, F.substring("key", 1, depth)).mapInArrow(_count, schema)
-
-
-def copy_members(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(groups ``key, first_id, n`` with more than one member, members ``first_id, copy_id``)."""
-    keyed = cut(map_lists(scripts, ["script_id", "file_path", "text"], _key_rows, "script_id long, key binary"))
-    groups = cut(count_keys(keyed, bucket_rows).where("n > 1"))
-    # groups of more than hot_rows members are few (rows / hot_rows at most): their members find them without a shuffle;
-    # beyond LIST_GROUPS of them, and for all others, rows meet by the key's hash
-    hot = groups.where(F.col("n") > hot_rows).select("key", "first_id")
-    rows = keyed.select("key", F.col("script_id").alias("copy_id"))
-    hot_groups = hot.limit(LIST_GROUPS + 1).count()
-    if 0 < hot_groups <= LIST_GROUPS:
-        members = rows.join(F.broadcast(hot), "key").unionByName(
-            rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(groups.where(F.col("n") <= hot_rows).select("key", "first_id"), "key")
-        )
-    else:
-        members = rows.join(groups.select("key", "first_id"), "key")
-    return groups, members.select("first_id", "copy_id")
+def _flat(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def layout_copies(scripts: DataFrame) -> DataFrame:
+def _counted(t: Trie) -> Iterator[tuple]:
+    for key, ids, canon in t.terminals():
+        for k in range(0, len(ids), LIST_IDS):
+            yield canon, key, ids[k : k + LIST_IDS]
+
+
+def _count_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct scripts of a partition with their ids; handed on whenever HOLD_CHARS are held."""
+    t, held = Trie(), 0
+    for b in batches:
+        for i, path, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+            if text is None or i is None:
+                continue
+            canon = canonical_bytes(text, language_of(path))
+            if t.add(hashlib.blake2b(canon, digest_size=32).digest(), [i], canon):
+                held += len(canon)
+            if held > HOLD_CHARS:
+                yield from _flat(_counted(t), _COUNTED_ARROW, 1_000)
+                t, held = Trie(), 0
+    yield from _flat(_counted(t), _COUNTED_ARROW, 1_000)
+
+
+def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Terminals of the tries of a partition's buckets."""
+    tries: dict[int, Trie] = {}
+    for b in batches:
+        for bucket, key, ids in zip(*(b.column(k).to_pylist() for k in range(3))):
+            tries.setdefault(bucket, Trie()).add(key, ids)
+    for t in tries.values():
+        yield from t.terminals()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for _, ids, _ in _tries(batches):
+            first = min(ids)
+            yield from ((first, i) for i in set(ids) if i != first)
+
+    yield from _flat(rows(), _MEMBER_ARROW)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _flat(((min(ids), len(ids)) for _, ids, _ in _tries(batches)), _GROUP_ARROW)
+
+
+def local_counts(scripts: DataFrame) -> DataFrame:
+    """``canon, key, ids``: each input partition's distinct scripts, written to the shared folder."""
+    return cut(spread(scripts.select("script_id", "file_path", "text")).mapInArrow(_count_local, _COUNTED))
+
+
+def split_buckets(counted: DataFrame, bucket_rows: int, most_buckets: int = MOST_BUCKETS) -> tuple[DataFrame, list[int]]:
+    """The rows with ``bucket``, and how many buckets were split at each level."""
+    rows = counted.count()
+    fits = max(bucket_rows, rows // most_buckets)
+    out = counted.select("key", "ids", "canon", F.lit(b"").alias("bucket"), F.lit(rows > fits).alias("over"))
+    if rows <= fits:
+        return out.drop("canon", "over"), []
+    split, depth = [1], 8
+    open_ = counted.select("key", "canon")
+    while True:
+        head = F.substring("canon", 1, depth)
+        full = (
+            open_.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+            .where((F.col("n") > fits) & (F.col("a") != F.col("b"))).select("head").collect()
+        )
+        over = counted.sparkSession.createDataFrame([(r["head"],) for r in full], "head binary")  # rows / fits of them at most
+        out = out.withColumn("head", head).join(F.broadcast(over.withColumn("more", F.lit(True))), "head", "left")
+        # a row of an oversized bucket goes to one of longer prefix; it stays open if that is oversized too
+        out = out.select("key", "ids", "canon", F.when(F.col("over"), F.col("head")).otherwise(F.col("bucket")).alias("bucket"), (F.col("over") & F.col("more").isNotNull()).alias("over"))
+        if not full:
+            return out.drop("canon", "over"), split
+        open_ = open_.withColumn("head", head).join(F.broadcast(over), "head", "left_semi").drop("head")
+        split.append(len(full))
+        depth *= 2
+
+
+def copy_sets(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows ``key, first_id, copies`` of the hot sets, their rows ``key, ids``, rows ``bucket, key, ids`` of all others)."""
+    counted = local_counts(scripts)
+    total = counted.agg(F.sum(F.size("ids"))).first()[0] or 0
+    sums = counted.groupBy("key").agg(F.min(F.array_min("ids")).alias("first_id"), F.sum(F.size("ids")).cast("long").alias("copies"))
+    hot = [tuple(r) for r in sums.where(F.col("copies") > F.greatest(F.lit(1), F.lit(total / most_hot))).collect()]  # fewer than most_hot
+    sets = scripts.sparkSession.createDataFrame(hot, "key binary, first_id long, copies long")
+    bucketed, _ = split_buckets(counted.join(F.broadcast(sets), "key", "left_anti"), bucket_rows)
+    dealt = bucketed.select(F.xxhash64("bucket").alias("bucket"), "key", "ids").repartition("bucket")
+    return sets, counted.select("key", "ids").join(F.broadcast(sets), "key"), dealt
+
+
+def layout_copies(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT) -> DataFrame:
     """``first_id, copy_id``: one row per member of a set of copies but the one with the smallest id."""
-    return copy_members(scripts)[1].where("first_id <> copy_id").distinct()
+    _, hot, dealt = copy_sets(scripts, bucket_rows, most_hot)
+    of_hot = hot.select("first_id", F.explode("ids").alias("copy_id")).where("first_id <> copy_id").distinct()  # equal ids; dealt by both columns
+    return dealt.mapInArrow(_members, "first_id long, copy_id long").unionByName(of_hot)
 
 
-def distinct_scripts(scripts: DataFrame) -> DataFrame:
+def distinct_scripts(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT) -> DataFrame:
     """``first_id, copies``: one row per distinct script with the number of its copies (itself included)."""
-    keyed = map_lists(scripts, ["script_id", "file_path", "text"], _key_rows, "script_id long, key binary")
-    return count_keys(keyed).select("first_id", F.col("n").alias("copies"))
+    sets, _, dealt = copy_sets(scripts, bucket_rows, most_hot)
+    return dealt.mapInArrow(_groups, "first_id long, copies long").unionByName(sets.select("first_id", "copies"))

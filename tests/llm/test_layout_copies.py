@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from lintmill.llm import layout_copies as C
 
@@ -39,10 +40,9 @@ def test_trie_counts():
     t = C.Trie()
     for i in range(2000):
         k = rng.choice(keys)
-        t.add(k, i, 1)
-        f, n = want.get(k, (i, 0))
-        want[k] = (min(f, i), n + 1)
-    assert {x[0]: (x[1], x[2]) for x in t.terminals()} == want
+        assert t.add(k, [i]) == (k not in want)
+        want.setdefault(k, []).append(i)
+    assert {x[0]: x[1] for x in t.terminals()} == want
 
 
 def test_operator_against_brute_force(spark):
@@ -56,10 +56,10 @@ def test_operator_against_brute_force(spark):
         if t is not None and i is not None:
             groups.setdefault(key(p, t), set()).add(i)
     want = sorted((min(g), i) for g in groups.values() for i in g if i != min(g))
-    for bucket, hot in ((100_000, 50_000), (5, 20)):
-        members = C.copy_members(df, bucket, hot)[1].where("first_id <> copy_id").distinct()
-        assert sorted(tuple(r) for r in members.collect()) == want
-    assert {r["first_id"] for r in C.distinct_scripts(df).collect()} == {min(g) for g in groups.values()}
+    rows_of = Counter(key(p, t) for i, p, t, _ in rows if t is not None and i is not None)
+    for bucket, hot in ((100_000, 1), (2, 10**6), (3, 20), (1, 1)):
+        assert sorted(tuple(r) for r in C.layout_copies(df, bucket, hot).collect()) == want
+        assert sorted(tuple(r) for r in C.distinct_scripts(df, bucket, hot).collect()) == sorted((min(g), rows_of[k]) for k, g in groups.items())
     assert C.layout_copies(df.limit(0)).count() == 0
 
 
@@ -67,3 +67,16 @@ def test_deep_and_long():
     deep = "SELECT " + "(SELECT " * 3000 + "1" + ")" * 3000
     assert key("a.sql", deep) == key("a.sql", deep.lower())
     assert key("a.json", "[" * 5000) == key("a.json", " " + "[" * 5000)
+
+
+def test_only_oversized_buckets_are_split(spark):
+    texts = [f"SELECT a FROM t WHERE b = {i}" for i in range(60)] + [f"UPDATE t SET a = {i}" for i in range(3)] + ["DELETE FROM t"] * 50
+    df = spark.createDataFrame([(i, "a.sql", t) for i, t in enumerate(texts)], "script_id long, file_path string, text string")
+    bucketed, split = C.split_buckets(C.local_counts(df), 10)
+    assert split[:3] == [1, 1, 1] and split[3] <= 6  # all, then those of SELECT alone
+    buckets = {}
+    for r in bucketed.collect():
+        buckets.setdefault(bytes(r["bucket"]), set()).update(r["ids"])
+    assert max(len(v) for v in buckets.values() if v & set(range(60))) <= 10
+    assert {len(k) for k, v in buckets.items() if v & set(range(60, 113))} == {8}
+    assert sorted(i for v in buckets.values() for i in v) == list(range(113))
