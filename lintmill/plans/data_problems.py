@@ -28,24 +28,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nested_reports.found(table(spark, d, "lint_results"))
 
 
-def p5_results(spark: SparkSession, d: str) -> DataFrame:
-    return nested_reports.results_table(table(spark, d, "lint_results"))
-
-
-def p5_files(spark: SparkSession, d: str) -> DataFrame:
-    return nested_reports.files_table(table(spark, d, "lint_results"))
-
-
-def p5_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return nested_reports.diagnostics_table(table(spark, d, "lint_results"))
-
-
-def p5_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return nested_reports.details_table(table(spark, d, "lint_results"), "range")
-
-
-def p5_data(spark: SparkSession, d: str) -> DataFrame:
-    return nested_reports.details_table(table(spark, d, "lint_results"), "data")
+def _reports(name: str):
+    """Query of one of the flat tables; ``copy``, which tells equal rows of a delivery apart, is left out."""
+    return lambda spark, d: getattr(nested_reports, name)(table(spark, d, "lint_results")).drop("copy")
+
+
+p5_results = _reports("results_table")
+p5_files = _reports("files_table")
+p5_diagnostics = _reports("diagnostics_table")
+p5_ranges = _reports("ranges_table")
+p5_data = _reports("data_table")
+p5_related = _reports("related_table")
+p5_tags = _reports("tags_table")
 
 
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}

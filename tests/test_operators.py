@@ -119,18 +119,65 @@ def test_intervals_contain(spark):
     rng = random.Random(5)
     files = [{"filePath": f"f{i}", "diagnostics": [dict(DIAG, code=f"{i}.{j}") for j in range(rng.randint(0, 4))]} for i in range(6)]
     df = spark.createDataFrame([(1, json.dumps({"files": files}))], "result_id long, payload string")
-    ns = N.nodes(df).collect()
-    fs = {r["ord"]: r for r in ns if r["type"] == "file"}
-    for r in N.diagnostics_table(df).collect():
+    fs = {r["file_ord"]: r for r in N.files_table(df).collect()}
+    ds = N.diagnostics_table(df).collect()
+    for r in ds:
         f = fs[r["file_ord"]]
-        assert f["pre"] < r["pre"] and r["post"] < f["post"] and r["code"] == f"{r['file_ord']}.{r['diag_ord']}"
-    assert {r["diag_pre"] for r in N.details_table(df, "range").where("diag_pre is not null").collect()} == {r["pre"] for r in ns if r["type"] == "diagnostic"}
-
-
-def test_deep_nesting_does_not_fail(spark):
-    deep = '{"files": [{"filePath": "a", "diagnostics": [{"code": "x", "data": ' + "[" * 500 + "]" * 500 + "}]}]}"
-    df = spark.createDataFrame([(1, deep)], "result_id long, payload string")
-    assert N.found(df).count() == 1
+        assert f["pre"] < r["pre"] and r["post"] < f["post"] and r["code"] == f"{r['file_ord']}.{r['diag_ord']}" and r["parent_pre"] == f["pre"]
+    assert sorted(r["parent_pre"] for r in N.ranges_table(df).collect()) == [r["pre"] for r in ds]
+
+
+def test_every_node_has_its_innermost_parent(spark):
+    place = {"start": {"line": 1, "character": 2}, "end": {"line": 3}}
+    related = [{"filePath": "o", "range": place}, None, {"filePath": "p", "related": [{"message": "deeper", "range": place}]}]
+    d = {"Code": 7, "range": [4, 5], "tags": ["a", None, "b"], "data": {"ruleId": "r", "x": [1, {"y": None}], "related": related}, "note": "n"}
+    payload = json.dumps({"files": [{"diagnostics": [d, dict(d, tags=None, data=json.dumps(d["data"]))]}]})
+    df = spark.createDataFrame([(1, payload), (1, payload)], "result_id long, payload string").selectExpr("*", "1 AS copy", "2 AS ord")
+    rel = N.related_table(df).where("copy = 0 or copy > 0").collect()
+    assert len({r["copy"] for r in rel}) == 2 and len(rel) == 12
+    one = sorted((r for r in rel if r["copy"] == rel[0]["copy"]), key=lambda r: r["pre"])
+    assert [(r["diag_ord"], r["ord"], r["parent_type"], r["file_path"], r["message"]) for r in one] == [
+        (k, *x) for k in (0, 1) for x in ((0, "data", "o", None), (2, "data", "p", None), (0, "related", None, "deeper"))
+    ]
+    ranges = sorted((r for r in N.ranges_table(df).collect() if r["copy"] == rel[0]["copy"]), key=lambda r: r["pre"])
+    assert [r["parent_pre"] for r in ranges] == [r["pre"] for r in one if r["file_path"] != "p"]
+    assert tuple(ranges[0][c] for c in ("parent_type", "start_line", "start_character", "end_line", "end_character", "more")) == ("related", "1", "2", "3", None, None)
+    data = N.data_table(df).first()
+    assert (data["rule_id"], data["parent_type"], json.loads(data["more"])) == ("r", "diagnostic", {"x": [1, {"y": None}]})
+    assert [(r["diag_ord"], r["ord"], r["tag"]) for r in N.tags_table(df).where("diag_ord = 0").collect()] == [(0, 0, "a"), (0, 2, "b")] * 2
+    assert json.loads(N.diagnostics_table(df).first()["more"]) == {"range": [4, 5], "note": "n"}
+
+
+def test_nesting_has_no_bound(spark):
+    inner = {"files": [{"filePath": "a", "diagnostics": [{"code": "x"}]}]}
+    wrapped, text = inner, json.dumps(inner)
+    for _ in range(40):
+        wrapped = {"result": wrapped}
+    for _ in range(6):
+        text = json.dumps(text)
+    deep = 50_000
+    huge = '{"files": [{"filePath": "a", "diagnostics": [{"code": "x", "data": {"v": ' + "[" * deep + "]" * deep + "}}]}]}"
+    far = '{"w": ' * deep + json.dumps(inner) + "}" * deep
+    rows = [(1, json.dumps(wrapped)), (2, text), (3, huge), (4, far), (5, huge[:-1]), (6, json.dumps({"a": "[1", "b": text}))]
+    df = spark.createDataFrame(rows, "result_id long, payload string")
+    assert sorted(r["result_id"] for r in N.found(df).collect()) == [1, 2, 3, 4, 6]
+    assert [r["complete"] for r in N.results_table(df).orderBy("result_id").collect()] == [True, True, True, True, False, True]
+    assert len(N.data_table(df).first()["more"]) > 2 * deep
+
+
+def test_deep_parser_agrees_with_the_standard_one():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(["{", "}", "[", "]", '"a"', ":", ",", "1", "-2.5e3", "true", "null", " ", '"b\\""']) for _ in range(rng.randint(1, 9)))
+        try:
+            want = json.loads(text)
+        except ValueError:
+            with pytest.raises(ValueError):
+                N._loads_deep(text)
+        else:
+            assert N._loads_deep(text) == want
+    value = {"a": [1, {"b": []}, None, "x"], "c": {}, "d": {"e": [[]]}}
+    assert N._loads_deep(json.dumps(value)) == value
 
 
 # -- lint ------------------------------------------------------------------------
