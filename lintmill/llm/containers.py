@@ -1,10 +1,12 @@
 """Filling fixed-capacity containers with items (problem 7).
 
 Method.  Variable-capacity best-fit: items are taken by falling size; each goes to the open
-container with the least sufficient space; if there is none, a container of least cost is
-opened, the cost of a capacity being the space that neither the item nor what is left of
-smaller items could use.  At the end each container shrinks to the least permitted capacity
-that holds its contents.  Items longer than the largest capacity are cut into pieces of it.
+container with the least sufficient space; if there is none, the capacity of least cost is
+opened: for every permitted capacity the items to come are tried, and the cost is the share that
+would stay unused.  At the end each container shrinks to the least permitted capacity that holds
+its contents.  The same is done with the greatest and with the least capacity throughout, and the
+packing of least space is kept, so mixing capacities never costs space.  Items longer than the largest
+capacity are cut into pieces of it.
 
 Sizes are tokens of a public tokenizer.  Items are dealt by hash into cells of about
 ``CELL_ITEMS``; a cell is packed by one task, so no task holds more than that, and with
@@ -84,12 +86,52 @@ class Bins:
         return number, space
 
 
+def opening(i: int, sizes: list[int], negative: list[int], caps: list[int]) -> int:
+    """The capacity of least cost for a container that item i opens.
+
+    For each capacity the items to come are tried, the longest that fits each time.  The cost is the share
+    of the container, downsized to what it would hold then, that would stay unused; of equal cost the
+    greater capacity is the better, as it leaves the most room to choose from.
+    """
+    best = None
+    for c in caps:
+        space = c - sizes[i]
+        if space < 0:
+            continue
+        at = i + 1
+        while space:
+            at = max(at, bisect_left(negative, -space))
+            if at >= len(sizes) or not sizes[at]:
+                break
+            space -= sizes[at]
+            at += 1
+        fits = caps[bisect_left(caps, c - space)]
+        cost = ((fits - (c - space)) / fits, -c)
+        if best is None or cost < best[0]:
+            best = (cost, c)
+    return best[1]
+
+
+def greatest(i: int, sizes: list[int], negative: list[int], caps: list[int]) -> int:
+    return caps[-1]
+
+
+def least(i: int, sizes: list[int], negative: list[int], caps: list[int]) -> int:
+    return caps[bisect_left(caps, sizes[i])]
+
+
 def pack(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int]]:
-    """(container of each item, capacity of each container); sizes fall, none exceeds the largest capacity."""
+    """(container of each item, capacity of each container); sizes fall, none exceeds the largest capacity.
+
+    Of the packings by least cost, by the greatest and by the least capacity, the one of least space.
+    """
     caps = sorted(set(capacities))
-    suffix = [0] * (len(sizes) + 1)  # volume from item i on
-    for i in range(len(sizes) - 1, -1, -1):
-        suffix[i] = suffix[i + 1] + sizes[i]
+    packed = [best_fit(sizes, caps, rule) for rule in (opening, greatest, least)]
+    return min(packed, key=lambda p: sum(p[1]))
+
+
+def best_fit(sizes: list[int], caps: list[int], rule=opening) -> tuple[list[int], list[int]]:
+    """Best fit by falling size; ``rule`` gives the capacity of a container to open."""
     negative = [-s for s in sizes]
     bins, where, used = Bins(), [], []
     for i, n in enumerate(sizes):
@@ -100,16 +142,7 @@ def pack(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int]]
             continue
         got = bins.take(n)
         if got is None:
-            best = None
-            for c in caps:
-                if c < n:
-                    continue
-                space = c - n
-                left = suffix[max(i + 1, bisect_left(negative, -space))] if space else 0
-                cost = (max(0, space - left), -c if space else 0)
-                if best is None or cost < best[0]:
-                    best = (cost, c)
-            c = best[1]
+            c = rule(i, sizes, negative, caps)
             used.append(n)
             where.append(len(used) - 1)
             bins.put(c - n, len(used) - 1)

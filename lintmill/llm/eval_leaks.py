@@ -6,12 +6,13 @@ pieces of ``PIECE`` words such that any such passage holds more whole pieces tha
 edits: by the pigeonhole principle one of them occurs unchanged.  Exact piece hits come from one
 pass of an automaton over the words of each document.  From each hit Myers' bit-parallel edit
 distance on words runs once to either side and gives how far the passage reaches with each number
-of edits; passages of all lengths are judged by it.  A passage must begin and end with words that
-match.
+of edits; passages of all lengths are judged by it.  Words at the ends of a passage may be changed
+like any others.
 
 Words are compared without letter case, punctuation, markup and layout.  The items are a
-fixed, small set: they are sent to all executors in blocks of at most ``BLOCK_ITEMS``, one pass
-over the documents a block, so what is sent has a bound and no pairs of rows are formed.
+fixed, small set: they are sent to all executors in blocks of about ``BLOCK_CHARS`` characters, one
+after another, one pass over the documents a block, so what is sent has a bound and no pairs of rows are
+formed.
 
 Defined results: null texts, items of fewer than ``PASSAGE`` words and empty tables give no
 row; equal documents each give a row, equal rows one; whole texts are searched; further columns
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.arrow import map_lists
+from lintmill.session import cut
 
 PASSAGE = 25
 BUDGET = PASSAGE // 10
 PIECE = 6  # (PASSAGE + 1) // (BUDGET + 2): n words hold n // 10 + 1 whole pieces wherever they start, for all n from PASSAGE on
-BLOCK_ITEMS = 5_000
+BLOCK_CHARS = 16_000_000  # of the items that are on the executors at a time
 
 _TAG = re.compile(r"<[A-Za-z/!][^<>]*>")
 _BREAKS = "—–―/|\\…"
@@ -55,40 +57,24 @@ def pieces_of(words: list[str], size: int = PIECE) -> list[tuple[int, str]]:
     return [(p, " ".join(words[p : p + size])) for p in range(0, len(words) - size + 1, size)]
 
 
-def within(pattern: list[str], text: list[str], budget: int) -> bool:
-    """Whether a stretch of ``text`` is within ``budget`` word edits of ``pattern`` (Myers 1999, search version)."""
-    m = len(pattern)
-    masks: dict[str, int] = {}
-    for i, w in enumerate(pattern):
-        masks[w] = masks.get(w, 0) | (1 << i)
-    full, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    for w in text:
-        eq = masks.get(w, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv) & full
-        mh = pv & xh
-        if ph & high:
-            score += 1
-        elif mh & high:
-            score -= 1
-        ph = (ph << 1) & full
-        mh = (mh << 1) & full
-        pv = mh | ~(xv | ph) & full
-        mv = ph & xv
-        if score <= budget and eq & high:
-            return True
-    return False
-
-
 def _verify(item: list[str], doc: list[str], p: int, q: int) -> bool:
-    """Whether a passage of the item that holds the piece at p is repeated around word q."""
+    """Whether a passage of the item that holds the piece at p is repeated around word q.
+
+    Words at the ends of a passage may be changed like others: each adds a word and an edit.
+    """
     most = len(item) // 10
     after, behind = p + PIECE, q + PIECE
     left = _reach(item[:p][::-1], doc[max(0, q - p - most) : q][::-1], most)
     right = _reach(item[after:], doc[behind : behind + len(item) - after + most], most)
-    return any((n := a + PIECE + b) >= PASSAGE and i + j <= n // 10 for i, a in enumerate(left) for j, b in enumerate(right))
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            n = a + PIECE + b
+            # edits of its own, and changed words at its ends as far as item and document go on there
+            spare = min(p - a, q - a - i) + min(len(item) - after - b, len(doc) - behind - b - j)
+            ends = max(0, PASSAGE - n)
+            if i + j + ends <= (n + ends) // 10 and ends <= max(0, spare):
+                return True
+    return False
 
 
 def _reach(pattern: list[str], text: list[str], most: int) -> list[int]:
@@ -169,14 +155,13 @@ def _search(state, ids, texts):
             yield i, items[k][0]
 
 
-def leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id``: each document and test item of which it repeats a passage."""
     spark = documents.sparkSession
     schema = "doc_id long, item_id long"
     numbered = items.where("text is not null and item_id is not null").select("item_id", "text")
-    n = numbered.count()
+    blocks = max(1, -(-(numbered.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     out = None
-    blocks = max(1, -(-n // block_items))
     for b in range(blocks):
         part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         held = [(r["item_id"], words_of(r["text"])) for r in part.collect()]
@@ -184,6 +169,9 @@ def leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS
             continue
         shared = spark.sparkContext.broadcast(held)
         found = map_lists(documents, ["doc_id", "text"], _search, schema, once=lambda s=shared: _automaton(s.value))
+        if blocks > 1:  # one block at a time is on the executors
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out.distinct() if out is not None else spark.createDataFrame([], schema)
 

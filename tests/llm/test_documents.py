@@ -1,4 +1,3 @@
-import itertools
 import random
 
 from lintmill.llm import containers as P
@@ -19,9 +18,23 @@ def test_pack_is_valid_and_tight():
             used[w] += n
         assert all(u <= c and c in caps for u, c in zip(used, capacity))
         assert all(c == min(x for x in caps if x >= u) for u, c in zip(used, capacity))
-        # no two containers could be one
-        for (i, u), (j, v) in itertools.combinations(enumerate(used), 2):
-            assert not (u and v and u + v <= min(capacity[i], capacity[j]))
+        for rule in (P.opening, P.greatest, P.least):
+            assert sum(capacity) <= sum(P.best_fit(sizes, caps, rule)[1])
+
+
+def test_capacities_are_chosen_by_cost():
+    caps = [512, 2048, 8192]
+    assert P.pack([2040] * 3, caps)[1] == [2048] * 3  # one of 8,192 would leave 2,072 unused
+    assert P.pack([5000, 3190, 300, 210], caps) == ([0, 0, 1, 1], [8192, 512])
+    rng = random.Random(4)
+    mixed = gained = 0
+    for _ in range(40):
+        sizes = sorted((int(rng.lognormvariate(6.3, 0.9)) % 8000 + 1 for _ in range(300)), reverse=True)
+        got, one = P.pack(sizes, caps)[1], P.best_fit(sizes, caps[-1:])[1]
+        mixed += len(set(got)) > 1
+        gained += sum(got) < sum(one)
+        assert sum(got) <= sum(one)
+    assert mixed > 20 and gained > 20
 
 
 def test_fill(spark):
@@ -60,7 +73,7 @@ def test_leaks(spark):
     for i in range(0, 40, 5):
         many = many[:i] + ["changed"] + many[i + 1 :]
     docs = [
-        (1, " ".join(noise(50) + ITEM + noise(9))), (2, " ".join(noise(20) + ITEM[10:35] + noise(20))), (3, " ".join(noise(20) + ITEM[10:34] + noise(20))),
+        (1, " ".join(noise(50) + ITEM + noise(9))), (2, " ".join(noise(20) + ITEM[10:35] + noise(20))), (3, " ".join(noise(20) + ITEM[10:32] + noise(20))),
         (4, " ".join(noise(5) + changed)), (5, " ".join(noise(5) + many + noise(5))), (6, "<p>" + "</p>\n<p>".join(w.upper() + "," for w in ITEM[40:70]) + "</p>"),
         (7, None), (8, ""), (9, " ".join(ITEM[:40] + OTHER[:40])), (10, " ".join(ITEM[3:20] + noise(40) + ITEM[20:40])), (1, " ".join(ITEM)),
         (11, " ".join(noise(30000) + OTHER[20:50] + noise(30000))), (12, " ".join(ITEM[20:32] + ["in"] + ITEM[32:46])),
@@ -68,7 +81,7 @@ def test_leaks(spark):
     d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(100, "s", " ".join(ITEM)), (200, "s", " ".join(OTHER)), (300, "s", "too short"), (None, "s", "x"), (400, "s", None)], "item_id long, suite string, text string")
     want = [(1, 100), (2, 100), (4, 100), (6, 100), (9, 100), (9, 200), (11, 200), (12, 100)]
-    for block in (5000, 1):
+    for block in (E.BLOCK_CHARS, 300):
         assert sorted(tuple(r) for r in E.leaks(d, items, block).collect()) == want
     assert E.leaks(d, items.limit(0)).count() == 0 and E.leaks(d.limit(0), items).count() == 0
     assert {r["item_id"]: r["documents"] for r in E.leaked_items(d, items).where("item_id is not null").collect()} == {100: 6, 200: 2, 300: 0, 400: 0}
@@ -83,17 +96,6 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_bit_parallel_distance():
-    rng = random.Random(8)
-    for _ in range(400):
-        a = [rng.choice("abc") for _ in range(rng.randint(1, 9))]
-        b = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
-        want = min(edit_distance(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
-        found = any(edit_distance(a, b[i:j]) <= 2 and b[j - 1] == a[-1] for i in range(len(b)) for j in range(i + 1, len(b) + 1))
-        assert E.within(a, b, 2) == found
-        assert not found or want <= 2
-
-
 def test_pieces_guarantee():
     # wherever a stretch starts, it holds budget + 1 whole pieces
     for start in range(E.PIECE):
@@ -109,6 +111,17 @@ def test_passages_of_all_lengths():
     assert list(E._search(state, [1], [" ".join(doc)])) == [(1, 100)]
     doc[30 + 2] = "changed"  # 4 in 30
     assert list(E._search(state, [1], [" ".join(doc)])) == []
+    for n, at in ((40, (16, 18, 20, 22)), (25, (0, 24)), (25, (0,)), (25, (24,)), (25, (1, 23)), (30, (0, 1, 29))):
+        for start, lost in ((10, 0), (10, 1), (0, 0), (len(ITEM) - n, 0)):
+            words = ITEM[start : start + n]
+            for i in at:
+                words[i] = "changed"
+            if lost:  # one edit too many
+                words[n // 2] = words[n // 2 - 3] = "changed"
+            if lost and (len(at) < n // 10 or n == 30):
+                continue
+            got = list(E._search(state, [1], [" ".join(noise(20) + words + noise(20))]))
+            assert got == ([] if lost else [(1, 100)]), (n, at, start, lost)
     for n in range(E.PASSAGE, 500):
         assert (n - E.PIECE + 1) // E.PIECE >= n // 10 + 1
 
