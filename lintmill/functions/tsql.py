@@ -142,10 +142,51 @@ def json_modify(x: Column, member: str, value: str) -> Column:
     return F.to_json(F.map_concat(rest, F.create_map(F.lit(member), F.lit(value))))
 
 
+def time_from_parts(h, mi, s, fraction: int = 0, precision: int = 0) -> Column:
+    """TIMEFROMPARTS as text ``hh:mm:ss[.fff]``; NULL if a part is out of range."""
+    col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    h, mi, s = map(col, (h, mi, s))
+    text = F.format_string("%02d:%02d:%02d", h, mi, s)
+    if precision:
+        text = F.concat(text, F.lit("." + str(fraction).rjust(precision, "0")))
+    return F.when(h.between(0, 23) & mi.between(0, 59) & s.between(0, 59), text)
+
+
+def date_bucket(part: str, n: int, x: Column, origin: str = "1900-01-01 00:00:00") -> Column:
+    """Start of the bucket of ``n`` parts, counted from the origin, that holds a moment."""
+    start = F.lit(origin).cast("timestamp_ntz")
+    x = x.cast("timestamp_ntz")
+    if part in ("year", "quarter", "month"):
+        width = n * {"year": 12, "quarter": 3, "month": 1}[part]
+        months = (F.year(x) - F.year(start)) * 12 + F.month(x) - F.month(start)
+        return start + F.make_ym_interval(F.lit(0), (F.floor(months / width) * width).cast("int"))
+    width = n * {"week": 604800, "day": 86400, "hour": 3600, "minute": 60, "second": 1}[part]
+    passed = F.timestamp_diff("SECOND", start, x)
+    return F.timestamp_add("SECOND", (F.floor(passed / width) * width).cast("long"), start)
+
+
+def newsequentialid() -> Column:
+    """A GUID of rising order within a partition, unique in the query."""
+    n = F.monotonically_increasing_id()
+    return F.concat(F.lit("00000000-0000-0000-"), F.lpad(F.hex(F.shiftright(n, 48)), 4, "0"), F.lit("-"), F.lpad(F.hex(n.bitwiseAND(F.lit(0xFFFFFFFFFFFF))), 12, "0"))
+
+
+def col_name(table, number: int) -> str | None:
+    """COL_NAME: the column of a one-based number."""
+    return table.columns[number - 1] if 1 <= number <= len(table.columns) else None
+
+
+def col_length(table, column: str) -> int | None:
+    """COL_LENGTH: bytes of a column's type, -1 for types without a fixed length, None without such a column."""
+    sizes = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+    types = {k.lower(): v for k, v in table.dtypes}
+    return sizes.get(types[column.lower()], -1) if column.lower() in types else None
+
+
 #: Functions of the registry that ask the server about itself or its objects: Spark has no such state.
 WITHOUT_EQUIVALENT = (
-    "SCOPE_IDENTITY IDENT_CURRENT IDENT_INCR IDENT_SEED NEWSEQUENTIALID SERVERPROPERTY CONNECTIONPROPERTY DB_ID TYPE_ID TYPE_NAME SCHEMA_ID "
-    "COL_LENGTH COL_NAME COLUMNPROPERTY OBJECT_ID OBJECT_NAME @@IDENTITY @@ROWCOUNT @@ERROR @@TRANCOUNT"
+    "SCOPE_IDENTITY IDENT_CURRENT IDENT_INCR IDENT_SEED SERVERPROPERTY CONNECTIONPROPERTY DB_ID TYPE_ID TYPE_NAME SCHEMA_ID "
+    "COLUMNPROPERTY OBJECT_ID OBJECT_NAME @@IDENTITY @@ROWCOUNT @@ERROR @@TRANCOUNT"
 ).split()
 
 #: T-SQL name -> function of Columns.
@@ -174,6 +215,7 @@ FUNCTIONS = {
     "DATETIME2FROMPARTS": timestamp_from_parts, "DATETIMEFROMPARTS": timestamp_from_parts, "SMALLDATETIMEFROMPARTS": timestamp_from_parts,
     "DATETIMEOFFSETFROMPARTS": timestamp_from_parts, "PARSE": lambda x, t: x.cast(t), "TRY_PARSE": try_cast, "JSON_MODIFY": json_modify,
     "OPENJSON": F.from_json, "FOR JSON": F.to_json, "OPENXML": F.xpath, "FOR XML": F.to_xml, "USER_NAME": F.current_user, "SUSER_NAME": F.current_user,
-    "@@VERSION": F.version, "CASE": F.when,
+    "@@VERSION": F.version, "CASE": F.when, "USER": F.current_user, "TIMEFROMPARTS": time_from_parts, "DATE_BUCKET": date_bucket, "NEWSEQUENTIALID": newsequentialid,
+    "COL_NAME": col_name, "COL_LENGTH": col_length,
     "GROUPING": F.grouping, "GROUPING_ID": F.grouping_id,
 }

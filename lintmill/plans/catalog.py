@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintmill.plans import data_problems, generated, tables
+from lintmill.plans import constructs, data_problems, generated, tables
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -12,8 +12,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**tables.QUERIES, **generated.QUERIES, **data_problems.QUERIES}
+    return {**tables.QUERIES, **constructs.QUERIES, **generated.QUERIES, **data_problems.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**tables.ORACLES, **generated.ORACLES, **data_problems.ORACLES}
+    return {**tables.ORACLES, **constructs.ORACLES, **generated.ORACLES, **data_problems.ORACLES}

@@ -275,8 +275,8 @@ def pair_like_class(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_all_any(spark: SparkSession, d: str) -> DataFrame:
     """> ALL (subquery) as a comparison with the maximum."""
-    most = table(spark, d, "supplier").agg(F.max("s_acctbal")).first()[0]
-    return table(spark, d, "customer").where(F.col("c_acctbal") > F.lit(most)).select("c_custkey")
+    most = table(spark, d, "supplier").agg(F.max("s_acctbal"))
+    return table(spark, d, "customer").where(F.col("c_acctbal") > most.scalar()).select("c_custkey")
 
 
 def pair_values(spark: SparkSession, d: str) -> DataFrame:
