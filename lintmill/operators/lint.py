@@ -6,6 +6,9 @@ and directives are applied in the same pass, so only what is reported leaves it.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from lintmill.rules import engine
 from lintmill.rules.catalog import LABELS, RULES
 from lintmill.rules.engine import Options
 from lintmill.rules.model import Script
+from lintmill.rules.rulesets import ConfigError, Ruleset
 
 DIAGNOSTICS = (
     "script_id long, file_path string, code string, severity int, category string, fixable boolean, message string, "
@@ -48,8 +52,9 @@ def fix(scripts: DataFrame, options: Options = Options()) -> DataFrame:
         for i, p, t in zip(ids, paths, texts):
             if t is None:
                 continue
-            new, applied, skipped = engine.fix(t, p, options)
-            left = engine.diagnose(new, p, options) if new != t else engine.diagnose(t, p, options)
+            found = list(engine.diagnose(t, p, options))
+            new, applied, skipped = engine.fix_found(t, found)
+            left = list(engine.diagnose(new, p, options)) if new != t else found
             yield i, p, new, new != t, applied, [{"rule_id": r, "reason": w} for r, w in skipped], len(left)
 
     return map_lists(scripts, ["script_id", "file_path", "text"], run, FIXED)
@@ -211,10 +216,25 @@ def exit_status(diagnostics: DataFrame) -> int:
     return 2 if row["any_parse_error"] else 1 if row["total"] else 0
 
 
-def rule_catalog(spark) -> DataFrame:
-    """The rules with category, severity, fixability and smallest preset, sorted by id."""
+def run_status(action: Callable[[], DataFrame]) -> int:
+    """``exit_status`` of what the action gives; 3 if settings can't be used, 4 if it fails otherwise."""
+    try:
+        return exit_status(action())
+    except (ConfigError, json.JSONDecodeError, FileNotFoundError):
+        return 3
+    except Exception:  # noqa: BLE001 - the status is what tells
+        return 4
+
+
+def rule_catalog(spark, category: str | None = None, fixable: bool | None = None, enabled: Ruleset | None = None) -> DataFrame:
+    """The rules with category, severity, fixability and smallest preset, sorted by id; only those of a category, that can be fixed, or that a ruleset enables."""
     names = {"S": "security-only", "P": "pragmatic", "R": "recommended", "L": "strict-logic", "C": "strict"}
-    rows = [(r.id, r.category, LABELS[r.severity], r.fixable, names[r.tier], r.min_compat) for r in sorted(RULES.values(), key=lambda r: r.id)]
+    kept = [
+        r
+        for r in sorted(RULES.values(), key=lambda r: r.id)
+        if (category is None or r.category.lower() == category.lower()) and (fixable is None or r.fixable == fixable) and (enabled is None or enabled.enabled(r.id))
+    ]
+    rows = [(r.id, r.category, LABELS[r.severity], r.fixable, names[r.tier], r.min_compat) for r in kept]
     return spark.createDataFrame(rows, "rule_id string, category string, severity string, fixable boolean, preset string, min_compat int")
 
 

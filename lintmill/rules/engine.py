@@ -211,8 +211,12 @@ def apply_fixes(text: str, fixes: list[tuple[str, int, int, list | None]]) -> tu
 
 def fix(text: str, path: str | None, options: Options) -> tuple[str, list[str], list[tuple[str, str]]]:
     """One round of fixes of the diagnostics that are reported."""
-    found = [d for d in diagnose(text, path, options) if d.fixable and not d.parse_error]
-    return apply_fixes(text, [(d.code, d.start_offset, d.end_offset, d.edits) for d in found if d.edits])
+    return fix_found(text, diagnose(text, path, options))
+
+
+def fix_found(text: str, found: list) -> tuple[str, list[str], list[tuple[str, str]]]:
+    """One round of fixes of given diagnostics."""
+    return apply_fixes(text, [(d.code, d.start_offset, d.end_offset, d.edits) for d in found if d.fixable and not d.parse_error and d.edits])
 
 
 def line_break(text: str) -> str:

@@ -11,6 +11,10 @@ LEVELS = ("error", "warning", "info", "inherit", "none")
 _RANK = {"error": 1, "warning": 2, "info": 3, "information": 3, "hint": 4}
 
 
+class ConfigError(ValueError):
+    """A setting, ruleset or path that can't be used."""
+
+
 @dataclass(frozen=True)
 class Ruleset:
     """Levels by rule id.  As a whitelist, rules that are not listed are off."""
@@ -26,7 +30,7 @@ class Ruleset:
     def of_rule(rule: str) -> "Ruleset":
         """A single rule, whatever the base says."""
         if rule not in RULES:
-            raise ValueError(f"unknown rule {rule}")
+            raise ConfigError(f"unknown rule {rule}")
         return Ruleset({rule: "inherit"})
 
     @staticmethod
@@ -36,7 +40,7 @@ class Ruleset:
         for r in json.loads(text).get("rules", []):
             level = (r.get("severity") or "inherit").lower()
             if level not in LEVELS:
-                raise ValueError(f"unknown severity {level}")
+                raise ConfigError(f"unknown severity {level}")
             levels[r["id"]] = level
         return Ruleset(levels)
 
@@ -48,7 +52,7 @@ class Ruleset:
         """Levels of a configuration come last."""
         for level in overrides.values():
             if level.lower() not in LEVELS:
-                raise ValueError(f"unknown severity {level}")
+                raise ConfigError(f"unknown severity {level}")
         return Ruleset({**self.levels, **{k: v.lower() for k, v in overrides.items()}}, self.whitelist)
 
     def enabled(self, rule: str) -> bool:

@@ -12,6 +12,7 @@ from lintmill.operators import lint as ops
 from lintmill.operators import nested_reports as N
 from lintmill.rules.engine import Options
 from lintmill.rules.rulesets import Ruleset
+from lintmill.sources import scripts as S
 from lintmill.sources.scripts import from_texts, read_directory, read_ruleset
 
 
@@ -213,16 +214,69 @@ def test_latest_deliveries(spark):
 def test_directory_source(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.sql").write_text("SELECT 1", encoding="utf-8")
-    (tmp_path / "sub" / "b.sql").write_bytes("SELECT N'é'".encode("utf-16"))
+    (tmp_path / "sub" / "B.SQL").write_bytes("SELECT N'é'".encode("utf-16"))
     (tmp_path / "sub" / "c.bak.sql").write_text("x")
     (tmp_path / "big.sql").write_text("x" * 500)
     scripts, rejected = read_directory(spark, str(tmp_path), ["*.bak.sql"], max_bytes=100)
     assert sorted(r["text"] for r in scripts.collect()) == ["SELECT 1", "SELECT N'é'"]
     assert [r["reason"] for r in rejected.collect()] == ["too large"]
+    assert ops.lint(scripts).count() >= 0 and scripts.select("script_id").distinct().count() == 2
+    some, rejected = S.read_files(spark, [str(tmp_path / "a.sql"), str(tmp_path / "none.sql")])
+    assert [r["text"] for r in some.collect()] == ["SELECT 1"] and [r["reason"] for r in rejected.collect()] == ["not found"]
+    assert S.read_files(spark, [str(tmp_path / "none.sql")])[0].count() == 0
     (tmp_path / "r.json").write_text('{"rules": [{"id": "a", "severity": "error"}, {"id": "a", "severity": "none"}]}')
     assert [tuple(r) for r in read_ruleset(spark, str(tmp_path / "r.json")).collect()] == [("a", "none")]
 
 
+TEXTS = {
+    "cp1252": ["PRINT 'cafés fermés'", "-- Größe der Tabelle über 5 %, “außen”", "-- niño, ação, à bientôt", "SELECT '5 €'"],
+    "cp932": ["-- この手続きは月が締まるまで実行しない", "PRINT N'注文の合計'; -- テスト", "SELECT 1 AS [顧客番号]"],
+    "gb18030": ["-- 这个存储过程在月份没有关闭之前不能运行", "PRINT '我们的数据只保留最新的一行'"],
+    "cp1251": ["-- Ночное задание не должно работать", "PRINT 'Каждая группа'"],
+}
+
+
+def test_decoding_by_plausibility():
+    for name, texts in TEXTS.items():
+        for text in texts:
+            assert S.decode(text.encode(name))[0] == text, (name, text)
+    for text in ("", "SELECT 1", "SELECT N'é日本'"):
+        for name in ("utf-8", "utf-8-sig", "utf-16-le-sig", "utf-16-be-sig", "utf-32-le-sig", "utf-32-be-sig"):
+            raw = S.encode(text, name)
+            got = S.decode(raw)
+            assert got[0] == text and S.encode(*got) == raw
+    assert S.decode(S.encode("日本", "cp1252")) == ("日本", "utf-8-sig")
+
+
+def test_fixed_scripts_are_written_in_their_encoding(spark, tmp_path):
+    bodies = {"a.sql": "SELECT a FROM dbo.t WHERE a <> 1 AND b = 'cafés'", "b.sql": "exec dbo.p; -- 日本", "c.SQL": "SELECT a\nFROM dbo.t;"}
+    names = {"a.sql": "cp1252", "b.sql": "utf-16-be-sig", "c.SQL": "utf-8"}
+    for n, b in bodies.items():
+        (tmp_path / n).write_bytes(S.encode(b, names[n]))
+    scripts, _ = read_directory(spark, str(tmp_path))
+    rules = Options(ruleset=Ruleset({"normalize-execute-keyword": "inherit", "semicolon-termination": "inherit"}))
+    fixed = ops.fix(scripts, rules)
+    want = {r["file_path"].rsplit("/", 1)[1]: r["fixed_text"] for r in fixed.collect() if r["changed"]}
+    done = S.write_changed(fixed, scripts).collect()
+    assert len(done) == len(want) == 2 and all(r["error"] is None for r in done)
+    for n, b in bodies.items():
+        assert (tmp_path / n).read_bytes() == S.encode(want.get(n, b), names[n])
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(bodies)
+    bad = spark.createDataFrame([("/proc/none/x.sql", "x", None), (None, "x", None), ("y.sql", None, None)], "file_path string, text string, encoding string")
+    assert [r["error"] is not None for r in S.write_scripts(bad).collect()] == [True]
+
+
+def test_status_and_catalogue(spark):
+    s = from_texts(spark, [("a.sql", "SELECT a FROM dbo.t;")])
+    assert ops.run_status(lambda: ops.lint(s.limit(0))) == 0
+    assert ops.run_status(lambda: ops.lint(s, Options(ruleset=Ruleset.of_rule("no-such-rule")))) == 3
+    assert ops.run_status(lambda: 1 / 0) == 4
+    every = ops.rule_catalog(spark)
+    assert ops.rule_catalog(spark, fixable=True).count() == every.where("fixable").count() < every.count()
+    assert ops.rule_catalog(spark, category="security").count() == every.where("lower(category) = 'security'").count() > 0
+    assert ops.rule_catalog(spark, enabled=Ruleset.of_preset("security-only")).count() == 14
+
+
 def test_stream(spark, tmp_path):
     from lintmill.streaming.lint_stream import lint_stream, read_stream
 
