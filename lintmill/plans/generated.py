@@ -15,7 +15,8 @@ from lintmill.rules.catalog import RULES, Rule, preset
 from lintmill.rules.engine import Options
 from lintmill.rules.model import Finding
 from lintmill.rules.rulesets import Ruleset
-from lintmill.session import table
+from lintmill.session import shared_folder, table
+from lintmill.sources.scripts import read_directory, write_changed, write_scripts
 
 
 def corpus(spark: SparkSession, d: str, texts: list[str]) -> DataFrame:
@@ -194,6 +195,51 @@ def lint_summary(spark: SparkSession, d: str) -> DataFrame:
     return ops.summary(ops.lint(corpus(spark, d, _MIXED), _mixed_options(4)))
 
 
+def lint_text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The text report without the wording of its messages, which is our own."""
+    lines = ops.report_text(ops.lint(corpus(spark, d, _MIXED), _mixed_options(4)))
+    return lines.select(F.regexp_replace("value", r"^(\S+: \w+: ).*( \([^()]*\))$", "$1...$2").alias("line"))
+
+
+def lint_json_files(spark: SparkSession, d: str) -> DataFrame:
+    r = ops.report_json(ops.lint(corpus(spark, d, _MIXED), _mixed_options(4)))
+    codes = F.from_json("report", "files array<struct<filePath: string, diagnostics: array<struct<code: string, severity: string>>>>")["files"][0]
+    return r.select("script_id", codes["filePath"].alias("path"), F.array_join(F.array_sort(codes["diagnostics"]["code"]), ",").alias("codes"))
+
+
+def lint_status(spark: SparkSession, d: str) -> DataFrame:
+    some = corpus(spark, d, _MIXED)
+    codes = [ops.run_status(lambda x=x: ops.lint(x, _mixed_options(4))) for x in (some.limit(0), some.where("script_id % 4 = 0"), some)]
+    codes.append(ops.run_status(lambda: ops.lint(some, Options(ruleset=Ruleset.of_rule("unknown")))))
+    codes.append(ops.run_status(lambda: ops.lint(some.drop("text"))))
+    return spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "run int, status int")
+
+
+def fix_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """What a round of fixes changes, applies and leaves, over known texts."""
+    texts = ["exec dbo.p; SELECT a FROM dbo.t WHERE a != {k};", "SELECT a FROM dbo.t;", "SELECT * FROM dbo.t WHERE a = NULL;"]
+    o = Options(ruleset=Ruleset(dict.fromkeys(["normalize-execute-keyword", "normalize-inequality-operator", "avoid-null-comparison", "avoid-select-star"], "inherit")))
+    f = ops.fix(corpus(spark, d, texts), o)
+    return f.groupBy("changed", "remaining").agg(F.count(F.lit(1)).alias("scripts"), F.sum(F.size("applied")).cast("long").alias("applied"), F.sum(F.size("skipped")).cast("long").alias("skipped"))
+
+
+def files_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """All T-SQL scripts as files of four encodings, read as a directory and written again where a fix changes them."""
+    folder = shared_folder(spark)
+    names = ["utf-8", "utf-8-sig", "utf-16-le-sig", "utf-16-be-sig"]
+    encoding = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod("script_id", F.lit(4)) + 1).cast("int"))
+    texts = tsql_scripts(spark, d).where("text is not null").select(
+        "script_id", F.concat(F.col("script_id"), F.lit(".Sql")).alias("file_path"), F.regexp_replace("text", "^\ufeff", "").alias("text"), encoding.alias("encoding")
+    )
+    write_scripts(texts, folder).where("error is not null").count()
+    scripts, _ = read_directory(spark, folder)
+    fixed = ops.fix(scripts, Options(ruleset=Ruleset.of_rule("normalize-inequality-operator")))
+    write_changed(fixed, scripts).where("error is not null").count()
+    again, _ = read_directory(spark, folder)
+    bangs = F.size(F.split("text", "!=")) - 1
+    return again.groupBy("encoding").agg(F.count(F.lit(1)).alias("scripts"), F.sum(F.length("text") - bangs).alias("chars"))
+
+
 def fix_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Two rules want to edit the same place: the one that comes first is applied."""
     texts = ["SELECT a FROM dbo.t WHERE a != NULL AND b = {k};"]
@@ -246,6 +292,11 @@ QUERIES: dict[str, Callable] = {
     "parse_errors": parse_errors,
     "lint_summary": lint_summary,
     "fix_conflicts": fix_conflicts,
+    "lint_text_lines": lint_text_lines,
+    "lint_json_files": lint_json_files,
+    "lint_status": lint_status,
+    "fix_rounds": fix_rounds,
+    "files_rewritten": files_rewritten,
     "plugin_rule": plugin_rule,
     "rule_catalog": rule_catalog,
     "preset_matrix": preset_matrix,
@@ -276,6 +327,25 @@ ORACLES: dict[str, str] = {
         "SELECT c_custkey AS script_id, replace('SELECT a FROM dbo.t WHERE a IS NOT NULL AND b = {k};', '{k}', CAST(c_custkey AS VARCHAR)) AS fixed_text, "
         "'avoid-null-comparison' AS applied, 'Conflicts with another fix.' AS skipped FROM customer"
     ),
+    "lint_text_lines": (
+        "SELECT 'gen/' || c_custkey || '.sql:' || v.rest AS line FROM customer JOIN (VALUES "
+        "(0, '1:8: Warning: ... (avoid-select-star)'), (0, '1:27: Error: ... (avoid-null-comparison,Fixable)'), (0, '1:37: Information: ... (avoid-print-statement)'), "
+        "(1, '1:1: Error: ... (dml-without-where)'), (3, '1:8: Error: ... (parse-error)')) AS v(t, rest) ON c_custkey % 4 = v.t"
+    ),
+    "lint_json_files": (
+        "SELECT c_custkey AS script_id, 'gen/' || c_custkey || '.sql' AS path, CASE c_custkey % 4 WHEN 0 THEN 'avoid-null-comparison,avoid-print-statement,avoid-select-star' "
+        "WHEN 1 THEN 'dml-without-where' ELSE 'parse-error' END AS codes FROM customer WHERE c_custkey % 4 <> 2"
+    ),
+    "lint_status": "SELECT * FROM (VALUES (0, 0), (1, 1), (2, 2), (3, 3), (4, 4)) AS v(run, status)",
+    "fix_rounds": (
+        "SELECT c_custkey % 3 <> 1 AS changed, CASE c_custkey % 3 WHEN 2 THEN 1 ELSE 0 END::INTEGER AS remaining, count(*) AS scripts, "
+        "sum(CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END)::BIGINT AS applied, 0::BIGINT AS skipped FROM customer GROUP BY 1, 2"
+    ),
+    "files_rewritten": (
+        "SELECT ['utf-8', 'utf-8-sig', 'utf-16-le-sig', 'utf-16-be-sig'][script_id % 4 + 1] AS encoding, count(*) AS scripts, "
+        "sum(length(regexp_replace(text, '^\ufeff', '')) - len(string_split(text, '!=')) + 1)::BIGINT AS chars "
+        "FROM scripts WHERE text IS NOT NULL AND NOT coalesce(regexp_matches(lower(file_path), '\\.(json|xml)\\s*$'), false) GROUP BY 1"
+    ),
     "plugin_rule": "SELECT c_custkey AS script_id, 'no-magic-numbers' AS code, 14 AS start_char FROM customer WHERE c_custkey % 2 = 0",
     "rule_catalog": "SELECT * FROM (VALUES "
     + ", ".join(f"('{r.id}', '{r.category}', '{_LABEL[r.severity]}', {str(r.fixable).lower()}, '{_PRESET[r.tier]}')" for r in RULES.values())

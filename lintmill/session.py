@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(where)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one for checkpoints, which all executors share."""
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: survives the loss of executors and ends the lineage."""
     ensure_checkpoints(df.sparkSession)
