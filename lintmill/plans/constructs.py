@@ -98,6 +98,35 @@ def pair_delete(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where(~gone).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pair_openrowset(spark: SparkSession, d: str) -> DataFrame:
+    """OPENROWSET(BULK ...): a file read where it is named, only the columns asked for."""
+    return spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 5000").select("s_suppkey", "s_nationkey")
+
+
+def pair_dml_source(spark: SparkSession, d: str) -> DataFrame:
+    """INSERT INTO archive SELECT ... FROM (DELETE ... OUTPUT deleted.*): the rows that leave one table enter the other."""
+    gone = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False)) & (F.col("o_totalprice") > 250000)
+    o = table(spark, d, "orders")
+    kept, moved = o.where(~gone), o.where(gone)
+    return kept.select("o_orderkey", F.lit("orders").alias("place")).unionByName(moved.select("o_orderkey", F.lit("archive").alias("place"))).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_full_text_table(spark: SparkSession, d: str) -> DataFrame:
+    """CONTAINSTABLE(.., 'formatter', 10): keys by rank, here the number of hits."""
+    hits = F.regexp_count(F.lower("text"), F.lit(r"\bformatter\b"))
+    return table(spark, d, "documents").select("doc_id", hits.cast("long").alias("rank")).where("rank > 0").orderBy(F.desc("rank"), "doc_id").limit(10)
+
+
+def pair_changetable(spark: SparkSession, d: str) -> DataFrame:
+    """CHANGETABLE(CHANGES ..): rows inserted, updated and deleted between two states."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    old = c.where("c_custkey % 10 <> 0").alias("o")
+    new = c.where("c_custkey % 7 <> 0").withColumn("c_acctbal", F.when(F.col("c_acctbal") < 0, F.lit(0.0)).otherwise(F.col("c_acctbal"))).alias("n")
+    both = old.join(new, F.col("o.c_custkey") == F.col("n.c_custkey"), "full")
+    kind = F.when(F.col("o.c_custkey").isNull(), "I").when(F.col("n.c_custkey").isNull(), "D").when(F.col("o.c_acctbal") != F.col("n.c_acctbal"), "U")
+    return both.select(F.coalesce("o.c_custkey", "n.c_custkey").alias("key"), kind.alias("operation")).where("operation is not null")
+
+
 def pair_first_last_value(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return table(spark, d, "orders").select("o_orderkey", F.first("o_totalprice").over(w).alias("first"), F.last("o_totalprice").over(w).alias("last"))
@@ -211,6 +240,15 @@ ORACLES = {
     "pair_insert_select": "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation",
     "pair_update_output": "SELECT c_custkey, c_acctbal AS before, 0.0::DOUBLE AS after FROM customer WHERE c_acctbal < 0",
     "pair_delete": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE NOT (o_orderstatus IS NOT DISTINCT FROM 'F' AND o_totalprice < 50000) GROUP BY 1",
+    "pair_openrowset": "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 5000",
+    "pair_dml_source": "SELECT CASE WHEN o_orderstatus = 'F' AND o_totalprice > 250000 THEN 'archive' ELSE 'orders' END AS place, count(*) AS n FROM orders GROUP BY 1",
+    "pair_full_text_table": (
+        "SELECT doc_id, len(regexp_extract_all(lower(text), '\\bformatter\\b'))::BIGINT AS rank FROM documents WHERE regexp_matches(lower(text), '\\bformatter\\b') ORDER BY rank DESC, doc_id LIMIT 10"
+    ),
+    "pair_changetable": (
+        "SELECT key, operation FROM (SELECT coalesce(o.c_custkey, n.c_custkey) AS key, CASE WHEN o.c_custkey IS NULL THEN 'I' WHEN n.c_custkey IS NULL THEN 'D' WHEN o.c_acctbal <> n.b THEN 'U' END AS operation "
+        "FROM (SELECT * FROM customer WHERE c_custkey % 10 <> 0) o FULL JOIN (SELECT c_custkey, greatest(c_acctbal, 0.0) AS b FROM customer WHERE c_custkey % 7 <> 0) n ON o.c_custkey = n.c_custkey) WHERE operation IS NOT NULL"
+    ),
     "pair_first_last_value": (
         "SELECT o_orderkey, first_value(o_totalprice) OVER w AS first, last_value(o_totalprice) OVER w AS last FROM orders "
         "WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"

@@ -139,7 +139,8 @@ def fix_all(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_not_exists(spark: SparkSession, d: str) -> DataFrame:
     """NOT IN against a column without NULL as an anti-join."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    big = table(spark, d, "orders").where("o_totalprice > 200000")
+    return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def pair_exists(spark: SparkSession, d: str) -> DataFrame:
@@ -424,7 +425,7 @@ ORACLES: dict[str, str] = {
     "threshold": f"SELECT code, count(*) AS n FROM {_NORMAL} WHERE lower(severity) IN ('error', 'warning') GROUP BY code",
     "violations_by_rule": "SELECT code, severity, count(*)::BIGINT AS diagnostics, count(DISTINCT script_id) AS scripts FROM diagnostics WHERE code IS NOT NULL GROUP BY ALL",
     "worst_scripts": "SELECT script_id, count(*) AS diagnostics FROM diagnostics GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
-    "pair_not_exists": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "pair_not_exists": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 200000)",
     "pair_exists": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "pair_left_filtered": "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1",
     "pair_distinct": "SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY ALL",

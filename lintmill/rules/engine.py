@@ -11,6 +11,7 @@ from lintmill.rules.catalog import RULES, Rule
 from lintmill.rules.model import TOO_DEEP, Finding, Script
 from lintmill.rules.rulesets import Ruleset
 from lintmill.syntax import lexer as L
+from lintmill.syntax.dialects import too_new
 
 PREFIX = "lintmill"
 PLUGIN_API = 2
@@ -145,7 +146,12 @@ def parse_errors(s: Script) -> list[Finding]:
     if s.open:
         at = len(s.text) - len(s.lexemes[-1])
         return [Finding("parse-error", at, len(s.text), f"The {s.open} is not closed.", None, 1)]
-    return [
+    newer = []
+    for b in s.batches:
+        late = too_new(b.t, b.k, s.compat) if b.error is None else None
+        if late:
+            newer.append(Finding("parse-error", b.start(late[0]), b.end(late[0]), f"Syntax of compatibility level {late[1]}.", None, 1))
+    return newer + [
         Finding("parser-exception" if b.error[1] == TOO_DEEP else "parse-error", b.start(b.error[0]), b.end(b.error[0]), b.error[1], None, 1)
         for b in s.batches
         if b.error is not None

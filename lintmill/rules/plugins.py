@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import importlib.util
+import sys
+import zlib
 from collections.abc import Callable
 from pathlib import Path, PurePosixPath
 
@@ -17,6 +19,22 @@ SUCCESS, DISABLED, NOT_FOUND, LOAD_ERROR, VERSION, EMPTY, REJECTED = (
 )
 
 
+def _alone(path: Path):
+    """Run a plug-in's file as a module of its own: modules beside it are its alone and not left in the interpreter."""
+    spec = importlib.util.spec_from_file_location(f"lintmill_plugin_{zlib.crc32(str(path).encode()):08x}", path)
+    module = importlib.util.module_from_spec(spec)
+    known, beside = set(sys.modules), str(path.parent.resolve())
+    sys.path.insert(0, beside)
+    try:
+        spec.loader.exec_module(module)
+    finally:
+        sys.path.remove(beside)
+        for name in set(sys.modules) - known:
+            if str(getattr(sys.modules[name], "__file__", None) or "").startswith(beside):
+                del sys.modules[name]
+    return module
+
+
 class Registry:
     """Rules given as functions of a Script that yield findings."""
 
@@ -55,9 +73,7 @@ class Registry:
         if not full.is_file():
             return NOT_FOUND
         try:
-            spec = importlib.util.spec_from_file_location(f"lintmill_plugin_{full.stem}", full)
-            module = importlib.util.module_from_spec(spec)
-            spec.loader.exec_module(module)
+            module = _alone(full)
             api, rules = module.API, list(module.RULES)
         except Exception:  # noqa: BLE001 - a plug-in may fail in any way
             return LOAD_ERROR

@@ -19,7 +19,7 @@ _MARKS = (
     (codecs.BOM_UTF8, "utf-8", "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32-le", "utf-32-le-sig"), (codecs.BOM_UTF32_BE, "utf-32-be", "utf-32-be-sig"),
     (codecs.BOM_UTF16_LE, "utf-16-le", "utf-16-le-sig"), (codecs.BOM_UTF16_BE, "utf-16-be", "utf-16-be-sig"),
 )
-_OTHERS = ("cp1252", "cp932", "euc_jp", "gb18030", "cp1251")
+_OTHERS = {"cp1252": "cp1252", "shift_jis": "cp932", "euc_jp": "euc_jp", "gb18030": "gb18030", "cp1251": "cp1251"}  # name and codec
 _JAPANESE = re.compile(r"[぀-ヿ]+")
 _HAN = re.compile(r"[㐀-鿿]+")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]+")
@@ -41,9 +41,12 @@ def _plausible(text: str, name: str) -> float:
     """How much the characters beyond ASCII look like writing: runs of one script, not lone signs among other letters."""
     far = [c for c in text if c > "\x7f"]
     good = 0.0
-    if name in ("cp932", "euc_jp", "gb18030"):
+    if name in ("shift_jis", "euc_jp", "gb18030"):
         han = [m.group() for m in _HAN.finditer(text)]
-        run = sum(len(m.group()) for m in re.finditer(r"[぀-ヿ㐀-鿿、。「」・ー！？（）]{2,}", text))
+        run = 0.0
+        for m in re.finditer(r"[぀-ヿ㐀-鿿、。「」・ー！？（）]+", text):
+            beside = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
+            run += len(m.group()) if len(m.group()) > 1 else -1 if any(c.isascii() and c.isalpha() for c in beside) else 0.5
         kana = sum(len(m.group()) for m in _JAPANESE.finditer(text))
         good = run - 1.5 * sum(not _level_one(c, name) for h in han for c in h) - sum(len(m.group()) for m in _HALF_KANA.finditer(text))
         good += (0.5 if name != "gb18030" else -1.5) * kana
@@ -73,9 +76,9 @@ def decode(raw: bytes) -> tuple[str, str]:
     except UnicodeDecodeError:
         pass
     best = None
-    for name in _OTHERS:
+    for name, codec in _OTHERS.items():
         try:
-            text = raw.decode(name)
+            text = raw.decode(codec)
         except UnicodeDecodeError:
             continue
         score = _plausible(text, name)
@@ -90,7 +93,7 @@ def encode(text: str, encoding: str | None) -> bytes:
         if encoding == name:
             return mark + text.encode(codec, "surrogatepass")
     try:
-        return text.encode(encoding or "utf-8")
+        return text.encode(_OTHERS.get(encoding, encoding) or "utf-8")
     except (UnicodeEncodeError, LookupError):
         return codecs.BOM_UTF8 + text.encode("utf-8", "surrogatepass")
 

@@ -1,4 +1,5 @@
 import random
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from lintmill.plans.generated import FIXES
 from lintmill.plans.rule_cases import CASES, expected
 from lintmill.rules import engine
 from lintmill.rules.catalog import PRESETS, RULES, Rule, preset
+from lintmill.rules.engine import Options, diagnose
 from lintmill.rules.plugins import DISABLED, NOT_FOUND, REJECTED, SUCCESS, VERSION, Registry
 from lintmill.rules.rulesets import Ruleset, resolve
 
@@ -106,3 +108,33 @@ def test_plugins(tmp_path):
     assert reg.load("no.py", str(tmp_path)) == DISABLED
     (tmp_path / "ok.py").write_text("from lintmill.rules.catalog import Rule\nAPI = 2\nRULES = [(Rule('own2', 'Style', '', 2, False, 100), lambda s: [])]\n")
     assert reg.load("ok.py", str(tmp_path), allowed=True) == SUCCESS
+
+
+def test_plugins_have_modules_of_their_own(tmp_path):
+    for name, level in (("one", 1), ("two", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "helper_of_rules.py").write_text(f"LEVEL = {level}\n")
+        (tmp_path / name / "rules.py").write_text(
+            "from helper_of_rules import LEVEL\nfrom lintmill.rules.catalog import Rule\nAPI = 2\n"
+            f"RULES = [(Rule('own-{name}', 'Style', '', LEVEL, False, 100), lambda s: [])]\n"
+        )
+    reg = Registry()
+    before = list(sys.path)
+    assert [reg.load(f"{n}/rules.py", str(tmp_path), allowed=True) for n in ("one", "two")] == [SUCCESS, SUCCESS]
+    assert [r.severity for r, _ in reg.rules] == [1, 2]
+    assert sys.path == before and "helper_of_rules" not in sys.modules
+
+
+@pytest.mark.parametrize(
+    "text, level",
+    [
+        ("CREATE OR ALTER VIEW v AS SELECT 1 AS a;", 130), ("DROP TABLE IF EXISTS dbo.t;", 130), ("SELECT a AT TIME ZONE 'UTC' AS b FROM dbo.t;", 130),
+        ("SELECT a FROM dbo.t WHERE a IS NOT DISTINCT FROM b;", 160), ("SELECT IIF(a > 1, 2, 3) AS b FROM dbo.t;", 110),
+        ("SELECT a FROM dbo.t ORDER BY a OFFSET 5 ROWS FETCH NEXT 5 ROWS ONLY;", 110), ("SELECT TRIM(LEADING 'x' FROM a) AS b FROM dbo.t;", 160), ("SELECT a FROM dbo.t;", 100),
+        ("SELECT [IIF] AS a, 'AT TIME ZONE' AS b FROM dbo.t;", 100), ("DROP TABLE dbo.t;", 100),
+    ],
+)
+def test_levels_know_their_syntax(text, level):
+    for compat in (100, 110, 120, 130, 140, 150, 160):
+        found = [d for d in diagnose(text, "a.sql", Options(compat=compat)) if d.parse_error]
+        assert bool(found) == (compat < level), (text, compat, found)
