@@ -7,6 +7,7 @@ and directives are applied in the same pass, so only what is reported leaves it.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from lintmill.rules.rulesets import ConfigError, Ruleset
 
 DIAGNOSTICS = (
     "script_id long, file_path string, code string, severity int, category string, fixable boolean, message string, "
-    "start_line int, start_char int, end_line int, end_char int, parse_error boolean"
+    "start_line int, start_char int, end_line int, end_char int, parse_error boolean, source_line string"
 )
 FIXED = (
     "script_id long, file_path string, fixed_text string, changed boolean, applied array<string>, "
@@ -33,14 +34,17 @@ RANGES = "script_id long, file_path string, rule_id string, start_line int, end_
 
 
 def lint(scripts: DataFrame, options: Options = Options()) -> DataFrame:
-    """One row per diagnostic of ``script_id, file_path, text``; a null text has none."""
+    """One row per diagnostic of ``script_id, file_path, text``; a null text has none.  Of parse errors ``source_line`` is the line they stand on."""
 
     def run(ids, paths, texts):
         for i, p, t in zip(ids, paths, texts):
             if t is None:
                 continue
+            lines = None
             for d in engine.diagnose(t, p, options):
-                yield i, p, d.code, d.severity, d.category, d.fixable, d.message, *d.start, *d.end, d.parse_error
+                if d.parse_error and lines is None:
+                    lines = re.split(r"\r\n|\r|\n", t)
+                yield i, p, d.code, d.severity, d.category, d.fixable, d.message, *d.start, *d.end, d.parse_error, lines[d.start[0]] if d.parse_error else None
 
     return map_lists(scripts, ["script_id", "file_path", "text"], run, DIAGNOSTICS)
 
@@ -173,16 +177,24 @@ def worst_scripts(diagnostics: DataFrame, k: int) -> DataFrame:
     return diagnostics.groupBy("script_id").agg(F.count(F.lit(1)).alias("diagnostics")).orderBy(F.desc("diagnostics"), "script_id").limit(k)
 
 
-def report_text(diagnostics: DataFrame) -> DataFrame:
-    """Lines ``path:line:column: Severity: message (rule[,Fixable])``, one-based, sorted by path and position."""
+def report_text(diagnostics: DataFrame, context: bool = False) -> DataFrame:
+    """Lines ``path:line:column: Severity: message (rule[,Fixable])``, one-based, sorted by path and position.
+
+    With ``context``, the source line of a parse error and a caret under its column follow.
+    """
     label = F.create_map(*[x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))])
-    return diagnostics.orderBy(F.lower("file_path"), "file_path", "start_line", "start_char", "code").select(
-        F.format_string(
-            "%s:%d:%d: %s: %s (%s%s)",
-            F.coalesce("file_path", F.lit("<stdin>")), F.col("start_line") + 1, F.col("start_char") + 1, label[F.col("severity")],
-            F.col("message"), F.col("code"), F.when(F.col("fixable"), F.lit(",Fixable")).otherwise(F.lit("")),
-        ).alias("value")
+    line = F.format_string(
+        "%s:%d:%d: %s: %s (%s%s)",
+        F.coalesce("file_path", F.lit("<stdin>")), F.col("start_line") + 1, F.col("start_char") + 1, label[F.col("severity")],
+        F.col("message"), F.col("code"), F.when(F.col("fixable"), F.lit(",Fixable")).otherwise(F.lit("")),
     )
+    sorted_ = diagnostics.orderBy(F.lower("file_path"), "file_path", "start_line", "start_char", "code")
+    if not context:
+        return sorted_.select(line.alias("value"))
+    number = (F.col("start_line") + 1).cast("string")
+    source = F.concat(F.lit("  "), number, F.lit(" | "), F.col("source_line"))
+    caret = F.concat(F.repeat(F.lit(" "), F.length(number) + 2), F.lit(" | "), F.repeat(F.lit(" "), F.least(F.col("start_char"), F.length("source_line"))), F.lit("^"))
+    return sorted_.select(F.explode(F.when(F.col("source_line").isNull(), F.array(line)).otherwise(F.array(line, source, caret))).alias("value"))
 
 
 def report_json(diagnostics: DataFrame, tool: str = "lintmill", version: str = "0.1.0", command: str = "lint") -> DataFrame:

@@ -201,6 +201,12 @@ def lint_text_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.regexp_replace("value", r"^(\S+: \w+: ).*( \([^()]*\))$", "$1...$2").alias("line"))
 
 
+def lint_carets(spark: SparkSession, d: str) -> DataFrame:
+    """Source lines and carets of parse errors in the text report."""
+    lines = ops.report_text(ops.lint(corpus(spark, d, _MIXED), _mixed_options(1)).where("parse_error"), context=True)
+    return lines.where("value like '  %'").select(F.col("value").alias("line"))
+
+
 def lint_json_files(spark: SparkSession, d: str) -> DataFrame:
     r = ops.report_json(ops.lint(corpus(spark, d, _MIXED), _mixed_options(4)))
     codes = F.from_json("report", "files array<struct<filePath: string, diagnostics: array<struct<code: string, severity: string>>>>")["files"][0]
@@ -293,6 +299,7 @@ QUERIES: dict[str, Callable] = {
     "lint_summary": lint_summary,
     "fix_conflicts": fix_conflicts,
     "lint_text_lines": lint_text_lines,
+    "lint_carets": lint_carets,
     "lint_json_files": lint_json_files,
     "lint_status": lint_status,
     "fix_rounds": fix_rounds,
@@ -332,6 +339,10 @@ ORACLES: dict[str, str] = {
         "(0, '1:8: Warning: ... (avoid-select-star)'), (0, '1:27: Error: ... (avoid-null-comparison,Fixable)'), (0, '1:37: Information: ... (avoid-print-statement)'), "
         "(1, '1:1: Error: ... (dml-without-where)'), (3, '1:8: Error: ... (parse-error)')) AS v(t, rest) ON c_custkey % 4 = v.t"
     ),
+    "lint_carets": (
+        "SELECT '  1 | SELECT FROM dbo.t' || c_custkey || ';' AS line FROM customer WHERE c_custkey % 4 = 3 "
+        "UNION ALL SELECT '    |        ^' FROM customer WHERE c_custkey % 4 = 3"
+    ),
     "lint_json_files": (
         "SELECT c_custkey AS script_id, 'gen/' || c_custkey || '.sql' AS path, CASE c_custkey % 4 WHEN 0 THEN 'avoid-null-comparison,avoid-print-statement,avoid-select-star' "
         "WHEN 1 THEN 'dml-without-where' ELSE 'parse-error' END AS codes FROM customer WHERE c_custkey % 4 <> 2"
