@@ -45,6 +45,7 @@ _UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _LINE = re.compile(r"\r\n|\r|\n")
 _CUT = re.compile(r"[.!?][)\"'»”]?[^\S\r\n]+|[。！？]|\||\t|[•·]\s")
+_LETTERS_AND_DIGITS = bytes(ord(chr(i).lower()) if chr(i).isalnum() and i < 128 else 32 for i in range(256))
 _ASCII_UNIT = re.compile(r"[a-z]+|\d+")
 _ENDS = frozenset(".!?。！？:…")
 _BEHIND = " \t\u3000|•·)\"'»”*_"  # what may follow the end of a sentence
@@ -60,8 +61,19 @@ _SQL = re.compile(
 
 
 def units_of(s: str) -> list[str]:
-    s = s.lower()
-    return _ASCII_UNIT.findall(s) if s.isascii() else _UNIT.findall(s)
+    """Words, runs of digits, single ideographs and kana, in lower case."""
+    if not s.isascii():
+        return _UNIT.findall(s.lower())
+    words = s.encode("ascii").translate(_LETTERS_AND_DIGITS).decode("ascii").split()
+    if "".join(words).isalpha():
+        return words
+    out: list[str] = []
+    for w in words:
+        if w.isalpha() or w.isdigit():
+            out.append(w)
+        else:
+            out += _ASCII_UNIT.findall(w)
+    return out
 
 
 def mark_cuts(body: str) -> str:
@@ -102,20 +114,26 @@ def is_code(piece: str, n: int) -> bool:
 
 def repeated(words: list[str], least: int = 1) -> list[bool]:
     """For every word, whether a substring of ``least`` characters or more that occurs twice or more spans it."""
-    n = len(words)
-    times = Counter(words)
-    pairs = list(zip(words, words[1:]))
+    ids: dict[str, int] = {}
+    names = words
+    words = [ids.setdefault(w, len(ids)) for w in words]
+    n, kinds = len(words), len(ids)
+    pairs = [a * kinds + b for a, b in zip(words, words[1:])]
     often = Counter(pairs)
     joined = [often[p] > 1 for p in pairs]  # whether the pair of a word and the next one repeats
     joined.append(False)
-    chars = list(accumulate(map(len, words), initial=0))
-    out = [len(w) >= least and times[w] > 1 for w in words]
-    ids: dict[str, int] = {}
-    words = [ids.setdefault(w, len(ids)) for w in words]
-    nxt: list[dict] = [{}]
-    link = [-1]
-    length = [0]
+    chars = list(accumulate(map(len, names), initial=0))
+    times = Counter(words)
+    out = [len(w) >= least and times[i] > 1 for w, i in zip(names, words)]
+    # states by number: transitions, suffix link, length of the longest substring, whether it occurs twice
+    nxt: list[dict] = [{}] * (2 * n + 2)
+    nxt[0] = {}
+    link = [0] * (2 * n + 2)
+    link[0] = -1
+    length = [0] * (2 * n + 2)
+    twice = bytearray(2 * n + 2)
     ends = [0] * n
+    states = 1
     last = 0
     linked = False
     for i, w in enumerate(words):
@@ -127,50 +145,51 @@ def repeated(words: list[str], least: int = 1) -> list[bool]:
         at = nxt[last]
         q = at.get(w)
         if q is None:
-            cur = len(nxt)
-            nxt.append({})
-            length.append(length[last] + 1)
+            cur = states
+            states += 1
+            nxt[cur] = {}
+            length[cur] = length[last] + 1
             at[w] = cur
             p = link[last]
-            while p != -1:
+            last = cur
+            while p >= 0:
                 at = nxt[p]
                 q = at.get(w)
                 if q is not None:
                     break
                 at[w] = cur
                 p = link[p]
-            link.append(0)
-            last, to = cur, cur
+            else:
+                ends[i] = cur
+                continue
         else:  # a stretch before this one had it
-            p, to = last, 0
+            p, cur = last, 0
+            last = q
+        if length[q] != length[p] + 1:  # split p's longest substring and w off from q
+            clone = states
+            states += 1
+            nxt[clone] = nxt[q].copy()
+            length[clone] = length[p] + 1
+            link[clone] = link[q]
+            link[q] = clone
+            while p >= 0 and nxt[p].get(w) == q:
+                nxt[p][w] = clone
+                p = link[p]
+            q = clone
+        twice[q] = 1
+        if cur:
+            link[cur] = q
+        else:
             last = q
-        if q is not None:
-            if length[q] != length[p] + 1:  # split p's longest substring and w off from q
-                clone = len(nxt)
-                nxt.append(nxt[q].copy())
-                length.append(length[p] + 1)
-                link.append(link[q])
-                link[q] = clone
-                while p != -1 and nxt[p].get(w) == q:
-                    nxt[p][w] = clone
-                    p = link[p]
-                q = clone
-            if to:
-                link[to] = q
-            else:
-                last = q
         ends[i] = last
-    # a state occurs twice if another one's link leads to it or two places end there
-    again = set(link)
-    again.update(v for v, k in Counter(ends).items() if k > 1)
     reach = n  # first word of what is covered already
     for i in range(n - 1, -1, -1):
         v = ends[i]
         if not v:
             continue
-        while v > 0 and v not in again:
+        while not twice[v] and v:
             v = link[v]
-        if v > 0:
+        if v:
             start = i - length[v] + 1
             if start < reach and chars[i + 1] - chars[start] >= least:
                 stop = min(i + 1, reach)
