@@ -149,6 +149,39 @@ def format_twice(spark: SparkSession, d: str) -> DataFrame:
     return twice.agg(F.count_if("changed").alias("unstable"))
 
 
+# -- every rule's texts once more, in other surroundings ------------------------
+
+_BEFORE = "SELECT a\nFROM dbo.t;\nGO\n"
+#: Rules that look at the first statements of a script and report at its start, so that nothing can be put before theirs.
+_AT_START = frozenset(
+    "set-ansi set-ansi-padding set-ansi-warnings set-arithabort set-concat-null-yields-null set-nocount set-quoted-identifier set-transaction-isolation-level".split()
+)
+_PLACED = [(r, *expected(m)) for r in CASES for m in CASES[r] if r not in _AT_START]
+_ELSEWHERE = {
+    "rules_behind_a_batch": (lambda t: _BEFORE + t, 3),
+    "rules_with_crlf": (lambda t: t.replace("\r\n", "\n").replace("\n", "\r\n"), 0),
+    "rules_behind_a_comment": (lambda t: "/* it's a comment ( */\n-- '\n" + t, 2),
+}
+
+
+def elsewhere_query(name: str) -> Callable:
+    """All rules over all rules' texts; of each text the findings of its own rule."""
+    change, _ = _ELSEWHERE[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = ops.lint(corpus(spark, d, [change(t) for _, t, _ in _PLACED]), Options(ruleset=Ruleset.of_preset("strict"), compat=160))
+        own = F.element_at(F.array(*[F.lit(r) for r, _, _ in _PLACED]), (F.pmod("script_id", F.lit(len(_PLACED))) + 1).cast("int"))
+        return found.where(F.col("code") == own).select("script_id", "code", "start_line", "start_char")
+
+    return run
+
+
+def elsewhere_sql(name: str) -> str:
+    _, shift = _ELSEWHERE[name]
+    rows = [(i, r, line + shift, char) for i, (r, _, places) in enumerate(_PLACED) for line, char in places]
+    return _modulus(rows, len(_PLACED), "v.a AS code, v.b AS start_line, v.c AS start_char")
+
+
 # -- pipeline ----------------------------------------------------------------
 
 _DIRECTIVES = [
@@ -289,6 +322,7 @@ QUERIES: dict[str, Callable] = {
     **{f"rule_{r.replace('-', '_')}": rule_query(r) for r in RULES},
     **{f"fix_{r.replace('-', '_')}": fix_query(r) for r in FIXES},
     **{f"format_{p}": pass_query(p) for p in PASSES},
+    **{n: elsewhere_query(n) for n in _ELSEWHERE},
     "format_default": format_default,
     "format_twice": format_twice,
     "directive_ranges": directive_ranges,
@@ -316,6 +350,7 @@ ORACLES: dict[str, str] = {
     **{f"rule_{r.replace('-', '_')}": rule_sql(r) for r in RULES},
     **{f"fix_{r.replace('-', '_')}": case_sql("fixed_text", [a for _, a in FIXES[r]]) for r in FIXES},
     **{f"format_{p}": case_sql("formatted", [a for _, a in PASSES[p]]) for p in PASSES},
+    **{n: elsewhere_sql(n) for n in _ELSEWHERE},
     "format_default": case_sql("formatted", [a for _, a in DEFAULT_FORMAT]),
     "format_twice": "SELECT 0::BIGINT AS unstable",
     "directive_ranges": _modulus(_DIRECTIVE_RANGES, 4, "v.a AS rule_id, v.b AS start_line, v.c AS end_line"),

@@ -138,3 +138,33 @@ def test_levels_know_their_syntax(text, level):
     for compat in (100, 110, 120, 130, 140, 150, 160):
         found = [d for d in diagnose(text, "a.sql", Options(compat=compat)) if d.parse_error]
         assert bool(found) == (compat < level), (text, compat, found)
+
+
+#: Rules that look at more than a batch, so that text behind a GO changes what they find.
+WIDER = {"duplicate-go", "set-xact-abort", "uncommitted-transaction"}
+
+
+@pytest.mark.parametrize("rule", sorted(CASES))
+def test_cases_in_other_surroundings(rule):
+    from lintmill.plans.generated import _AT_START
+
+    options = Options(ruleset=Ruleset.of_rule(rule))
+
+    def found(text, shift=0):
+        ds = [d for d in diagnose(text, "a.sql", options) if not d.parse_error]
+        return [((d.start[0] + shift, d.start[1]), (d.end[0] + shift, d.end[1])) for d in ds]
+
+    seen = 0
+    for marked in CASES[rule]:
+        text, places = expected(marked)
+        text = text.replace("{k}", "7")
+        assert [a for a, _ in found(text)] == sorted(places)
+        seen += len(places)
+        assert found(text.replace("\r\n", "\n").replace("\n", "\r\n")) == found(text)
+        if rule not in _AT_START:
+            assert found("/* c (\n */\n" + text) == found(text, 2)
+            assert found("SELECT a\nFROM dbo.t;\nGO\n" + text) == found(text, 3)
+        if rule not in WIDER | _AT_START:
+            assert found(text + "\nGO\nSELECT a\nFROM dbo.t AS t;\n") == found(text)
+            assert found(text + "\nGO\n" + text) == found(text) + found(text, text.count("\n") + 2)
+    assert seen
