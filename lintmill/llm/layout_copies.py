@@ -13,8 +13,8 @@ each fits.  What is sent to the executors are the prefixes of oversized buckets,
 stay where they are: a row travels as its bucket, the 32-byte digest of its canonical bytes and
 its ids, so the tries branch on the bytes of the digest.
 
-A set of copies that holds more than one in ``MOST_HOT`` of all rows doesn't travel at all: its
-smallest id, a minimum of minima, is sent to where its rows are.  There are fewer than
+A set of copies of more than ``HOT_ROWS`` rows that holds more than one in ``MOST_HOT`` of all doesn't
+travel at all: its smallest id, a minimum of minima, is sent to where its rows are.  There are fewer than
 ``MOST_HOT`` such sets; all others are too small to hold up a task.
 
 Defined results: null text equals nothing and forms no set; empty texts are copies of each
@@ -42,6 +42,7 @@ from lintmill.syntax.parser import KINDS
 BUCKET_ROWS = 2_000
 MOST_BUCKETS = 10_000
 MOST_HOT = 10_000
+HOT_ROWS = 1_000
 LIST_IDS = 1_000
 HOLD_CHARS = 32_000_000  # canonical characters that a task holds before it hands its counts on
 _WORD = re.compile(r"\w+")
@@ -344,9 +345,8 @@ def local_counts(scripts: DataFrame) -> DataFrame:
     return cut(spread(scripts.select("script_id", "file_path", "text")).mapInArrow(_count_local, _COUNTED))
 
 
-def split_buckets(counted: DataFrame, bucket_rows: int, most_buckets: int = MOST_BUCKETS) -> tuple[DataFrame, list[int]]:
+def split_buckets(counted: DataFrame, rows: int, bucket_rows: int, most_buckets: int = MOST_BUCKETS) -> tuple[DataFrame, list[int]]:
     """The rows with ``bucket``, and how many buckets were split at each level."""
-    rows = counted.count()
     fits = max(bucket_rows, rows // most_buckets)
     out = counted.select("key", "ids", "canon", F.lit(b"").alias("bucket"), F.lit(rows > fits).alias("over"))
     if rows <= fits:
@@ -370,26 +370,26 @@ def split_buckets(counted: DataFrame, bucket_rows: int, most_buckets: int = MOST
         depth *= 2
 
 
-def copy_sets(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def copy_sets(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows ``key, first_id, copies`` of the hot sets, their rows ``key, ids``, rows ``bucket, key, ids`` of all others)."""
     counted = local_counts(scripts)
-    total = counted.agg(F.sum(F.size("ids"))).first()[0] or 0
+    total, rows = counted.agg(F.sum(F.size("ids")), F.count(F.lit(1))).first()
     sums = counted.groupBy("key").agg(F.min(F.array_min("ids")).alias("first_id"), F.sum(F.size("ids")).cast("long").alias("copies"))
-    hot = [tuple(r) for r in sums.where(F.col("copies") > F.greatest(F.lit(1), F.lit(total / most_hot))).collect()]  # fewer than most_hot
+    hot = [tuple(r) for r in sums.where(F.col("copies") > max(hot_rows, (total or 0) / most_hot)).collect()]  # fewer than most_hot
     sets = scripts.sparkSession.createDataFrame(hot, "key binary, first_id long, copies long")
-    bucketed, _ = split_buckets(counted.join(F.broadcast(sets), "key", "left_anti"), bucket_rows)
+    bucketed, _ = split_buckets(counted.join(F.broadcast(sets), "key", "left_anti") if hot else counted, rows, bucket_rows)
     dealt = bucketed.select(F.xxhash64("bucket").alias("bucket"), "key", "ids").repartition("bucket")
     return sets, counted.select("key", "ids").join(F.broadcast(sets), "key"), dealt
 
 
-def layout_copies(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT) -> DataFrame:
+def layout_copies(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``first_id, copy_id``: one row per member of a set of copies but the one with the smallest id."""
-    _, hot, dealt = copy_sets(scripts, bucket_rows, most_hot)
+    _, hot, dealt = copy_sets(scripts, bucket_rows, most_hot, hot_rows)
     of_hot = hot.select("first_id", F.explode("ids").alias("copy_id")).where("first_id <> copy_id").distinct()  # equal ids; dealt by both columns
     return dealt.mapInArrow(_members, "first_id long, copy_id long").unionByName(of_hot)
 
 
-def distinct_scripts(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT) -> DataFrame:
+def distinct_scripts(scripts: DataFrame, bucket_rows: int = BUCKET_ROWS, most_hot: int = MOST_HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``first_id, copies``: one row per distinct script with the number of its copies (itself included)."""
-    sets, _, dealt = copy_sets(scripts, bucket_rows, most_hot)
+    sets, _, dealt = copy_sets(scripts, bucket_rows, most_hot, hot_rows)
     return dealt.mapInArrow(_groups, "first_id long, copies long").unionByName(sets.select("first_id", "copies"))

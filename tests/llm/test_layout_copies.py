@@ -58,8 +58,8 @@ def test_operator_against_brute_force(spark):
     want = sorted((min(g), i) for g in groups.values() for i in g if i != min(g))
     rows_of = Counter(key(p, t) for i, p, t, _ in rows if t is not None and i is not None)
     for bucket, hot in ((100_000, 1), (2, 10**6), (3, 20), (1, 1)):
-        assert sorted(tuple(r) for r in C.layout_copies(df, bucket, hot).collect()) == want
-        assert sorted(tuple(r) for r in C.distinct_scripts(df, bucket, hot).collect()) == sorted((min(g), rows_of[k]) for k, g in groups.items())
+        assert sorted(tuple(r) for r in C.layout_copies(df, bucket, hot, 1).collect()) == want
+        assert sorted(tuple(r) for r in C.distinct_scripts(df, bucket, hot, 1).collect()) == sorted((min(g), rows_of[k]) for k, g in groups.items())
     assert C.layout_copies(df.limit(0)).count() == 0
 
 
@@ -72,7 +72,7 @@ def test_deep_and_long():
 def test_only_oversized_buckets_are_split(spark):
     texts = [f"SELECT a FROM t WHERE b = {i}" for i in range(60)] + [f"UPDATE t SET a = {i}" for i in range(3)] + ["DELETE FROM t"] * 50
     df = spark.createDataFrame([(i, "a.sql", t) for i, t in enumerate(texts)], "script_id long, file_path string, text string")
-    bucketed, split = C.split_buckets(C.local_counts(df), 10)
+    bucketed, split = C.split_buckets(C.local_counts(df), 64, 10)
     assert split[:3] == [1, 1, 1] and split[3] <= 6  # all, then those of SELECT alone
     buckets = {}
     for r in bucketed.collect():
