@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lintmill-checkpoint-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(where)
 
 
