@@ -451,7 +451,9 @@ def _json_spans(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     tokens = list(_JSON_TOKEN.finditer(text))
     for k, m in enumerate(tokens):
-        yield from marked(text[at : m.start()], at)  # comments, which some dialects allow
+        gap = text[at : m.start()]
+        if gap.strip():  # numbers and words, comments, which some dialects allow
+            yield from marked(gap, at)
         at = m.end()
         c = m.group()[0]
         if c == '"':
